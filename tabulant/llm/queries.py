@@ -6,28 +6,92 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulant.llm.common import table
 from tabulant.llm.exact_dedup import exact_dedup
+from tabulant.llm.jaccard_join import jaccard_components
+from tabulant.llm.licenses import license_scan, license_sql
+from tabulant.llm.mixing import mixing_schedule
+from tabulant.llm.packing import pack_documents
 from tabulant.llm.quality_rules import quality_rules
+from tabulant.llm.secrets import secret_scan
 from tabulant.llm.url_filters import LISTED, PATTERNS, url_filter
+from tabulant.llm.warc import warc_round_trip
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc_round_trip(table(spark, sf_dir, "pages"), spark).select(*columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, p=90, q=100)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_schedule(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
+    "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filters": op9_url_filters,
+    "op10_mixing": op10_mixing,
 }
 
+_OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS k, sha1(html) AS h FROM p),
+w AS (SELECT k, max(page_id) AS winner FROM d GROUP BY k)
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(range(0, 8), lambda g:
+    list_reduce(list_transform([15, 10, 5, 0], lambda b:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (g * 5 + 1)::INT, 5))::INT >> b::INT) & 31) + 1, 1)), lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM d JOIN w USING (k)
+"""
+
+_OP8_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
+n AS (SELECT doc_id, len(g) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 90 * (na.n_shingles + nb.n_shingles - shared)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT n.doc_id, n_shingles, min(reach) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
 _OP3_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
@@ -54,4 +118,10 @@ FROM p LEFT JOIN l ON l.target = host || path LEFT JOIN b ON b.target = host ||
 """
 
 
-ORACLE_SQL = {"op3_exact_dedup": _OP3_SQL, "op9_url_filters": _op9_sql()}
+ORACLE_SQL = {
+    "op1_license_scans": license_sql(),
+    "op2_warc": _OP2_SQL,
+    "op3_exact_dedup": _OP3_SQL,
+    "op8_ngram_jaccard_join": _OP8_SQL,
+    "op9_url_filters": _op9_sql(),
+}
