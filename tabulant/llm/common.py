@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +58,37 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """The same strings in buffers of their own: some string kernels misread slices."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    return texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+
+
+def text_parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``most`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > most:
+            yield batch.take(pa.array(np.arange(first, i)))
+            first, total = i, 0
+        total += int(n)
+    if len(sizes) > first:
+        yield batch.take(pa.array(np.arange(first, len(sizes))))
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased; null is empty."""
+    return pc.ascii_lower(pc.fill_null(compact(texts), ""))
+
+
 def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), dictionary-coded.
 
     Returns (distinct words, code of every word in order, offsets by text).
     """
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(pc.fill_null(compact(texts), ""))
     flat, offsets = split.flatten(), split.offsets.to_numpy()
     offsets = offsets - offsets[0]
     full = pc.greater(pc.binary_length(flat), 0)

@@ -42,18 +42,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.llm.common import materialise, mix64, partitions, word_codes
+from tabulant.llm.common import lowered, materialise, mix64, partitions, text_parts, word_codes
 
 BAND_RATIO = 1.5
 #: A shingle is common if about this share of documents has it.
 COMMON = 0.005
 SMALL = 24
 CHUNK_SHINGLES = 1_500_000
+BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 24 << 20
 #: In the cost model: what a verified pair costs, in index rows, and how often two unrelated sets share a shingle.
 PAIR_ROWS, SHARED = 4.0, 0.02
@@ -63,13 +63,9 @@ _G = np.uint64(0x9E3779B97F4A7C15)
 # --- sets -----------------------------------------------------------------
 
 
-def _ascii_lower(texts: pa.Array) -> pa.Array:
-    return pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-
-
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, codes, offsets = word_codes(_ascii_lower(texts))
+    words, codes, offsets = word_codes(lowered(texts))
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
     h = hashed[codes] if len(codes) else np.empty(0, dtype=np.uint64)
     rolled = np.full(max(0, len(h) - n + 1), np.uint64(n))
@@ -213,18 +209,6 @@ def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    first = total = 0
-    for i, n in enumerate(sizes):
-        if i > first and total + n > most:
-            yield batch.slice(first, i - first)
-            first, total = i, 0
-        total += int(n)
-    if len(sizes) > first:
-        yield batch.slice(first)
-
-
 def _measure(n: int):
     """Kind 0: id, size and 128-bit key of each set. Kind 1: shingles often met in a chunk, with counts."""
 
@@ -240,7 +224,7 @@ def _measure(n: int):
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), dtype=np.int32)), none, pa.array(counts.astype(np.int64)), pa.array(_signed(values)), none], schema=_LIGHT_SCHEMA)
 
         for batch in batches:
-            for part in _parts(batch, "text"):
+            for part in text_parts(batch, "text", BATCH_BYTES):
                 sets = shingle_sets(part.column("text"), n)
                 one, two = _set_keys(sets)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -298,7 +282,7 @@ def _enter(n: int, bands: list[Band], common: np.ndarray, p: int, q: int, bucket
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ENTRY_SCHEMA)], schema=_ENTRY_SCHEMA)
 
         for batch in batches:
-            for part in _parts(batch, "text"):
+            for part in text_parts(batch, "text", BATCH_BYTES):
                 sets = shingle_sets(part.column("text"), n)
                 one, _ = _set_keys(sets)
                 for key, h in zip(one, sets):

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.llm.common import word_codes
+from tabulant.llm.common import text_parts, word_codes
 
 SIZE = 4096
 END_ID = 2
@@ -114,20 +113,6 @@ class WordIds:
         return self._ids[at], np.concatenate([[0], ends[doc_ends - 1]])
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most BATCH_BYTES of text, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    first = 0
-    total = 0
-    for i, n in enumerate(sizes):
-        if i > first and total + n > BATCH_BYTES:
-            yield batch.slice(first, i - first)
-            first, total = i, 0
-        total += n
-    if len(sizes) > first:
-        yield batch.slice(first)
-
-
 def _packer(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -153,7 +138,7 @@ def _packer(tokenizer_path: str):
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], schema=schema)
 
         for batch in batches:
-            for piece in _slices(batch, "text"):
+            for piece in text_parts(batch, "text", BATCH_BYTES):
                 ids, offsets = encode(piece.column("text"))
                 for name, a, b in zip(piece.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
                     names.append(name)

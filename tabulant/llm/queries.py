@@ -8,6 +8,7 @@ from tabulant.llm.common import table
 from tabulant.llm.exact_dedup import exact_dedup
 from tabulant.llm.jaccard_join import jaccard_components
 from tabulant.llm.licenses import license_scan, license_sql
+from tabulant.llm.lm_scoring import score_texts
 from tabulant.llm.mixing import mixing_schedule
 from tabulant.llm.packing import pack_documents
 from tabulant.llm.quality_rules import quality_rules
@@ -41,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, p=90, q=100)
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
