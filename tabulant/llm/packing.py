@@ -11,32 +11,37 @@ alone. A block of T tokens gets T // 4096 sequences of 4096 tokens and one
 sequence for each binary digit of the rest. Capacity is exactly T, so every
 sequence is full: 4096 tokens, or a power of two, and none needs padding.
 
-Words are tokenised once per batch and remembered in a bounded cache: the
-vocabulary's splitter never joins characters across white space, so a text's ids
-are those of its words in a row.
+Words are tokenised once per batch and remembered in a bounded cache that a
+worker keeps: the vocabulary's splitter lower-cases, never joins characters
+across white space, and always cuts between a letter or digit and a full stop or
+comma, so a text's ids are those of its lower-cased, so cut words in a row.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.llm.common import text_parts, word_codes
+from tabulant.llm.common import lowered, text_parts, word_codes
 
 SIZE = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 LOOK = 8
 BLOCK_TOKENS = 4_000_000
-BATCH_BYTES = 6_000_000
-CACHE_WORDS = 300_000
+BATCH_BYTES = 10_000_000
+CACHE_WORDS = 500_000
+_CUT = r"([a-z0-9])([.,]+)"
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -93,7 +98,7 @@ class WordIds:
         """All ids in a row, each document closed by END_ID, and the offsets by document."""
         if len(self._known) > CACHE_WORDS:
             self._clear()
-        words, codes, offsets = word_codes(texts)
+        words, codes, offsets = word_codes(pc.replace_substring_regex(lowered(texts), _CUT, r"\1 \2"))
         words = words.to_pylist()
         new = [w for w in words if w not in self._known]
         if new:
@@ -103,7 +108,7 @@ class WordIds:
             self._known.update(zip(new, range(base, base + len(new))))
             self._first = np.concatenate([self._first, len(self._ids) + np.cumsum(counts) - counts])
             self._count = np.concatenate([self._count, counts])
-            self._ids = np.concatenate([self._ids, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(counts.sum()))])
+            self._ids = np.concatenate([self._ids, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum()))])
         entry = np.fromiter((self._known[w] for w in words), dtype=np.int64, count=len(words))
         entries = np.insert(entry[codes] if len(codes) else np.empty(0, dtype=np.int64), offsets[1:], 0)
         doc_ends = offsets[1:] + np.arange(1, len(offsets))
@@ -113,12 +118,18 @@ class WordIds:
         return self._ids[at], np.concatenate([[0], ends[doc_ends - 1]])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordIds:
+    """One per worker, so tasks share what it has learnt."""
+    return WordIds(path)
+
+
 def _packer(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordIds(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         part = TaskContext.get().partitionId()
         schema = pa.schema([(c.split()[0], pa.int64()) for c in _OUT.split(", ")])
         names: list[int | None] = []
