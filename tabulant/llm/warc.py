@@ -110,17 +110,15 @@ class Records:
 
 def inflate(stream) -> Iterator[bytes]:
     """The bytes of a gzip file of one or more members, in pieces of bounded size."""
-    engine = zlib.decompressobj(GZIP_BITS)
-    fed = False
-    while chunk := stream.read(CHUNK):
-        while chunk:
+    engine, fed = zlib.decompressobj(GZIP_BITS), False
+    while waiting := stream.read(CHUNK):
+        while waiting:
             fed = True
-            yield engine.decompress(chunk, CHUNK)
-            while engine.unconsumed_tail:
-                yield engine.decompress(engine.unconsumed_tail, CHUNK)
-            chunk = engine.unused_data
+            yield engine.decompress(waiting, CHUNK)
             if engine.eof:
-                engine, fed = zlib.decompressobj(GZIP_BITS), False
+                waiting, engine, fed = engine.unused_data, zlib.decompressobj(GZIP_BITS), False
+            else:
+                waiting = engine.unconsumed_tail
     if fed:
         yield engine.flush()
         if not engine.eof:
