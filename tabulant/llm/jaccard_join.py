@@ -29,9 +29,9 @@ signature, so a signature that a third of all documents share stays small.
 What meets is verified on the words of the whole texts, never on hashes. A group
 that meets is not expanded into pairs: one member (the pivot) is compared with
 the others, components are built, and a group goes on with its next pivot only
-while its members are still in different components. The pivot is then taken
-from the group's smaller component. Groups of up to ``SMALL`` members compare
-all members of different components at once.
+while its members are still in different components. Up to ``PIVOTS`` members
+outside the group's largest component are then compared with the members of
+other components, so a round's pairs are linear in the members.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulant.llm.common import lowered, materialise, mix64, partitions, text_parts, word_codes
@@ -51,7 +51,7 @@ from tabulant.llm.common import lowered, materialise, mix64, partitions, text_pa
 BAND_RATIO = 1.5
 #: A shingle is common if about this share of documents has it.
 COMMON = 0.005
-SMALL = 24
+PIVOTS = 64
 CHUNK_SHINGLES = 1_500_000
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 24 << 20
@@ -392,30 +392,37 @@ def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFram
         two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, p, q), "a long, b long"), "verified")
 
-    edges = verified(_first_pairs(groups))
-    comp = components(edges)
+    comp = components(verified(_first_pairs(groups)))
     done = groups.groupBy("sig").agg(F.min("cid").alias("cid"))
     left = groups.join(done, ["sig", "cid"], "left_anti")
     while True:
         # What is left of a group no longer needs its pivots; it is settled once one component holds all.
         named = left.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-        open_sigs = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("sig", "members")
+        open_sigs = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         named = materialise(named.join(open_sigs, "sig"), "open")
         if named.isEmpty():
             return light, comp
-        small = named.where(F.col("members") <= SMALL)
-        lefts = small.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        rights = small.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = lefts.join(rights, "sig").where("a < b and ca <> cb").select("a", "b", "na", "nb")
-        big = named.where(F.col("members") > SMALL)
-        shares = big.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("share"), F.min("cid").alias("cid"))
-        pick = shares.groupBy("sig").agg(F.min(F.struct("share", "cid", "comp")).alias("x")).select("sig", F.col("x.cid").alias("a"), F.col("x.comp").alias("ca"))
-        pick = pick.join(_sizes(big, "a", "na"), "a")
-        pairs = pairs.union(big.join(pick, "sig").where(F.col("comp") != F.col("ca")).select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb")))
+        # Members outside the group's largest component are the next pivots, those of small components first.
+        shares = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("share"))
+        largest = shares.groupBy("sig").agg(F.max("share").alias("top")).join(shares, "sig").where("share = top").groupBy("sig").agg(F.min("comp").alias("comp"))
+        outside = named.join(largest, ["sig", "comp"], "left_anti").join(shares, ["sig", "comp"])
+        turn = F.row_number().over(Window.partitionBy("sig").orderBy("share", "comp", "cid"))
+        pivots = materialise(outside.withColumn("_turn", turn).where(F.col("_turn") <= PIVOTS).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), "pivots")
+        pairs = named.join(pivots, "sig").where("comp <> ca").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))
         more = verified(pairs)
-        edges = materialise(edges.union(more), "links-so-far")
-        comp = components(edges)
-        left = big.join(pick.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti").select("sig", "cid", "n")
+        if not more.isEmpty():
+            comp = _joined_components(comp, more)
+        left = named.join(pivots.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti").select("sig", "cid", "n")
+
+
+def _joined_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after more links: only their labels are joined, the nodes are renamed."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    every = comp.join(nodes, "node", "full_outer").select("node", F.coalesce("comp", "node").alias("comp"))
+    every = materialise(every, "components")
+    ends = edges.join(every.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+    renamed = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return materialise(every.join(renamed, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
