@@ -59,3 +59,27 @@ PINYIN_BOUNDARIES = (
     ("N", "拿"), ("O", "哦"), ("P", "啪"), ("Q", "七"), ("R", "呥"), ("S", "仨"), ("T", "他"), ("W", "哇"), ("X", "夕"), ("Y", "丫"), ("Z", "匝"),
 )
 CLIENT_SHEET_HEADERS = ("商社编号", "商社简称", "商社全称", "一级业务类型", "二级业务类型", "纳税人识别号", "签约费率", "签约主体", "任务名称", "服务内容")
+# Work types, tried in this order.
+WORK_TYPES = (
+    ("保洁", "保洁|清洁|清扫|打扫|清洗|家政|卫生"), ("搬运", "搬运|装卸|分拣|理货|仓储|打包|包装|配送|快递|物流"), ("司机", "司机|驾驶|代驾|开车|车辆|运输"),
+    ("客服", "客服|客户服务|呼叫|回访|咨询|售后"), ("销售", "销售|促销|推广|导购|营销|业务拓展"), ("技术", "技术|开发|软件|系统|运维|测试|信息|数据|网络|设计"),
+    ("培训", "培训|讲师|授课|教学|辅导|教练"), ("翻译", "翻译|口译|笔译"), ("摄影", "摄影|摄像|拍摄|剪辑|视频|直播"), ("安保", "安保|保安|秩序|巡逻|门卫"),
+    ("餐饮", "餐饮|厨师|后厨|配餐|服务员|洗碗"), ("文员", "文员|行政|助理|录入|文案|资料整理"), ("安装维修", "安装|维修|维护|检修|修理|装配"),
+)
+# Provinces of bank branches. Cities are a parameter, in the order in which they are tried.
+PROVINCES = (
+    "河北", "山西", "辽宁", "吉林", "黑龙江", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南", "湖北", "湖南", "广东", "海南", "四川", "贵州", "云南", "陕西", "甘肃", "青海", "台湾", "内蒙古", "广西", "西藏", "宁夏", "新疆",
+)
+# Characters that recognition confuses in numbers, with what they stand for.
+MISREAD = ("日OoＯLlI｜&＆。，．,", "00001111......")
+# Target templates: headers in order, and the type that fills each.
+TEMPLATE_HEADERS = {
+    "yidao": ("姓名", "身份证", "手机号", "开户银行", "银行卡号", "税前金额"),
+    "shenbianyun": ("商户订单号（非必填）", "任务ID（条件必填）", "收款人姓名（必填）", "身份证号（必填）", "收款账号（条件必填）", "付款金额（元，必填）", "手机号（必填）", "备注（非必填）", "自定义备注（非必填）"),
+    "youyi": ("出错信息", "平台", "商社编号", "姓名", "身份证号码", "性别", "任务清单", "税源地", "工种", "手机号码", "账号", "银行名称", "银行所属地", "税前金额", "个税金额", "商业保险", "备注"),
+}
+TEMPLATE_FIELDS = {
+    "yidao": (("name", "姓名"), ("idCard", "身份证"), ("phone", "手机号"), ("bankName", "开户银行"), ("bankCard", "银行卡号"), ("amount", "税前金额")),
+    "shenbianyun": (("name", "收款人姓名（必填）"), ("idCard", "身份证号（必填）"), ("bankCard", "收款账号（条件必填）"), ("amount", "付款金额（元，必填）"), ("phone", "手机号（必填）"), ("note", "备注（非必填）")),
+    "youyi": (("name", "姓名"), ("idCard", "身份证号码"), ("gender", "性别"), ("phone", "手机号码"), ("bankCard", "账号"), ("bankName", "银行名称"), ("location", "银行所属地"), ("amount", "税前金额"), ("note", "备注"), ("shangSheId", "商社编号")),
+}

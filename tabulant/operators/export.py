@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulant.functions import constants as C
 from tabulant.functions.scalars import clean_name, clean_value, file_name_part, gender_of_id, js_trim, sanitize_amount
 
 
@@ -22,6 +23,9 @@ class Template:
     fields: tuple[tuple[str, str], ...]  # (type, header)
 
 
+TEMPLATES = {k: Template(k, h, C.TEMPLATE_FIELDS[k]) for k, h in C.TEMPLATE_HEADERS.items()}
+
+
 def cleaned(value: Column, kind: str) -> Column:
     return sanitize_amount(value) if kind == "amount" else clean_name(clean_value(value, kind)) if kind == "name" else clean_value(value, kind)
 
@@ -65,15 +69,49 @@ def lettered_batches(groups: DataFrame, base: str, order: str) -> DataFrame:
 
 
 def strip_common_parts(names: list[str]) -> list[str]:
-    """The names without their common prefix and suffix; unchanged if one would become empty."""
-    if len(names) < 2:
-        return list(names)
+    """The names without their common prefix, suffix and dash-separated parts; a step that empties a name is left out."""
     import os
 
-    head = len(os.path.commonprefix(names))
-    tail = len(os.path.commonprefix([n[head:][::-1] for n in names]))
-    short = [n[head : len(n) - tail].strip(" -_") for n in names]
-    return short if all(short) else list(names)
+    if len(set(names)) < 2:
+        return list(names)
+    marks = "-—－_·"
+
+    def step(now: list[str], new: list[str]) -> list[str]:
+        return new if all(new) else now
+
+    out = list(names)
+    head = len(os.path.commonprefix(out))
+    out = step(out, [n[head:].lstrip(marks + " \t") for n in out]) if head else out
+    tail = len(os.path.commonprefix([n[::-1] for n in out]))
+    out = step(out, [n[: len(n) - tail].rstrip(marks + " \t") for n in out]) if tail else out
+    parts = [n.split("-") for n in out]
+    same = {i for i in range(min(map(len, parts)) - 1) if len({p[i] for p in parts}) == 1}
+    return step(out, ["-".join(x for i, x in enumerate(p) if i not in same).strip() for p in parts]) if same else out
+
+
+def split_file_names(groups: list[tuple[str, str]], template: str, rule: str = "full", by_sheet: bool = False, several_templates: bool = False, batches: list[str] | None = None) -> list[str]:
+    """Base names of a batch of (file, sheet) groups by rule full, compact, batchno or batchno-compact."""
+    import re
+
+    clean = lambda s: re.sub(r"\s+", " ", re.sub(r'[\\/:*?"<>|\r\n\t]', " ", s or "")).strip()[:60]
+    stems = [clean(re.sub(r"\.[^.]+\Z", "", f or "未命名")) or "未命名" for f, _ in groups]
+    compact, many = rule != "full", len(groups) > 1
+    same_file, same_sheet = many and len({f for f, _ in groups}) == 1, many and len({s for _, s in groups}) == 1
+    short = strip_common_parts(stems) if compact and many and not same_file else stems
+    out = []
+    for i, (_, sheet) in enumerate(groups):
+        parts = [] if compact and same_file else [short[i]]
+        if by_sheet and clean(sheet) and not (compact and same_sheet):
+            parts.append(clean(sheet))
+        if not compact or several_templates:
+            parts.append(template)
+        base, batch = "_".join(parts) or "拆分结果", clean(batches[i]) if batches else ""
+        if batch and rule == "batchno":
+            base = f"{batch}_{template}" if several_templates else batch
+        elif batch and rule == "batchno-compact":
+            base = f"{batch}_{base}"
+        out.append(base)
+    return out
 
 
 def csv_line(columns: list[str]) -> Column:
