@@ -29,7 +29,7 @@ WINDOW = 5
 SUPPORT = 0.75
 STEPS = 3
 #: The upper tail of a chi-squared law beyond which a row is an outlier.
-TAIL = 1e-9
+TAIL = 1e-4
 MIN_ROWS = 200
 #: Least standard deviations of the transformed statistics: log words, log word length,
 #: root of symbol share, root of duplicate-line share, root of repeated-word share.
