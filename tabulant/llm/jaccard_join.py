@@ -51,7 +51,7 @@ from tabulant.llm.common import lowered, materialise, mix64, partitions, text_pa
 BAND_RATIO = 1.5
 #: A shingle is common if about this share of documents has it.
 COMMON = 0.005
-PIVOTS = 64
+PIVOTS = 8
 CHUNK_SHINGLES = 1_500_000
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 24 << 20
@@ -354,15 +354,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _first_pairs(groups: DataFrame) -> DataFrame:
-    pivots = groups.groupBy("sig").agg(F.min("cid").alias("a"))
-    return groups.join(pivots, "sig").where("cid <> a").join(_sizes(groups, "a", "na"), "a").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))
-
-
-def _sizes(groups: DataFrame, name: str, size: str) -> DataFrame:
-    return groups.groupBy(F.col("cid").alias(name)).agg(F.max("n").alias(size))
-
-
 def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     """(light rows: doc_id, n_shingles, k1, k2; components of class representatives: node, comp).
 
@@ -383,6 +374,10 @@ def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFram
     entries = docs.mapInArrow(_enter(n, bands, common, p, q, buckets), _ENTRIES)
     met = entries.groupBy("bucket").applyInArrow(lambda t: _meet(t.drop_columns(["bucket"])), "sig long, k1 long")
     groups = materialise(met.join(classes.select("k1", "cid", "n"), "k1").select("sig", "cid", "n"), "met")
+    # The member of many large groups is most like the others: the text that the rest are copies of.
+    sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("_s"))
+    weights = groups.join(sizes, "sig").groupBy("cid").agg(F.sum("_s").alias("w"))
+    groups = materialise(groups.join(weights, "cid"), "met")
     texts = materialise(docs.select(F.col("doc_id").alias("cid"), "text").join(groups.select("cid").distinct(), "cid", "left_semi"), "met-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -392,27 +387,29 @@ def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFram
         two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, p, q), "a long, b long"), "verified")
 
-    comp = components(verified(_first_pairs(groups)))
-    done = groups.groupBy("sig").agg(F.min("cid").alias("cid"))
-    left = groups.join(done, ["sig", "cid"], "left_anti")
+    best = groups.groupBy("sig").agg(F.max(F.struct("w", "cid", "n")).alias("x"))
+    pivots = materialise(best.select("sig", F.col("x.cid").alias("a"), F.col("x.n").alias("na")), "pivots")
+    comp = components(verified(groups.join(pivots, "sig").where("cid <> a").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))))
+    left = groups
     while True:
         # What is left of a group no longer needs its pivots; it is settled once one component holds all.
-        named = left.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+        left = left.join(pivots.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti")
+        named = left.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", "n", "w", F.coalesce("comp", "cid").alias("comp"))
         open_sigs = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         named = materialise(named.join(open_sigs, "sig"), "open")
         if named.isEmpty():
             return light, comp
-        # Members outside the group's largest component are the next pivots, those of small components first.
+        # Members outside the group's largest component are the next pivots.
         shares = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("share"))
         largest = shares.groupBy("sig").agg(F.max("share").alias("top")).join(shares, "sig").where("share = top").groupBy("sig").agg(F.min("comp").alias("comp"))
-        outside = named.join(largest, ["sig", "comp"], "left_anti").join(shares, ["sig", "comp"])
-        turn = F.row_number().over(Window.partitionBy("sig").orderBy("share", "comp", "cid"))
+        outside = named.join(largest, ["sig", "comp"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("w"), "cid"))
         pivots = materialise(outside.withColumn("_turn", turn).where(F.col("_turn") <= PIVOTS).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), "pivots")
         pairs = named.join(pivots, "sig").where("comp <> ca").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))
         more = verified(pairs)
         if not more.isEmpty():
             comp = _joined_components(comp, more)
-        left = named.join(pivots.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti").select("sig", "cid", "n")
+        left = named.select("sig", "cid", "n", "w")
 
 
 def _joined_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
