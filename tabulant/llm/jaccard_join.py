@@ -12,8 +12,8 @@ shingles in both.
   Eligible is a property of a segment's content alone (so equal segments are
   eligible on both sides): at least ``least`` shingles that are not common in the
   corpus. Sets with too few eligible segments enter them all, and then again
-  under weaker rules (common shingles count; one shingle is enough; all such sets
-  of a band meet). If either set of a pair has enough segments, the pair meets
+  under weaker rules (one rare shingle is enough; common shingles count; all such
+  sets of a band meet). If either set of a pair has enough segments, the pair meets
   under that rule; if neither has, both go on to the next.
 * One-deletion neighbourhoods. Where H <= 2 m - 1 for m segments, some segment
   differs by at most one shingle; entering each segment and all its
@@ -56,7 +56,9 @@ CHUNK_SHINGLES = 1_500_000
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 24 << 20
 #: In the cost model: what a verified pair costs, in index rows, and how often two unrelated sets share a shingle.
-PAIR_ROWS, SHARED = 4.0, 0.02
+PAIR_ROWS, SHARED = 4.0, 1e-4
+#: Sets below this have too few shingles for segments that are never empty.
+LEAST_SEGMENTED = 32
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,7 +124,7 @@ def _segments(low: int, high: int, p: int, q: int) -> tuple[int, int]:
     """The longest eligible segments of which sets of the band still have enough, and the number of segments."""
     for least in (5, 4, 3, 2):
         for m in range(differing(high, p, q) + 1, 3 * high, max(1, high // 50)):
-            if all(m * _at_least(s / m, least) >= 1.15 * (differing(s, p, q) + 1) + 2 for s in (low, high)):
+            if all(m * _at_least(s / m, least) >= 1.05 * (differing(s, p, q) + 1) + 1 for s in (low, high)):
                 return m, least
     return max(2 * (differing(high, p, q) + 1) + 2, 4), 1
 
@@ -141,7 +143,7 @@ def plan_bands(largest: int, counts: dict[int, int], p: int, q: int) -> list[Ban
         cost = need * (1 + PAIR_ROWS * n * SHARED**least)
         parts = (need + 1) // 2
         cost_deletions = (parts + high) * (1 + PAIR_ROWS * n * SHARED ** max(0.0, low / parts - 1))
-        bands.append(Band(low, high, parts, 0) if cost_deletions < cost else Band(low, high, m, least))
+        bands.append(Band(low, high, parts, 0) if low < LEAST_SEGMENTED or cost_deletions < cost else Band(low, high, m, least))
         low = high + 1
     return bands
 
@@ -176,20 +178,20 @@ def signatures(h: np.ndarray, bands: list[Band], lows: np.ndarray, common: np.nd
             every = np.arange(band.segments, dtype=np.uint64)
             full = np.zeros(band.segments, dtype=np.uint64)
             full[ids.astype(np.int64)] = sums
-            out += [named(every, full, 4), named(seg_sorted, full[seg_sorted.astype(np.int64)] - value, 4)]
+            out += [named(every, full, 5), named(seg_sorted, full[seg_sorted.astype(np.int64)] - value, 5)]
             continue
         counts = np.diff(np.append(first, size))
         if rare is None:
             at = np.searchsorted(common, h)
             rare = (common[np.minimum(at, len(common) - 1)] != h) if len(common) else np.ones(size, dtype=bool)
         rare_counts = np.add.reduceat(rare[order].astype(np.int64), first)
-        for rule, good in enumerate((rare_counts >= band.least, counts >= band.least, counts >= 1)):
+        for rule, good in enumerate((rare_counts >= band.least, rare_counts >= 1, counts >= band.least, counts >= 1)):
             found = np.flatnonzero(good)[:need]
             out.append(named(ids[found], sums[found], rule))
             if len(found) == need:
                 break
         else:
-            out.append(named(np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64), 5))
+            out.append(named(np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64), 6))
     return np.concatenate(out)
 
 
