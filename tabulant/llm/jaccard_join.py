@@ -30,8 +30,8 @@ What meets is verified on the words of the whole texts, never on hashes. A group
 that meets is not expanded into pairs: one member (the pivot) is compared with
 the others, components are built, and a group goes on with its next pivot only
 while its members are still in different components. Up to ``PIVOTS`` members
-outside the group's largest component are then compared with the members of
-other components, so a round's pairs are linear in the members.
+outside the group's largest component (twice as many in each later round) are
+then compared with the members of other components.
 """
 
 from __future__ import annotations
@@ -392,7 +392,7 @@ def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFram
     best = groups.groupBy("sig").agg(F.max(F.struct("w", "cid", "n")).alias("x"))
     pivots = materialise(best.select("sig", F.col("x.cid").alias("a"), F.col("x.n").alias("na")), "pivots")
     comp = components(verified(groups.join(pivots, "sig").where("cid <> a").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))))
-    left = groups
+    left, most = groups, PIVOTS
     while True:
         # What is left of a group no longer needs its pivots; it is settled once one component holds all.
         left = left.join(pivots.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti")
@@ -406,12 +406,12 @@ def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFram
         largest = shares.groupBy("sig").agg(F.max("share").alias("top")).join(shares, "sig").where("share = top").groupBy("sig").agg(F.min("comp").alias("comp"))
         outside = named.join(largest, ["sig", "comp"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("w"), "cid"))
-        pivots = materialise(outside.withColumn("_turn", turn).where(F.col("_turn") <= PIVOTS).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), "pivots")
+        pivots = materialise(outside.withColumn("_turn", turn).where(F.col("_turn") <= most).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), "pivots")
         pairs = named.join(pivots, "sig").where("comp <> ca").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))
         more = verified(pairs)
         if not more.isEmpty():
             comp = _joined_components(comp, more)
-        left = named.select("sig", "cid", "n", "w")
+        left, most = named.select("sig", "cid", "n", "w"), 2 * most
 
 
 def _joined_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
