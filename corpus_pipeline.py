@@ -37,7 +37,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    """Sequences in the order of the schedule.
+
+    Spark reads files by size, not by name, so the written order is lost; the
+    slots are derived again, which ids and sources alone decide.
+    """
+    return pack_documents(mixed(docs), in_order=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

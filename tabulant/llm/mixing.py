@@ -136,7 +136,8 @@ def mixed(
 ) -> DataFrame:
     """All rows and columns of ``docs``, dealt out and sorted in mixed order.
 
-    Read in the order of its files, the written result is the schedule.
+    Partitions follow each other in that order. Written and read again it is
+    lost, as Spark reads files by size; ``mixed`` of what was read restores it.
     """
     renamed = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
