@@ -9,6 +9,15 @@ period (A slots, a parameter) is made once, and the slot of any block is
 
     (block div a) * A + slot_in_period(source, block mod a).
 
+With more than ``MAX_STREAMS`` sources the schedule has two levels. The sources
+of greatest weight keep streams of their own; the others are dealt to pools,
+each a stream with the sum of its sources' weights. The blocks of a pool are
+given to its sources by the same rule, with exact weights, for as many blocks as
+they have. Block k of a source with share w' of its pool is released with the
+pool's block floor(k / w') and due with block ceil((k + 1) / w') - 1, so its
+slots deviate by less than one block within the pool, and the pool by less than
+one from its weight.
+
 The rank of a row in its source does not need a window over the source: rows
 are hashed into chunks of about ``CHUNK_ROWS``, chunk counts are summed up, and
 only rows of one chunk are numbered together. A source that runs out leaves its
@@ -19,16 +28,20 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulant.llm.common import materialise
+
 PERIOD = 10_000
 BLOCK_ROWS = 256
 CHUNK_ROWS = 50_000
 #: Default target weights are proportional to rows ** TEMPERATURE.
 TEMPERATURE = 0.7
-#: Sources beyond this number share hashed streams, so the schedule stays bounded.
+#: Streams of the first level, so its schedule stays bounded; half are pools when there are more sources.
 MAX_STREAMS = 2_000
 
 
@@ -37,10 +50,16 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     weights = {s: w for s, w in weights.items() if w > 0}
     if len(weights) > period:
         raise ValueError(f"{len(weights)} streams don't fit in a period of {period} slots")
-    total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
+    # Streams below one slot get one, from the lightest; the others share the rest by weight.
+    out: dict[str, int] = {}
+    rest, total = period, sum(weights.values())
+    for s in sorted(weights, key=lambda s: (weights[s], s)):
+        if rest * weights[s] >= total or len(out) == len(weights) - 1:
+            break
+        out[s] = 1
+        rest, total = rest - 1, total - weights[s]
+    exact = {s: rest * w / total for s, w in weights.items() if s not in out}
+    out |= {s: math.floor(x) for s, x in exact.items()}
     short = period - sum(out.values())
     for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:short]:
         out[s] += 1
@@ -66,53 +85,110 @@ def edf_schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def shared_schedule(sources: list[tuple[str, float, int]]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, turn, release, deadline) of a pool's sources (name, weight, blocks), earliest deadline first.
+
+    Turns are blocks of the pool. Weights are taken as fractions of whole
+    numbers, so no rounding builds up; where a source has run out and none is
+    released, the turn stays idle.
+    """
+    exact = {s: Fraction(w) for s, w, _ in sources}
+    total = sum(exact.values())
+    step = {s: total / w for s, w in exact.items()}
+    blocks = {s: n for s, _, n in sources}
+    waiting = [(0, s, 0) for s, _, n in sources if n]  # a source's next block is released when the last one is due, or one turn before
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    out, t = [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            r, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (math.ceil((k + 1) * step[s]), s, k, r))
+        d, s, k, r = heapq.heappop(ready)
+        out.append((s, k, t, r, d))
+        t += 1
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, (math.floor((k + 1) * step[s]), s, k + 1))
+    return out
+
+
+_SHARED = "_stream string, _block long, _turn long, _from long, _to long"
+
+
+def _share(pool: pd.DataFrame) -> pd.DataFrame:
+    own = sorted(zip(pool["_stream"], pool["_weight"], pool["_blocks"].astype(int)))
+    return pd.DataFrame(shared_schedule(own), columns=["_stream", "_block", "_turn", "_from", "_to"])
+
+
+def _weighted(sizes: DataFrame, weights: dict[str, float] | None, block_rows: int) -> DataFrame:
+    """``sizes`` with _weight and _blocks."""
+    out = sizes.withColumn("_blocks", F.ceil(F.col("_rows") / block_rows))
+    if weights is None:
+        return out.withColumn("_weight", F.pow(F.col("_rows").cast("double"), F.lit(TEMPERATURE)))
+    given = sizes.sparkSession.createDataFrame([("v" + s, float(w)) for s, w in weights.items() if w > 0], "_stream string, _weight double")
+    out = out.join(given, "_stream", "left")
+    missing = [r["_stream"] for r in out.where("_weight is null").orderBy("_stream").limit(5).collect()]
+    if missing:
+        raise ValueError(f"no positive target weight for {missing}")
+    return out
+
+
 def _scheduled(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None, period: int, block_rows: int, chunk_rows: int) -> DataFrame:
     """``docs`` with _stream, _block, _place, _slot, _release, _due."""
     spark = docs.sparkSession
     named = F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n"))
     rows = docs.withColumn("_stream", named)
-    counts = {r["_stream"]: r["n"] for r in rows.groupBy("_stream").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_stream").limit(MAX_STREAMS + 1).collect()}
-    if len(counts) > MAX_STREAMS:
-        if weights is not None:
-            raise ValueError(f"target weights are for at most {MAX_STREAMS} sources")
-        rows = rows.withColumn("_stream", F.concat(F.lit("pool"), F.pmod(F.xxhash64("_stream"), F.lit(MAX_STREAMS)).cast("string")))
-        counts = {r["_stream"]: r["n"] for r in rows.groupBy("_stream").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if weights is not None:
-        given = {"v" + s: w for s, w in weights.items()}
-        missing = sorted(s for s in counts if given.get(s, 0) <= 0)
-        if missing:
-            raise ValueError(f"no positive target weight for {missing[:5]}")
-        target = {s: given[s] for s in counts}
+    sizes = rows.groupBy("_stream").agg(F.count(F.lit(1)).alias("_rows"))
+    streams = min(MAX_STREAMS, period)
+    found = _weighted(sizes, weights, block_rows).orderBy(F.desc("_weight"), "_stream").limit(streams + 1).collect()
+    shared = None
+    if len(found) > streams:
+        own = max(1, streams // 2)
+        sizes = materialise(sizes, "mixing-sources")
+        n_rows = sizes.agg(F.sum("_rows")).first()[0]
+        target = {r["_stream"]: r["_weight"] for r in found[:own]}
+        heads = spark.createDataFrame([(s, s) for s in target], "_stream string, _head string")
+        # "p" starts no stream's name
+        pool = F.concat(F.lit("p"), F.pmod(F.xxhash64("_stream"), F.lit(max(1, streams - own))).cast("string"))
+        rest = _weighted(sizes, weights, block_rows).join(F.broadcast(heads), "_stream", "left_anti").withColumn("_top", pool)
+        target |= {r["_top"]: r["_weight"] for r in rest.groupBy("_top").agg(F.sum("_weight").alias("_weight")).collect()}  # one row a pool
+        shared = materialise(rest.groupBy("_top").applyInPandas(_share, _SHARED), "mixing-shared")
     else:
-        target = {s: n**TEMPERATURE for s, n in counts.items()}
+        n_rows = sum(r["_rows"] for r in found)
+        target = {r["_stream"]: r["_weight"] for r in found}
     slots = slots_of(target, period) if target else {}
     plan = edf_schedule(slots) if slots else []
-    schedule = spark.createDataFrame(
-        [(s, slots[s], k, t, r, d) for s, k, t, r, d in plan], "_stream string, _slots long, _k long, _at long, _rel long, _ddl long"
-    )
-    per_stream = spark.createDataFrame(sorted(slots.items()), "_stream string, _slots long")
+    schedule = spark.createDataFrame([(s, k, t) for s, k, t, _, _ in plan], "_top string, _k long, _at long")
+    per_stream = spark.createDataFrame(sorted(slots.items()), "_top string, _slots long")
 
-    chunks = max(1, math.ceil(sum(counts.values()) / chunk_rows))
+    chunks = max(1, math.ceil(n_rows / chunk_rows))
     rows = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_chunk", F.pmod(F.col("_h"), F.lit(chunks)))
-    sizes = rows.groupBy("_stream", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    parts = rows.groupBy("_stream", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_stream").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_stream", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("_stream", "_chunk").orderBy("_h", id_col)
-    ranked = rows.withColumn("_rn", F.row_number().over(own) - 1).join(starts, ["_stream", "_chunk"])
-    ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_rn"))
+    starts = parts.select("_stream", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own_rows = Window.partitionBy("_stream", "_chunk").orderBy("_h", id_col)
+    ranked = rows.withColumn("_rn", F.row_number().over(own_rows) - 1).join(starts, ["_stream", "_chunk"])
+    ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_rn")).withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    # _turn is the row's block in its stream of the first level, which may be had from _from on and before _to.
+    if shared is None:
+        ranked = ranked.withColumns({"_top": F.col("_stream"), "_turn": F.col("_block"), "_from": F.col("_block"), "_to": F.col("_block") + 1})
+    else:
+        ranked = ranked.join(F.broadcast(heads), "_stream", "left").join(shared, ["_stream", "_block"], "left")
+        ranked = ranked.withColumns({"_top": F.coalesce("_head", pool), "_turn": F.coalesce("_turn", "_block"), "_from": F.coalesce("_from", "_block"), "_to": F.coalesce("_to", F.col("_block") + 1)})
     # Both tables have at most ``period`` rows.
-    ranked = ranked.join(F.broadcast(per_stream), "_stream")
-    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).withColumn("_k", F.col("_block") % F.col("_slots"))
-    out = ranked.join(F.broadcast(schedule.drop("_slots")), ["_stream", "_k"])
-    turn = F.floor(F.col("_block") / F.col("_slots")) * period
+    ranked = ranked.join(F.broadcast(per_stream), "_top").withColumn("_k", F.col("_turn") % F.col("_slots"))
+    out = ranked.join(F.broadcast(schedule), ["_top", "_k"])
+    turns = lambda block: F.floor(F.col(block) / F.col("_slots")) * period
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "_stream",
         "_block",
         (F.col("_rank") % block_rows).alias("_place"),
-        (turn + F.col("_at")).alias("_slot"),
-        (turn + F.col("_rel")).alias("_release"),
-        (turn + F.col("_ddl")).alias("_due"),
+        (turns("_turn") + F.col("_at")).alias("_slot"),
+        (turns("_from") + F.floor((F.col("_from") % F.col("_slots")) * period / F.col("_slots"))).alias("_release"),
+        (turns("_to") + F.ceil((F.col("_to") % F.col("_slots")) * period / F.col("_slots"))).alias("_due"),
     )
 
 

@@ -183,6 +183,42 @@ def test_mixing_schedules_every_row_once(spark):
         assert [s for *_, s in own] == sorted(s for *_, s in own)
 
 
+def deviation(got, source, weight, block_rows):
+    """Of the blocks had after each slot from weight times slots, while the source lasts."""
+    slots = sorted({r["slot"] for r in got if r["source"] == source})
+    return max(max(abs(k - weight * t), abs(k + 1 - weight * (t + 1))) for k, t in enumerate(slots))
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_every_source_has_its_own_slots_at_any_number(spark, monkeypatch, given):
+    monkeypatch.setattr(mixing, "MAX_STREAMS", 12)
+    sizes = {"hot": 400, **{f"s{k}": 8 + k % 5 for k in range(60)}}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    rows = [(k, "t", "en", s, 0, 7, "x", 1, "k", 5, 9) for k, s in enumerate(names)]
+    weights = {"hot": 60.0, **{s: 1.0 for s in sizes if s != "hot"}} if given else None
+    got = mixing.mixing_schedule(cases.frame(spark, rows), weights=weights, period=1200, block_rows=4, chunk_rows=100).collect()
+    assert Counter(r["source"] for r in got) == sizes and len({(r["slot"], r["place"]) for r in got}) == len(got)
+    target = weights or {s: n**mixing.TEMPERATURE for s, n in sizes.items()}
+    total = sum(target.values())
+    for r in got:
+        assert r["release"] <= r["slot"] < r["deadline"]
+    assert deviation(got, "hot", target["hot"] / total, 4) < 1.1
+    for s in sizes:
+        assert deviation(got, s, target[s] / total, 4) < 1.35  # a pool's source: one block, and its share of one of the pool
+    assert all(len({r["source"] for r in got if r["slot"] == t}) == 1 for t in {r["slot"] for r in got})
+
+
+def test_pool_turns():
+    got = mixing.shared_schedule([("a", 0.1, 9), ("b", 0.2, 20), ("c", 0.7, 3), ("d", 1e-9, 1)])
+    assert Counter(s for s, *_ in got) == {"a": 9, "b": 20, "c": 3, "d": 1}
+    assert all(r <= t < d for _, _, t, r, d in got) and len({t for _, _, t, _, _ in got}) == len(got)
+
+
+def test_slots_of_heavy_streams_are_not_cut_by_light_ones():
+    slots = mixing.slots_of({"hot": 0.5, **{f"s{k}": 0.5 / 400 for k in range(400)}}, 1000)
+    assert slots["hot"] == 500 and sum(slots.values()) == 1000 and min(slots.values()) == 1
+
+
 def test_mixed_keeps_rows_and_order(spark):
     rows = [(k, f"t{k}", "en", ("a", "b")[k % 4 == 0], 0, 7, "x", 1, "k", 5, 9) for k in range(400)]
     out = mixing.mixed(cases.frame(spark, rows), weights={"a": 3.0, "b": 1.0}, period=4, block_rows=5)
