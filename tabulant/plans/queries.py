@@ -314,8 +314,8 @@ def lookup_taxid(spark, d):
 _WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part"
 
 
-def _clients(spark, d):
-    p = _t(spark, d, "part").where("p_partkey < 200")
+def _clients(spark, d, cut: str = "true"):
+    p = _t(spark, d, "part").where(cut)
     return p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("full_name"), F.lower("p_brand").alias("short_name"))
 
 
@@ -329,13 +329,25 @@ _RANK4 = "CASE WHEN p_name = q THEN 1 WHEN lower(p_brand) = q THEN 2 WHEN contai
 
 @query(f"WITH w AS ({_WORDS}) SELECT q, p_partkey AS pos, {_RANK3} AS match_rank FROM w JOIN part ON p_partkey < 200 AND {_RANK3} IS NOT NULL")
 def lookup_name_all(spark, d):
-    """Containment join with ranks."""
-    return R.lookup_name_all(_name_queries(spark, d), "q", _clients(spark, d)).select("q", "pos", "match_rank")
+    """Containment join with ranks, on the first 200 clients like its SQL; lookup_name_all_whole has all."""
+    return R.lookup_name_all(_name_queries(spark, d), "q", _clients(spark, d, "p_partkey < 200")).select("q", "pos", "match_rank")
 
 
 @query(f"WITH w AS ({_WORDS}), m AS (SELECT q, p_partkey AS pos, {_RANK4} AS match_rank FROM w JOIN part ON p_partkey < 200 AND {_RANK4} IS NOT NULL) SELECT q, arg_min(pos, (match_rank, pos)) AS pos FROM m GROUP BY q")
 def lookup_name_first(spark, d):
-    """The first match by phase and position."""
+    """The first match by phase and position, on the first 200 clients like its SQL; lookup_name_first_whole has all."""
+    return R.lookup_name_first(_name_queries(spark, d), "q", _clients(spark, d, "p_partkey < 200")).select("q", "pos")
+
+
+@query(f"WITH w AS ({_WORDS}) SELECT q, p_partkey AS pos, {_RANK3} AS match_rank FROM w JOIN part ON {_RANK3} IS NOT NULL")
+def lookup_name_all_whole(spark, d):
+    """J3 with every part as a client."""
+    return R.lookup_name_all(_name_queries(spark, d), "q", _clients(spark, d)).select("q", "pos", "match_rank")
+
+
+@query(f"WITH w AS ({_WORDS}), m AS (SELECT q, p_partkey AS pos, {_RANK4} AS match_rank FROM w JOIN part ON {_RANK4} IS NOT NULL) SELECT q, arg_min(pos, (match_rank, pos)) AS pos FROM m GROUP BY q")
+def lookup_name_first_whole(spark, d):
+    """J4 with every part as a client."""
     return R.lookup_name_first(_name_queries(spark, d), "q", _clients(spark, d)).select("q", "pos")
 
 

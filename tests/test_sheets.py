@@ -138,3 +138,23 @@ def test_templates(spark):
     assert X.split_file_names([("a-甲.xlsx", "x"), ("a-乙.xlsx", "x")], "T", "compact") == ["甲", "乙"]
     files = X.group_files(rows.select(F.lit("甲").alias("group"), F.get("cells", F.lit(0)).alias("姓名")), ["姓名"]).collect()
     assert G.parse_xlsx(bytes(files[0]["content"]))[0][1] == [["姓名"], ["王辉2"], [""]]
+
+
+def test_name_lookups_take_every_client(spark, tmp_path):
+    from tabulant.plans import queries as Q
+
+    parts = [(k, f"w{k % 7} v{k % 400}", f"Brand#{k % 3}") for k in range(450)]
+    parts += [(500, "solo", "Brand#1"), (501, "so", "V399")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for q in {w for _, name, _ in parts for w in name.split(" ")}:
+        for pos, full, brand in parts:
+            short = brand.lower()
+            rank = 1 if full == q else 2 if short == q else 3 if q in full or q in short else 4 if full in q or short in q else None
+            if rank:
+                want[q, pos] = rank
+    found = {(r["q"], r["pos"]): r["match_rank"] for r in Q.QUERIES["lookup_name_all_whole"](spark, str(tmp_path)).collect()}
+    assert found == {k: min(r, 3) for k, r in want.items()} and any(pos >= 200 for _, pos in found)
+    first = {r["q"]: r["pos"] for r in Q.QUERIES["lookup_name_first_whole"](spark, str(tmp_path)).collect()}
+    assert first == {q: min((r, pos) for (x, pos), r in want.items() if x == q)[1] for q in {q for q, _ in want}}
+    assert first["v399"] == 501 and first["solo"] == 500
