@@ -624,7 +624,7 @@ def csv_lines(spark, d):
 
 @query("SELECT o_orderstatus AS source_id, 0 AS header_row, 0 AS filtered_count, count(*) AS data_rows, 'name,phone,,amount,note' AS types FROM orders GROUP BY o_orderstatus")
 def detect_sheet(spark, d):
-    """Table detection and typing of three sheets, end to end."""
+    """D1-D18 but D7: table detection and typing of three sheets, end to end."""
     body = _people(spark, d).withColumn("row_idx", F.col("row_idx") + 1)
     phone = F.concat(F.lit("13"), F.lpad(F.get("cells", F.lit(1)), 9, "0"))
     body = body.select("source_id", "row_idx", F.array(F.lit("王辉"), phone, F.lit("x"), F.get("cells", F.lit(3)), F.lit("")).alias("cells"))
