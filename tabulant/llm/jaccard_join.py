@@ -7,56 +7,73 @@ shingles in both.
 
 * Size bands. Sizes are cut into bands, each with its own partition of the
   shingle universe (by hash) into segments. A set is entered in its own band, and
-  in the next one if a partner could lie there.
+  in every further one where a partner could lie.
 * Segment subsets. A set enters only the first H + 1 of its *eligible* segments.
   Eligible is a property of a segment's content alone (so equal segments are
   eligible on both sides): at least ``least`` shingles that are not common in the
   corpus. Sets with too few eligible segments enter them all, and then again
-  under weaker rules (one rare shingle is enough; common shingles count; all such
-  sets of a band meet). If either set of a pair has enough segments, the pair meets
-  under that rule; if neither has, both go on to the next.
+  under weaker rules (one rare shingle is enough; common shingles count; empty
+  segments count, of which there are always enough). If either set of a pair has
+  enough segments, the pair meets under that rule; if neither has, both go on.
 * One-deletion neighbourhoods. Where H <= 2 m - 1 for m segments, some segment
   differs by at most one shingle; entering each segment and all its
   one-deletions finds it.
 * Cost-based allocation. Per band, the number of rows and the expected accidental
-  meetings (from the numbers of sets in the band, counted over the corpus) choose
-  between segment subsets and deletions, and how long segments are.
-
-Equal sets are one class from the start. Entries meet by hash in bounded
-buckets, after tasks have combined their own: a task sends one entry per
-signature, so a signature that a third of all documents share stays small.
-
-What meets is verified on the words of the whole texts, never on hashes. A group
-that meets is not expanded into pairs: one member (the pivot) is compared with
-the others, components are built, and a group goes on with its next pivot only
-while its members are still in different components. Up to ``PIVOTS`` members
-outside the group's largest component (twice as many in each later round) are
-then compared with the members of other components.
+  meetings choose between segment subsets and deletions. The meetings follow from
+  the number of sets in the band and from how many other sets hold a set's
+  shingle, both measured over the corpus.
+
+Copies (SHA-256 of the lower-cased words) are one node from the start; equal sets
+of other words become one after a comparison of their words. Entries meet by hash
+in bounded buckets, after tasks have combined their own: a task sends one entry
+per signature, so a signature that a third of all documents share stays small.
+
+Groups that meet are settled without all their pairs. One member, the pivot, is
+compared with the others. A group of up to ``SMALL`` members that is still in
+several components then compares those of different components. A larger one is
+entered anew, by what tells its members from the pivot: let D_x count the
+shingles in which x and the pivot differ. Two members differ in D_x + D_y less
+twice the differences they share, so if at least one is not linked to the pivot
+(if both are, nothing is left to find), they must share
+ceil((D_x + D_y - H) / 2) >= 1 of them. Each difference is a segment of one
+shingle; a member enters only as many of its first, in a fixed order, that one
+has to be met, per band of the partner's D. What meets forms new groups, with
+new pivots. A document is the pivot of one level at most; a group without any
+left compares all its members, so this ends.
+
+Pairs are first held against histograms of the shingle hashes, whose distance is
+a lower bound of the true one; what may be similar is verified on the words of
+the whole texts, never on hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.llm.common import lowered, materialise, mix64, partitions, text_parts, word_codes
+from tabulant.llm.common import SPACES, discard, lowered, materialise, mix64, partitions, text_parts, word_codes
 
 BAND_RATIO = 1.5
-#: A shingle is common if about this share of documents has it.
+#: A shingle is common if about this share of documents has it. This bounds the list of them; groups of rarer ones are entered anew.
 COMMON = 0.005
-PIVOTS = 8
+#: Groups of up to so many members may compare all their pairs.
+SMALL = 16
+#: Bands of the number of differences from a pivot.
+DIFFERENCE_RATIO = 1.25
 CHUNK_SHINGLES = 1_500_000
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 24 << 20
-#: In the cost model: what a verified pair costs, in index rows, and how often two unrelated sets share a shingle.
-PAIR_ROWS, SHARED = 4.0, 1e-4
+#: In the cost model: what a compared pair costs, in index rows.
+PAIR_ROWS = 4.0
 #: Sets below this have too few shingles for segments that are never empty.
 LEAST_SEGMENTED = 32
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -129,8 +146,8 @@ def _segments(low: int, high: int, p: int, q: int) -> tuple[int, int]:
     return max(2 * (differing(high, p, q) + 1) + 2, 4), 1
 
 
-def plan_bands(largest: int, counts: dict[int, int], p: int, q: int) -> list[Band]:
-    """Bands for sets of up to ``largest`` shingles; ``counts``: sets by floor(4 log2 size)."""
+def plan_bands(largest: int, counts: dict[int, int], p: int, q: int, shared: float = 1e-4) -> list[Band]:
+    """Bands for sets of up to ``largest`` shingles; ``counts``: sets by floor(4 log2 size); ``shared``: of other sets, how many hold a set's shingle."""
     low = next(s for s in range(1, largest + 2) if differing(s, p, q) >= 1 or s > largest)
     bands = []
     while low <= largest:
@@ -140,9 +157,9 @@ def plan_bands(largest: int, counts: dict[int, int], p: int, q: int) -> list[Ban
         n = sum(c for b, c in counts.items() if low <= 2 ** ((b + 1) / 4) and 2 ** (b / 4) <= high)
         m, least = _segments(low, high, p, q)
         need = differing(high, p, q) + 1
-        cost = need * (1 + PAIR_ROWS * n * SHARED**least)
+        cost = need * (1 + PAIR_ROWS * n * shared**least)
         parts = (need + 1) // 2
-        cost_deletions = (parts + high) * (1 + PAIR_ROWS * n * SHARED ** max(0.0, low / parts - 1))
+        cost_deletions = (parts + high) * (1 + PAIR_ROWS * n * shared ** max(0.0, low / parts - 1))
         bands.append(Band(low, high, parts, 0) if low < LEAST_SEGMENTED or cost_deletions < cost else Band(low, high, m, least))
         low = high + 1
     return bands
@@ -151,13 +168,10 @@ def plan_bands(largest: int, counts: dict[int, int], p: int, q: int) -> list[Ban
 def signatures(h: np.ndarray, bands: list[Band], lows: np.ndarray, common: np.ndarray, p: int, q: int) -> np.ndarray:
     """The signatures of one set: pairs of similar, unequal sets share at least one."""
     size = len(h)
-    own = int(np.searchsorted(lows, size, side="right")) - 1
-    if own < 0:
-        # Too small to differ from a similar set, unless a partner lies in the first band.
-        places = [0] if bands and size and size * q // p >= bands[0].low else []
-    else:
-        places = [own] + ([own + 1] if own + 1 < len(bands) and size * q // p >= bands[own + 1].low else [])
-    if not places:
+    # A set too small to differ from a similar one is in no band of its own, but a partner may be.
+    own, last = (int(np.searchsorted(lows, s, side="right")) - 1 for s in (size, size * q // p))
+    places = range(max(own, 0), last + 1) if size else []
+    if not len(places):
         return np.empty(0, dtype=np.uint64)
     need = differing(size, p, q) + 1
     rare = None
@@ -191,28 +205,48 @@ def signatures(h: np.ndarray, bands: list[Band], lows: np.ndarray, common: np.nd
             if len(found) == need:
                 break
         else:
-            out.append(named(np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64), 6))
+            # Empty segments count: there are more segments than shingles that may differ.
+            full = np.zeros(band.segments, dtype=np.uint64)
+            full[ids.astype(np.int64)] = sums
+            out.append(named(np.arange(need, dtype=np.uint64), full[:need], 4))
     return np.concatenate(out)
 
 
 # --- passes over the texts ------------------------------------------------
 
-_LIGHT = "kind int, doc_id long, n_shingles long, k1 long, k2 long"
-_LIGHT_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+_LIGHT = "kind int, doc_id long, n_shingles long, k1 long, k2 long, words binary, sketch binary"
+_LIGHT_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("words", pa.binary()), ("sketch", pa.binary())])
 
 
 def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
-def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _set_keys(sets: list[np.ndarray], key_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     one = np.array([np.add.reduce(mix64(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
     two = np.array([np.add.reduce(mix64(s ^ _G) * _G) if len(s) else 0 for s in sets], dtype=np.uint64)
-    return one, two
+    return one >> np.uint64(64 - key_bits), two >> np.uint64(64 - key_bits)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Histogram of shingle hashes, about as many cells as shingles: cells are capped at 255, so distances only shrink."""
+    bits = min(12, max(5, (len(h) - 1).bit_length()))
+    return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles in which the sets of two sketches differ."""
+    x, y = (np.frombuffer(s, dtype=np.uint8).astype(np.int64) for s in (a, b))
+    while len(x) > len(y):
+        x = x[0::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[0::2] + y[1::2]
+    return int(np.abs(x - y).sum())
 
 
-def _measure(n: int):
-    """Kind 0: id, size and 128-bit key of each set. Kind 1: shingles often met in a chunk, with counts."""
+def _measure(n: int, key_bits: int):
+    """Kind 0: id, size, 128-bit key and sketch of each set, digest of its words. Kind 1: shingles often met in a chunk,
+    with counts. Kind 2: (shingles of other sets that meet a set's, those that could)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -221,16 +255,24 @@ def _measure(n: int):
         def common() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= max(4, 2 * COMMON * len(held))
+            met, could = (counts[~often] * (counts[~often] - 1)).sum(), counts[~often].sum() * (len(held) - 1)
             values, counts = values[often], counts[often]
-            none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), dtype=np.int32)), none, pa.array(counts.astype(np.int64)), pa.array(_signed(values)), none], schema=_LIGHT_SCHEMA)
+            kinds = np.append(np.ones(len(values), dtype=np.int32), np.int32(2))
+            n_shingles, k1 = np.append(counts, met).astype(np.int64), np.append(_signed(values), could).astype(np.int64)
+            none = pa.nulls(len(kinds), pa.int64())
+            blank = pa.nulls(len(kinds), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(kinds), none, pa.array(n_shingles), pa.array(k1), none, blank, blank], schema=_LIGHT_SCHEMA)
 
         for batch in batches:
             for part in text_parts(batch, "text", BATCH_BYTES):
-                sets = shingle_sets(part.column("text"), n)
-                one, two = _set_keys(sets)
+                texts = part.column("text")
+                sets = shingle_sets(texts, n)
+                one, two = _set_keys(sets, key_bits)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), dtype=np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(one)), pa.array(_signed(two))], schema=_LIGHT_SCHEMA)
+                plain = pc.ascii_trim_whitespace(pc.replace_substring_regex(lowered(texts), SPACES, " "))
+                digests = [hashlib.sha256(t.as_buffer()).digest() for t in plain]
+                columns = [pa.array(np.zeros(len(sets), dtype=np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(one)), pa.array(_signed(two))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], schema=_LIGHT_SCHEMA)
                 held += [s for s in sets if len(s)]
                 size += int(sizes.sum())
                 if size >= CHUNK_SHINGLES:
@@ -260,44 +302,53 @@ def _grouped(sigs: np.ndarray, keys: np.ndarray, several: np.ndarray) -> tuple[n
     return sigs, keys, new_sig, np.repeat(many, sizes)
 
 
-def _enter(n: int, bands: list[Band], common: np.ndarray, p: int, q: int, buckets: int):
+class _Entries:
+    """Collects (signature, key) pairs of a task and packs them by bucket."""
+
+    def __init__(self, buckets: int):
+        self._buckets = buckets
+        self._sigs: list[np.ndarray] = []
+        self._keys: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, sigs: np.ndarray, key: np.uint64) -> None:
+        if len(sigs):
+            self._sigs.append(sigs)
+            self._keys.append(np.full(len(sigs), key, dtype=np.uint64))
+            self.size += len(sigs)
+
+    def flush(self) -> pa.RecordBatch:
+        sigs, keys = np.concatenate(self._sigs), np.concatenate(self._keys)
+        self._sigs, self._keys, self.size = [], [], 0
+        sigs, keys, first, many = _grouped(sigs, keys, np.zeros(len(sigs), dtype=np.uint8))
+        rows: list[tuple] = []
+        # One entry of each signature is sent to its bucket; the rest of a signature
+        # that already has several keys here is known to meet, and spread evenly.
+        for sent, mask in ((True, first), (False, ~first)):
+            s, k, m = sigs[mask], keys[mask], many[mask].astype(np.uint8)
+            place = ((s if sent else mix64(k)) % np.uint64(self._buckets)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            s, k, m, place = s[order], k[order], m[order], place[order]
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+            for a, b in zip(cuts, [*cuts[1:], len(place)]):
+                rows.append((int(place[a]), sent, s[a:b].tobytes(), k[a:b].tobytes(), m[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ENTRY_SCHEMA)], schema=_ENTRY_SCHEMA)
+
+
+def _enter(n: int, bands: list[Band], common: np.ndarray, p: int, q: int, buckets: int, key_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows = np.array([b.low for b in bands], dtype=np.int64)
-        held: list[np.ndarray] = []
-        names: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            sigs, keys = np.concatenate(held), np.concatenate(names)
-            sigs, keys, first, many = _grouped(sigs, keys, np.zeros(len(sigs), dtype=np.uint8))
-            rows: list[tuple] = []
-            # One entry of each signature is sent to its bucket; the rest of a signature
-            # that already has several keys here is known to meet, and spread evenly.
-            for sent, mask in ((True, first), (False, ~first)):
-                s, k, m = sigs[mask], keys[mask], many[mask].astype(np.uint8)
-                place = ((s if sent else k) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(place, kind="stable")
-                s, k, m, place = s[order], k[order], m[order], place[order]
-                cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
-                for a, b in zip(cuts, [*cuts[1:], len(place)]):
-                    rows.append((int(place[a]), sent, s[a:b].tobytes(), k[a:b].tobytes(), m[a:b].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ENTRY_SCHEMA)], schema=_ENTRY_SCHEMA)
-
+        entries = _Entries(buckets)
         for batch in batches:
             for part in text_parts(batch, "text", BATCH_BYTES):
                 sets = shingle_sets(part.column("text"), n)
-                one, _ = _set_keys(sets)
+                one, _ = _set_keys(sets, key_bits)
                 for key, h in zip(one, sets):
-                    s = signatures(h, bands, lows, common, p, q)
-                    if len(s):
-                        held.append(s)
-                        names.append(np.full(len(s), key, dtype=np.uint64))
-                        size += len(s)
-                if size >= CHUNK_SHINGLES:
-                    yield flush()
-                    held, names, size = [], [], 0
-        if size:
-            yield flush()
+                    entries.add(signatures(h, bands, lows, common, p, q), key)
+                if entries.size >= CHUNK_SHINGLES:
+                    yield entries.flush()
+        if entries.size:
+            yield entries.flush()
 
     return run
 
@@ -317,26 +368,107 @@ def _meet(entries: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(_signed(sigs)), "k1": pa.array(_signed(keys))})
 
 
+# --- differences from a pivot ------------------------------------------------
+
+
+def differences(h: np.ndarray, pivot: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What tells a set from the pivot's, in an order that puts the less frequent first: shingles of its own, then those it lacks, and common ones last."""
+    more, less = np.setdiff1d(h, pivot, assume_unique=True), np.setdiff1d(pivot, h, assume_unique=True)
+    often = np.isin(more, common)
+    return np.concatenate([more[~often], mix64(less ^ _G), more[often]])
+
+
+def _difference_band(d: int) -> int:
+    return math.floor(math.log(d) / math.log(DIFFERENCE_RATIO))
+
+
+def entered_differences(d: int, size: int, pivot: int, is_linked: bool, p: int, q: int) -> list[tuple[int, int]]:
+    """(band of the partner's differences, how many of its own first differences a set has to enter for it).
+
+    ``d`` of its shingles differ from the pivot's. Where the set is linked to the
+    pivot, only partners that are not matter.
+    """
+    most = differing(size, p, q)
+    low = max(1, d - most)
+    if is_linked:
+        low = max(low, (-(-size * p // q) + pivot) * (q - p) // (q + p) + 1)
+    out = []
+    for band in range(_difference_band(low), _difference_band(d + most) + 1) if d and low <= d + most else []:
+        least = max(low, math.floor(DIFFERENCE_RATIO**band * (1 - 1e-9)))
+        enter = d - max(1, (d + least - most + 1) // 2) + 1
+        if enter > 0:
+            out.append((band, enter))
+    return out
+
+
+def _enter_differences(p: int, q: int, buckets: int, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = _Entries(buckets)
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, first = _difference_band(max(1, row["d"])), np.frombuffer(row["first"], dtype=np.uint64)
+                family = mix64(np.array([row["a"]], dtype=np.int64).view(np.uint64) * _G + np.uint64(level))
+                for band, enter in entered_differences(row["d"], row["nb"], row["na"], row["linked"], p, q):
+                    low, high = sorted((own, band))
+                    entries.add(mix64(first[:enter] * _G + mix64(family + np.uint64((low << 20) + high))), np.int64(row["b"]).view(np.uint64))
+            if entries.size >= CHUNK_SHINGLES:
+                yield entries.flush()
+        if entries.size:
+            yield entries.flush()
+
+    return run
+
+
 # --- verification and components ------------------------------------------
 
 
-def _verifier(n: int, p: int, q: int):
+def _plausible(p: int, q: int):
+    """Pairs whose sketches don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            most = (na + nb) * (q - p) // (q + p)
+            far = np.fromiter(map(apart, batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()), dtype=np.int64, count=len(na))
+            yield batch.select(["a", "b"]).filter(pa.array(far <= most))
+
+    return run
+
+
+_COMPARED = "a long, b long, linked boolean, na long, nb long, d long, first binary"
+_COMPARED_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("na", pa.int64()), ("nb", pa.int64()), ("d", pa.int64()), ("first", pa.binary())])
+
+
+def _verifier(n: int, p: int, q: int, common: np.ndarray):
+    """Compares words. Pairs that are not linked are returned only where ``a`` is the pivot of a large group;
+    then the first differences are given, as many as can be entered."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, str], set] = {}
+        words: dict[tuple[int, str], set] = {}
+        hashes: dict[tuple[int, str], np.ndarray] = {}
 
-        def of(i: int, text: str | None) -> set:
+        def of(known: dict, i: int, text: str | None, make) -> set | np.ndarray:
             found = known.get((i, text))
             if found is None:
                 if len(known) >= 32:
                     known.clear()
-                found = known[(i, text)] = exact_shingles(text or "", n)
+                found = known[(i, text)] = make(text or "")
             return found
 
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            kept = [(i, j) for i, j, s, t in zip(a, b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()) if similar(of(i, s), of(j, t), p, q)]
-            cols = list(zip(*kept)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for batch in text_parts(whole, "text_b", BATCH_BYTES):
+                rows = []
+                sets = iter(shingle_sets(batch.filter(batch.column("big")).column("text_b"), n))
+                for a, b, big, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "big", "text_a", "text_b"))):
+                    is_linked = similar(of(words, a, s, lambda x: exact_shingles(x, n)), exact_shingles(t or "", n), p, q)
+                    if big:
+                        own, pivot = next(sets), of(hashes, a, s, lambda x: shingle_sets(pa.array([x]), n)[0])
+                        found = differences(own, pivot, common)
+                        rows.append((a, b, is_linked, len(pivot), len(own), len(found), found[: differing(len(own), p, q) + 1].tobytes()))
+                    elif is_linked:
+                        rows.append((a, b, True, None, None, None, None))
+                cols = list(zip(*rows)) or [()] * len(_COMPARED_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _COMPARED_SCHEMA)], schema=_COMPARED_SCHEMA)
 
     return run
 
@@ -345,86 +477,156 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable. Labels spread to neighbours, then jump to their label's label."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).where("node <> other").distinct()
     both = materialise(both, "links")
-    labels = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
+    step = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
     while True:
+        before, labels = step, step.select("node", "comp")
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
         step = materialise(step.join(jump, "new", "left").select("node", F.least("new", "far").alias("comp"), "old"), "labels")
-        labels = step.select("node", "comp")
+        discard(before)
         if step.where("comp <> old").isEmpty():
-            return labels
-
-
-def linked(docs: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """(light rows: doc_id, n_shingles, k1, k2; components of class representatives: node, comp).
-
-    ``docs`` has doc_id (long) and text.
+            discard(both)
+            return step.select("node", "comp")
+
+
+class _Join:
+    """The tables of one join, and the comparison of pairs."""
+
+    def __init__(self, docs: DataFrame, n: int, p: int, q: int, key_bits: int):
+        self.spark, self.docs, self.n, self.p, self.q = docs.sparkSession, docs, n, p, q
+        self.every = materialise(docs.mapInArrow(_measure(n, key_bits), _LIGHT), "shingle-sets")
+        self.sets = self.every.where("kind = 0 and n_shingles > 0")
+        by_size = self.sets.groupBy(F.floor(4 * F.log2("n_shingles")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_shingles").alias("m"), F.sum("n_shingles").alias("s")).collect()
+        total = sum(r["c"] for r in by_size)
+        # At most (mean set size) / COMMON shingles can be so common: a bound that does not grow with the corpus.
+        often = self.every.where("kind = 1").groupBy("k1").agg(F.sum("n_shingles").alias("c")).where(F.col("c") >= max(4, COMMON * total))
+        self.common = np.sort(np.array([r["k1"] for r in often.select("k1").toLocalIterator()], dtype=np.int64).view(np.uint64))
+        met, could = self.every.where("kind = 2").agg(F.sum("n_shingles"), F.sum(F.col("k1").cast("double"))).first()
+        shared = min(0.5, max(1e-9, (met or 0) / (could or 1)))
+        self.bands = plan_bands(max((r["m"] for r in by_size), default=0), {r["b"]: r["c"] for r in by_size}, p, q, shared)
+        rows = sum(r["s"] for r in by_size) * (q - p) / (q + p) * 2.8
+        self.buckets = max(partitions(self.spark), math.ceil(rows * 17 / BUCKET_BYTES))
+        self.key_bits = key_bits
+
+    def nodes(self) -> DataFrame:
+        """k1, k2, words, node, n: the node of each set, which is the smallest id of its class. Equal sets of other words are compared."""
+        words = self.sets.groupBy("k1", "k2", "words").agg(F.min("doc_id").alias("cid"), F.max("n_shingles").alias("n")).where("cid is not null")
+        words = materialise(words, "shingle-words")
+        roots = words.groupBy("k1", "k2").agg(F.min("cid").alias("root"), F.count(F.lit(1)).alias("kinds"))
+        rooted = words.join(roots, ["k1", "k2"])
+        doubtful = rooted.where("kinds > 1 and cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")).distinct()
+        doubtful = materialise(doubtful, "equal-sets")
+        if doubtful.isEmpty():
+            return rooted.select("k1", "k2", "words", F.col("root").alias("node"), "n")
+        ids = doubtful.select(F.col("a").alias("cid")).union(doubtful.select("b")).distinct()
+        texts = self.docs.select(F.col("doc_id").alias("cid"), "text").join(ids, "cid", "left_semi")
+        same = materialise(self.with_texts(doubtful.withColumn("big", F.lit(False)), texts).mapInArrow(_verifier(self.n, 1, 1, self.common), _COMPARED).select(F.col("b").alias("cid"), F.lit(True).alias("same")).distinct(), "equal-sets")
+        return rooted.join(same, "cid", "left").select("k1", "k2", "words", F.when((F.col("cid") == F.col("root")) | F.col("same"), F.col("root")).otherwise(F.col("cid")).alias("node"), "n")
+
+    @staticmethod
+    def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        two = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        return two.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "big", "text_a", "text_b")
+
+    def met(self, entries: DataFrame) -> DataFrame:
+        return entries.groupBy("bucket").applyInArrow(lambda t: _meet(t.drop_columns(["bucket"])), "sig long, k1 long")
+
+    def groups(self, nodes: DataFrame) -> DataFrame:
+        entries = self.docs.mapInArrow(_enter(self.n, self.bands, self.common, self.p, self.q, self.buckets, self.key_bits), _ENTRIES)
+        return self.met(entries).join(nodes.groupBy("k1", "node").agg(F.max("n").alias("n")), "k1").select("sig", F.col("node").alias("cid"), "n").distinct()
+
+    def members(self, groups: DataFrame) -> None:
+        """Texts and sketches of all that met."""
+        ids = groups.select("cid").distinct()
+        self.texts = materialise(self.docs.select(F.col("doc_id").alias("cid"), "text").join(ids, "cid", "left_semi"), "met-texts")
+        self.sketches = materialise(self.sets.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "sketch").join(ids, "cid", "left_semi"), "met-sketches")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """``pairs``: a, b, big. Linked ones, and all big ones with their differences."""
+        small = pairs.where("not big")
+        for side in ("b", "a"):
+            small = small.join(self.sketches.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        fit = small.where((self.q * F.col("na") >= self.p * F.col("nb")) & (self.q * F.col("nb") >= self.p * F.col("na")))
+        fit = fit.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_plausible(self.p, self.q), "a long, b long").distinct()
+        chosen = fit.withColumn("big", F.lit(False)).union(pairs.where("big").select("a", "b", "big"))
+        return materialise(self.with_texts(chosen, self.texts).mapInArrow(_verifier(self.n, self.p, self.q, self.common), _COMPARED), "compared")
+
+
+def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Groups with their members' components, where these are several."""
+    named = groups.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    several = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    return named.join(several, "sig")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("big", F.lit(False))
+
+
+def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(light rows: doc_id, n_shingles, k1, k2, words; nodes: k1, k2, words, node; components of nodes: node, comp).
+
+    ``docs`` has doc_id (long) and text. ``key_bits`` below 64 makes sets share keys, for tests.
     """
-    spark = docs.sparkSession
-    every = materialise(docs.mapInArrow(_measure(n), _LIGHT), "shingle-sets")
-    light = every.where("kind = 0").drop("kind")
-    facts = light.where("n_shingles > 0").groupBy(F.floor(4 * F.log2("n_shingles")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_shingles").alias("m"), F.sum("n_shingles").alias("s")).collect()
-    total = sum(r["c"] for r in facts)
-    classes = light.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.max("n_shingles").alias("n")).where("cid is not null")
-    # At most (mean set size) / COMMON shingles can be so common: a bound that does not grow with the corpus.
-    often = every.where("kind = 1").groupBy("k1").agg(F.sum("n_shingles").alias("c")).where(F.col("c") >= max(4, COMMON * total))
-    common = np.sort(np.array([r["k1"] for r in often.select("k1").toLocalIterator()], dtype=np.int64).view(np.uint64))
-    bands = plan_bands(max((r["m"] for r in facts), default=0), {r["b"]: r["c"] for r in facts}, p, q) if facts else []
-    rows = sum(r["s"] for r in facts) * (q - p) / (q + p) * 2.8
-    buckets = max(partitions(spark), math.ceil(rows * 17 / BUCKET_BYTES))
-    entries = docs.mapInArrow(_enter(n, bands, common, p, q, buckets), _ENTRIES)
-    met = entries.groupBy("bucket").applyInArrow(lambda t: _meet(t.drop_columns(["bucket"])), "sig long, k1 long")
-    groups = materialise(met.join(classes.select("k1", "cid", "n"), "k1").select("sig", "cid", "n"), "met")
-    # The member of many large groups is most like the others: the text that the rest are copies of.
-    sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("_s"))
-    weights = groups.join(sizes, "sig").groupBy("cid").agg(F.sum("_s").alias("w"))
-    groups = materialise(groups.join(weights, "cid"), "met")
-    texts = materialise(docs.select(F.col("doc_id").alias("cid"), "text").join(groups.select("cid").distinct(), "cid", "left_semi"), "met-texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        fit = pairs.where((q * F.col("na") >= p * F.col("nb")) & (q * F.col("nb") >= p * F.col("na")))
-        fit = fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one = fit.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, p, q), "a long, b long"), "verified")
-
-    best = groups.groupBy("sig").agg(F.max(F.struct("w", "cid", "n")).alias("x"))
-    pivots = materialise(best.select("sig", F.col("x.cid").alias("a"), F.col("x.n").alias("na")), "pivots")
-    comp = components(verified(groups.join(pivots, "sig").where("cid <> a").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))))
-    left, most = groups, PIVOTS
+    join = _Join(docs, n, p, q, key_bits)
+    spark = join.spark
+    nodes = materialise(join.nodes(), "nodes")
+    groups = materialise(join.groups(nodes), "met")
+    join.members(groups)
+    none = spark.createDataFrame([], "a long, b long, big boolean")
+    comp, used = spark.createDataFrame([], "node long, comp long"), spark.createDataFrame([], "cid long")
+    rest, level = none, 0  # what small groups of the level before have left to compare
     while True:
-        # What is left of a group no longer needs its pivots; it is settled once one component holds all.
-        left = left.join(pivots.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti")
-        named = left.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", "n", "w", F.coalesce("comp", "cid").alias("comp"))
-        open_sigs = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        named = materialise(named.join(open_sigs, "sig"), "open")
-        if named.isEmpty():
-            return light, comp
-        # Members outside the group's largest component are the next pivots.
-        shares = named.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("share"))
-        largest = shares.groupBy("sig").agg(F.max("share").alias("top")).join(shares, "sig").where("share = top").groupBy("sig").agg(F.min("comp").alias("comp"))
-        outside = named.join(largest, ["sig", "comp"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("w"), "cid"))
-        pivots = materialise(outside.withColumn("_turn", turn).where(F.col("_turn") <= most).select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), "pivots")
-        pairs = named.join(pivots, "sig").where("comp <> ca").select("a", F.col("cid").alias("b"), "na", F.col("n").alias("nb"))
-        more = verified(pairs)
-        if not more.isEmpty():
-            comp = _joined_components(comp, more)
-        left, most = named.select("sig", "cid", "n", "w"), 2 * most
+        # The member of many large groups is most like the others: the text that the rest are copies of.
+        sized = groups.join(groups.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
+        weights = sized.groupBy("cid").agg(F.sum("size").alias("weight"))
+        best = sized.join(weights, "cid").join(used, "cid", "left_anti").groupBy("sig").agg(F.max(F.struct("weight", "cid")).alias("x")).select("sig", F.col("x.cid").alias("a"))
+        sized = materialise(sized.join(best, "sig", "left"), "pivots")
+        large = (F.col("size") > SMALL) & F.col("a").isNotNull()
+        star = sized.where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.max(large).alias("big"))
+        result = join.compared(star.union(rest))
+        before, comp = comp, _joined_components(comp, result.where("linked"))
+        small = materialise(_open(sized.where(~large).where("a is null or cid <> a").select("sig", "cid"), comp), "open")
+        pairs = small.alias("x").join(small.alias("y"), "sig").where("x.cid < y.cid and x.comp <> y.comp")
+        spent = [groups, sized, result, small, rest, before]
+        rest = materialise(_ordered(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))), "rest")
+        # A family: a pivot and the members of all its large groups.
+        families = result.where("nb is not null")
+        outer = families.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        still = outer.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a").distinct()
+        families = materialise(families.join(still, "a", "left_semi"), "families")
+        held = families.agg(F.sum(F.octet_length("first"))).first()[0]
+        if held is None and rest.isEmpty():
+            discard(*spent, families, rest, used)
+            break
+        spent += [families, used]
+        used = materialise(used.union(sized.where(large).select(F.col("a").alias("cid"))).distinct(), "used")
+        buckets = max(partitions(spark), math.ceil((held or 0) * 4 * 17 / 8 / BUCKET_BYTES))
+        entries = families.mapInArrow(_enter_differences(p, q, buckets, level), _ENTRIES)
+        met = materialise(join.met(entries).select("sig", F.col("k1").alias("cid")).distinct(), "met")
+        groups = materialise(_open(met, comp).select("sig", "cid"), "met")
+        discard(*spent, met)
+        level += 1
+    discard(join.texts, join.sketches)
+    return join.every.where("kind = 0"), nodes, comp
 
 
 def _joined_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """The components after more links: only their labels are joined, the nodes are renamed."""
+    if edges.isEmpty():
+        return materialise(comp, "components")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     every = comp.join(nodes, "node", "full_outer").select("node", F.coalesce("comp", "node").alias("comp"))
     every = materialise(every, "components")
     ends = edges.join(every.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
     renamed = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return materialise(every.join(renamed, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
+    out = materialise(every.join(renamed, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
+    discard(every)
+    return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, p: int = 80, q: int = 100, key_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Rows link when q * intersection >= p * union. Texts without words (null and
@@ -434,10 +636,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    light, comp = linked(rows, n, p, q)
-    full = light.where("n_shingles > 0")
-    classes = materialise(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")).join(comp, F.col("cid") == F.col("node"), "left").select("k1", "k2", F.coalesce("comp", "cid").alias("component_id")), "classes")
-    found = full.join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    light, nodes, comp = linked(rows, n, p, q, key_bits)
+    full = light.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2", "words")
+    classes = materialise(nodes.join(comp, "node", "left").select("k1", "k2", "words", F.coalesce("comp", "node").alias("component_id")), "classes")
+    found = full.where("doc_id is not null").join(classes, ["k1", "k2", "words"]).select("doc_id", "n_shingles", "component_id")
+    found = found.union(full.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     return found.union(light.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -75,10 +75,10 @@ def hot_rows():
 def test_similar_sets_share_a_signature():
     """The pigeonhole rule over all sizes: whatever pair is similar meets, common shingles or not."""
     r = np.random.default_rng(4)
-    for p in (80, 90):
-        bands = jaccard_join.plan_bands(700, {b: 50 for b in range(40)}, p, 100)
+    for p in (40, 50, 60, 80, 90):
+        bands = jaccard_join.plan_bands(2000, {b: 50 for b in range(44)}, p, 100)
         lows = np.array([b.low for b in bands])
-        assert bands[0].least == 0  # the smallest sets go by one-deletion neighbourhoods
+        assert p < 80 or bands[0].least == 0  # the smallest sets go by one-deletion neighbourhoods
         for size in [*range(2, 60), 99, 150, 333, 590]:
             for trial in range(6):
                 a = r.integers(0, 2**63, size=size, dtype=np.uint64)
@@ -94,6 +94,76 @@ def test_similar_sets_share_a_signature():
                 assert np.intersect1d(x, y).size, (p, size, len(b))
 
 
+def family(seed, size, count, edits):
+    """Texts around one base, many of them less than similar to it and to each other, and pairs of a text and its near copy."""
+    r = random.Random(seed)
+    base = [f"f{r.randrange(900)}" for _ in range(size)]
+    out = []
+    for k in range(count):
+        w = list(base) if k % 3 or not out else out[-1].split(" ")
+        for _ in range(r.randrange(*edits) if k % 3 else 1):
+            w[r.randrange(len(w))] = f"g{r.randrange(40)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("n", "p", "edits"), [(3, 90, (2, 9)), (5, 80, (3, 12)), (2, 50, (8, 40))])
+def test_large_families_are_whole(spark, n, p, edits):
+    """Groups beyond SMALL, entered anew by differences from their pivots, lose no link."""
+    texts = family(1, 120, 150, edits) + family(2, 90, 90, edits) + [family(3, 60, 1, edits)[0] + " " + family(4, 70, 1, edits)[0]]
+    texts += [f"{head} {family(5, 40, 1, (0, 1))[0]}" for head in family(6, 30, 60, (10, 30))]
+    rows = list(enumerate(texts))
+    got = [tuple(r) for r in jaccard_join.jaccard_components(cases.frame(spark, wide(rows)), n=n, p=p, q=100).collect()]
+    want = brute_components(rows, n, p, 100)
+    assert sorted(got) == sorted(want)
+    assert 5 < len({c for _, _, c in want}) < len(rows) - 20
+
+
+def test_shared_keys_join_nothing(spark):
+    """Sets that share a key, as if hashes had collided, are told apart on their words."""
+    rows = cases.plain(cases.documents(seed=3, n=60)) + [(7000, "a b a b a b c"), (7001, "a b a b c"), (7002, "b c d e f g")]
+    got = [tuple(r) for r in jaccard_join.jaccard_components(cases.frame(spark, wide(rows)), n=2, p=90, q=100, key_bits=4).collect()]
+    assert sorted(got, key=str) == sorted(brute_components(rows, 2, 90, 100), key=str)
+
+
+def test_differences_that_have_to_meet():
+    """Of any similar pair that is not linked to the pivot as a whole, both enter a difference they share for each other's band."""
+    r = np.random.default_rng(8)
+    pivot = r.integers(0, 2**63, size=150, dtype=np.uint64)
+    pool = r.integers(0, 2**63, size=60, dtype=np.uint64)
+
+    def member(of, edits):
+        kept = of[r.random(len(of)) > edits / len(of)]
+        return np.unique(np.concatenate([kept, r.choice(pool, size=r.integers(0, edits + 1), replace=False)]))
+
+    none, met = np.empty(0, dtype=np.uint64), 0
+    for p in (50, 80, 90):
+        for _ in range(400):
+            a = member(pivot, int(r.integers(2, 40)))
+            b = member(a, int(r.integers(1, 8)))
+            similar = lambda x, y: 100 * len(np.intersect1d(x, y)) >= p * len(np.union1d(x, y))
+            if not similar(a, b) or (similar(a, pivot) and similar(b, pivot)):
+                continue
+            found = []
+            for s in (a, b):
+                d = jaccard_join.differences(s, pivot, none)
+                band = jaccard_join._difference_band(len(d))
+                found.append((band, {x: set(d[:k].tolist()) for x, k in jaccard_join.entered_differences(len(d), len(s), len(pivot), similar(s, pivot), p, 100)}))
+            (ba, xa), (bb, xb) = found
+            assert xa.get(bb, set()) & xb.get(ba, set()), p
+            met += 1
+    assert met > 100
+
+
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(2)
+    for size in (1, 5, 40, 300, 9000):
+        a = r.integers(0, 2**63, size=size, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate([a[: size - size // 7], r.integers(0, 2**63, size=size // 5, dtype=np.uint64)])
+        assert jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b))
+        assert jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(a)) == 0
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(cases.frame(spark, [])).count() == 0
     assert jaccard_join.jaccard_components(cases.frame(spark, wide([(1, None), (2, "a"), (3, "b")]))).count() == 3
