@@ -36,10 +36,10 @@ shingles in which x and the pivot differ. Two members differ in D_x + D_y less
 twice the differences they share, so if at least one is not linked to the pivot
 (if both are, nothing is left to find), they must share
 ceil((D_x + D_y - H) / 2) >= 1 of them. Each difference is a segment of one
-shingle; a member enters only as many of its first, in a fixed order, that one
-has to be met, per band of the partner's D. What meets forms new groups, with
-new pivots. A document is the pivot of one level at most; a group without any
-left compares all its members, so this ends.
+shingle; a member enters only as many of its first that one has to be met, per
+band of the partner's D. Differences that more than ``FREQUENT`` of the members
+have come last, so what meets again is at most that share of the group. These
+are new groups, without the pivot, and are settled in the same way.
 
 Pairs are first held against histograms of the shingle hashes, whose distance is
 a lower bound of the true one; what may be similar is verified on the words of
@@ -66,7 +66,9 @@ BAND_RATIO = 1.5
 #: A shingle is common if about this share of documents has it. This bounds the list of them; groups of rarer ones are entered anew.
 COMMON = 0.005
 #: Groups of up to so many members may compare all their pairs.
-SMALL = 16
+SMALL = 128
+#: Share of a group's members beyond which a difference from the pivot is entered last. Bounds the list of such differences.
+FREQUENT = 0.01
 #: Bands of the number of differences from a pivot.
 DIFFERENCE_RATIO = 1.25
 CHUNK_SHINGLES = 1_500_000
@@ -401,16 +403,25 @@ def entered_differences(d: int, size: int, pivot: int, is_linked: bool, p: int,
     return out
 
 
-def _enter_differences(p: int, q: int, buckets: int, level: int):
+def _enter_differences(p: int, q: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = _Entries(buckets)
         for batch in batches:
-            for row in batch.to_pylist():
-                own, first = _difference_band(max(1, row["d"])), np.frombuffer(row["first"], dtype=np.uint64)
-                family = mix64(np.array([row["a"]], dtype=np.int64).view(np.uint64) * _G + np.uint64(level))
-                for band, enter in entered_differences(row["d"], row["nb"], row["na"], row["linked"], p, q):
+            family = mix64(batch.column("family").to_numpy().view(np.uint64) ^ _G)
+            keys = batch.column("b").to_numpy().view(np.uint64)
+            found, last = batch.column("differ"), batch.column("frequent")
+            for i, (d, size, pivot, is_linked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d", "nb", "na", "linked")))):
+                plan = entered_differences(d, size, pivot, is_linked, p, q)
+                if not plan:
+                    continue
+                first = found[i].values.to_numpy().view(np.uint64)
+                if last[i].is_valid:
+                    late = np.isin(first, last[i].values.to_numpy().view(np.uint64))
+                    first = np.concatenate([first[~late], first[late]])
+                own = _difference_band(d)
+                for band, enter in plan:
                     low, high = sorted((own, band))
-                    entries.add(mix64(first[:enter] * _G + mix64(family + np.uint64((low << 20) + high))), np.int64(row["b"]).view(np.uint64))
+                    entries.add(mix64(first[:enter] * _G + mix64(family[i : i + 1] + np.uint64((low << 20) + high))), keys[i])
             if entries.size >= CHUNK_SHINGLES:
                 yield entries.flush()
         if entries.size:
@@ -435,13 +446,54 @@ def _plausible(p: int, q: int):
     return run
 
 
-_COMPARED = "a long, b long, linked boolean, na long, nb long, d long, first binary"
-_COMPARED_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("na", pa.int64()), ("nb", pa.int64()), ("d", pa.int64()), ("first", pa.binary())])
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the shortest one's length."""
+    least = min(map(len, sketches))
+    return np.stack([np.frombuffer(s, dtype=np.uint8).reshape(least, -1).sum(axis=1, dtype=np.int32) for s in sketches])
+
+
+def _plausible_in_groups(p: int, q: int):
+    """Rows sorted by sig, a bounded group at a time: pairs of different components whose sketches don't rule them out."""
+
+    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        _, ids, comps, sizes, sketches = zip(*rows)
+        ids, comps, sizes, cells = np.array(ids), np.array(comps), np.array(sizes), _folded(sketches)
+        left: list[int] = []
+        right: list[int] = []
+        for i in range(len(rows) - 1):
+            n, m = sizes[i], sizes[i + 1 :]
+            fit = np.flatnonzero((comps[i + 1 :] != comps[i]) & (q * n >= p * m) & (q * m >= p * n)) + i + 1
+            near = fit[np.abs(cells[fit] - cells[i]).sum(axis=1) <= (sizes[fit] + n) * (q - p) // (q + p)]
+            left += [int(ids[i])] * len(near)
+            right += ids[near].tolist()
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            left: list[int] = []
+            right: list[int] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "cid", "comp", "n", "sketch"))):
+                if held and held[0][0] != row[0]:
+                    a, b = pairs(held)
+                    left += a
+                    right += b
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        if held:
+            a, b = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+_COMPARED = "a long, b long, linked boolean, na long, nb long, d long, differ array<long>"
+_COMPARED_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("na", pa.int64()), ("nb", pa.int64()), ("d", pa.int64()), ("differ", pa.list_(pa.int64()))])
 
 
 def _verifier(n: int, p: int, q: int, common: np.ndarray):
-    """Compares words. Pairs that are not linked are returned only where ``a`` is the pivot of a large group;
-    then the first differences are given, as many as can be entered."""
+    """Compares words. Pairs that are not linked are returned only where ``a`` is the pivot of a large group, with the differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[tuple[int, str], set] = {}
@@ -464,7 +516,7 @@ def _verifier(n: int, p: int, q: int, common: np.ndarray):
                     if big:
                         own, pivot = next(sets), of(hashes, a, s, lambda x: shingle_sets(pa.array([x]), n)[0])
                         found = differences(own, pivot, common)
-                        rows.append((a, b, is_linked, len(pivot), len(own), len(found), found[: differing(len(own), p, q) + 1].tobytes()))
+                        rows.append((a, b, is_linked, len(pivot), len(own), len(found), _signed(found)))
                     elif is_linked:
                         rows.append((a, b, True, None, None, None, None))
                 cols = list(zip(*rows)) or [()] * len(_COMPARED_SCHEMA)
@@ -542,13 +594,18 @@ class _Join:
         self.texts = materialise(self.docs.select(F.col("doc_id").alias("cid"), "text").join(ids, "cid", "left_semi"), "met-texts")
         self.sketches = materialise(self.sets.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "sketch").join(ids, "cid", "left_semi"), "met-sketches")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """``pairs``: a, b, big. Linked ones, and all big ones with their differences."""
+    def rest(self, groups: DataFrame) -> DataFrame:
+        """What may be similar among the members of bounded groups (sig, cid, comp) in different components."""
+        rows = groups.join(self.sketches, "cid").select("sig", "cid", "comp", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
+        return rows.mapInArrow(_plausible_in_groups(self.p, self.q), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def compared(self, pairs: DataFrame, plausible: DataFrame) -> DataFrame:
+        """``pairs``: a, b, big; ``plausible``: a, b. Linked ones, and all big ones with their differences."""
         small = pairs.where("not big")
         for side in ("b", "a"):
             small = small.join(self.sketches.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
         fit = small.where((self.q * F.col("na") >= self.p * F.col("nb")) & (self.q * F.col("nb") >= self.p * F.col("na")))
-        fit = fit.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_plausible(self.p, self.q), "a long, b long").distinct()
+        fit = fit.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_plausible(self.p, self.q), "a long, b long").union(plausible).distinct()
         chosen = fit.withColumn("big", F.lit(False)).union(pairs.where("big").select("a", "b", "big"))
         return materialise(self.with_texts(chosen, self.texts).mapInArrow(_verifier(self.n, self.p, self.q, self.common), _COMPARED), "compared")
 
@@ -560,10 +617,6 @@ def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
     return named.join(several, "sig")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("big", F.lit(False))
-
-
 def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(light rows: doc_id, n_shingles, k1, k2, words; nodes: k1, k2, words, node; components of nodes: node, comp).
 
@@ -574,39 +627,36 @@ def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple
     nodes = materialise(join.nodes(), "nodes")
     groups = materialise(join.groups(nodes), "met")
     join.members(groups)
-    none = spark.createDataFrame([], "a long, b long, big boolean")
-    comp, used = spark.createDataFrame([], "node long, comp long"), spark.createDataFrame([], "cid long")
-    rest, level = none, 0  # what small groups of the level before have left to compare
+    comp = spark.createDataFrame([], "node long, comp long")
+    rest, level = spark.createDataFrame([], "a long, b long"), 0  # what small groups of the level before have left to compare
     while True:
         # The member of many large groups is most like the others: the text that the rest are copies of.
         sized = groups.join(groups.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
         weights = sized.groupBy("cid").agg(F.sum("size").alias("weight"))
-        best = sized.join(weights, "cid").join(used, "cid", "left_anti").groupBy("sig").agg(F.max(F.struct("weight", "cid")).alias("x")).select("sig", F.col("x.cid").alias("a"))
-        sized = materialise(sized.join(best, "sig", "left"), "pivots")
-        large = (F.col("size") > SMALL) & F.col("a").isNotNull()
-        star = sized.where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.max(large).alias("big"))
-        result = join.compared(star.union(rest))
+        best = sized.join(weights, "cid").groupBy("sig").agg(F.max(F.struct("weight", "cid")).alias("x")).select("sig", F.col("x.cid").alias("a"))
+        sized = materialise(sized.join(best, "sig").where("cid <> a").select("sig", "a", F.col("cid").alias("b"), (F.col("size") > SMALL).alias("big")), "pivots")
+        result = join.compared(sized.groupBy("a", "b").agg(F.max("big").alias("big")), rest)
         before, comp = comp, _joined_components(comp, result.where("linked"))
-        small = materialise(_open(sized.where(~large).where("a is null or cid <> a").select("sig", "cid"), comp), "open")
-        pairs = small.alias("x").join(small.alias("y"), "sig").where("x.cid < y.cid and x.comp <> y.comp")
-        spent = [groups, sized, result, small, rest, before]
-        rest = materialise(_ordered(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))), "rest")
-        # A family: a pivot and the members of all its large groups.
-        families = result.where("nb is not null")
-        outer = families.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        still = outer.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a").distinct()
-        families = materialise(families.join(still, "a", "left_semi"), "families")
-        held = families.agg(F.sum(F.octet_length("first"))).first()[0]
-        if held is None and rest.isEmpty():
-            discard(*spent, families, rest, used)
+        spent = [groups, sized, result, rest, before]
+        rest = materialise(join.rest(_open(sized.where("not big").select("sig", F.col("b").alias("cid")), comp)), "rest")
+        # A family: a pivot and the members of a large group, or of all that have that pivot on the first level.
+        family = sized.where("big").select(F.col("sig" if level else "a").alias("family"), "a", "b").distinct()
+        labels = comp.withColumnRenamed("comp", "label")
+        inner = family.join(labels.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b", "left")
+        still = inner.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("family").distinct()
+        families = materialise(family.join(still, "family", "left_semi").join(result.where("differ is not null"), ["a", "b"]), "families")
+        entered = families.agg(F.sum("d")).first()[0]
+        if entered is None and rest.isEmpty():
+            discard(*spent, families, rest)
             break
-        spent += [families, used]
-        used = materialise(used.union(sized.where(large).select(F.col("a").alias("cid"))).distinct(), "used")
-        buckets = max(partitions(spark), math.ceil((held or 0) * 4 * 17 / 8 / BUCKET_BYTES))
-        entries = families.mapInArrow(_enter_differences(p, q, buckets, level), _ENTRIES)
+        often = families.select("family", F.explode("differ").alias("x")).groupBy("family", "x").agg(F.count(F.lit(1)).alias("c"))
+        often = often.join(families.groupBy("family").agg((FREQUENT * F.count(F.lit(1))).alias("least")), "family").where((F.col("c") > F.col("least")) & (F.col("c") > SMALL))
+        often = often.groupBy("family").agg(F.collect_list("x").alias("frequent"))  # at most (mean number of differences) / FREQUENT
+        buckets = max(partitions(spark), math.ceil((entered or 0) * 4 * 17 / BUCKET_BYTES))
+        entries = families.join(often, "family", "left").select("family", "b", "na", "nb", "d", "linked", "differ", "frequent").mapInArrow(_enter_differences(p, q, buckets), _ENTRIES)
         met = materialise(join.met(entries).select("sig", F.col("k1").alias("cid")).distinct(), "met")
         groups = materialise(_open(met, comp).select("sig", "cid"), "met")
-        discard(*spent, met)
+        discard(*spent, families, met)
         level += 1
     discard(join.texts, join.sketches)
     return join.every.where("kind = 0"), nodes, comp
