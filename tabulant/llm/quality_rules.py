@@ -2,18 +2,24 @@
 
 Every text is turned into counts inside one projection, with no shuffle of
 texts. The light statistics are written once; from there each (language,
-source) gets a robust centre and scatter by a deterministic form of FAST-MCD:
-start at the coordinatewise medians and scales, then take concentration steps,
-each of which keeps the ``SUPPORT`` share of rows with the least distance and
-takes their mean and covariance. A row is rejected when its squared Mahalanobis
-distance to the final estimate is beyond ``cutoff``.
+source) gets a robust centre and scatter: from ``STARTS`` deterministic starts
+(medians and quartiles, all rows, and ``STARTS`` - 2 parts of the rows by hash)
+concentration steps are taken, each of which keeps the ``SUPPORT`` share of rows
+with the least distance and takes their mean and covariance. A start is done when
+a step no longer lowers its determinant by ``GAIN``; the start with the least
+determinant is the group's estimate. A row is rejected when its squared
+Mahalanobis distance is beyond the cut-off.
+
+The estimate is regularised the same way at every size: means and covariances
+count as n rows beside ``PRIOR_ROWS`` rows of the language's medians and scales
+(which count beside as many of the whole table's), so a source with few rows has a
+regular scatter. Variances below a floor are raised to it.
 
 A concentration step is one aggregate: rows add their moments to a
-(group, distance bin) cell, so a source with a third of all rows is combined
-before the shuffle, and a task never holds a group. The order statistic of the
-distances is the edge of a fixed logarithmic bin, which makes it exact to 2 %
-and the same for any partitioning. Groups below ``min_rows`` use their
-language's estimate, and languages below it the whole table's.
+(group, start, distance bin) cell, so a source with a third of all rows is
+combined before the shuffle, and a task never holds a group. The order statistic
+of the distances is the edge of a fixed logarithmic bin, which makes it exact to
+2 % and the same for any partitioning.
 """
 
 from __future__ import annotations
@@ -23,14 +29,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulant.llm.common import SPACES, let, materialise
+from tabulant.llm.common import SPACES, discard, let, materialise
 
 WINDOW = 5
 SUPPORT = 0.75
-STEPS = 3
+STARTS = 4
+#: Least fall of the logarithm of the determinant that makes another step.
+GAIN = 0.01
 #: The upper tail of a chi-squared law beyond which a row is an outlier.
 TAIL = 1e-4
-MIN_ROWS = 200
+PRIOR_ROWS = 50
 #: Least standard deviations of the transformed statistics: log words, log word length,
 #: root of symbol share, root of duplicate-line share, root of repeated-word share.
 FLOORS = (0.5, 0.15, 0.12, 0.15, 0.12)
@@ -150,22 +158,26 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("_d2", d2)
 
 
-def _factored(est: DataFrame) -> DataFrame:
-    """From means ``_m`` and covariances ``_c`` (variances floored) to the Cholesky factor ``_l``."""
+_KEYS = ["_lang", "_source"]
+_M = [f"_m{i}" for i in range(P)]
+_L = [f"_l{i}{j}" for i, j in _PAIRS]
+
+
+def _factored(est: DataFrame, keep: list[str]) -> DataFrame:
+    """From means ``_m`` and covariances ``_c`` to the Cholesky factor ``_l`` and the log determinant; variances are at least the floors."""
     out = est
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"_c{i}{j}")
             if i == j:
-                rest = rest + F.lit(FLOORS[i] ** 2)
+                rest = F.greatest(rest, F.lit(FLOORS[i] ** 2))
             for k in range(j):
                 rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            value = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 100))) if i == j else rest / F.col(f"_l{j}{j}")
+            # what rounding may leave of a variance that the others explain
+            value = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 1e4))) if i == j else rest / F.col(f"_l{j}{j}")
             out = out.withColumn(f"_l{i}{j}", value)
-    return out.select("_lang", "_source", *[f"_m{i}" for i in range(P)], *[f"_l{i}{j}" for i, j in _PAIRS])
-
-
-_KEYS = ["_lang", "_source"]
+    logdet = 2 * sum((F.log(F.col(f"_l{i}{i}")) for i in range(1, P)), F.log("_l00"))
+    return out.select(*keep, logdet.alias("_logdet"), *_M, *_L)
 
 
 def _joined(rows: DataFrame, est: DataFrame) -> DataFrame:
@@ -173,19 +185,20 @@ def _joined(rows: DataFrame, est: DataFrame) -> DataFrame:
     return rows.join(right, (F.col("_lang") == F.col("_el")) & (F.col("_source") == F.col("_es")), "left")
 
 
-def _levels(parts: DataFrame, sums: list[str], min_rows: int) -> DataFrame:
-    """Cells of (lang, source): each takes its own sums, its language's or the table's, by number of rows."""
-    by_lang = parts.groupBy("_lang").agg(*[F.sum(s).alias(f"{s}_l") for s in sums])
-    whole = parts.agg(*[F.sum(s).alias(f"{s}_t") for s in sums])
-    all_levels = parts.join(by_lang, "_lang").join(F.broadcast(whole))  # one row
-    pick = lambda s: F.when(F.col("_n") >= min_rows, F.col(s)).when(F.col("_n_l") >= min_rows, F.col(f"{s}_l")).otherwise(F.col(f"{s}_t"))
-    return all_levels.select(*_KEYS, *[pick(s).alias(s) for s in sums])
-
-
-def _moments(chosen: DataFrame, sums: list[str], min_rows: int, factor: float) -> DataFrame:
-    est = _levels(chosen, sums, min_rows)
-    means = est.select(*_KEYS, *[(F.col(f"_s{i}") / F.col("_n")).alias(f"_m{i}") for i in range(P)], *[(F.col(f"_q{i}{j}") / F.col("_n")).alias(f"_r{i}{j}") for i, j in _PAIRS])
-    return _factored(means.select(*_KEYS, *[f"_m{i}" for i in range(P)], *[(factor * (F.col(f"_r{i}{j}") - F.col(f"_m{i}") * F.col(f"_m{j}"))).alias(f"_c{i}{j}") for i, j in _PAIRS]))
+def _regular(sums: DataFrame, prior: DataFrame, keys: list[str], factor: Column) -> DataFrame:
+    """Estimates from sums of moments, beside the prior's rows; ``factor`` makes the covariance of a nearest share consistent."""
+    n, all_rows = F.col("_n"), F.col("_n") + PRIOR_ROWS
+    own = sums.join(prior, "_lang")
+    mean = [F.col(f"_s{i}") / n for i in range(P)]
+    cov = {(i, j): factor * (F.col(f"_q{i}{j}") / n - mean[i] * mean[j]) for i, j in _PAIRS}
+    return _factored(
+        own.select(
+            *keys,
+            *[((n * mean[i] + PRIOR_ROWS * F.col(f"_pm{i}")) / all_rows).alias(f"_m{i}") for i in range(P)],
+            *[((n * cov[i, j] + (PRIOR_ROWS * F.col(f"_pv{i}") if i == j else F.lit(0.0))) / all_rows).alias(f"_c{i}{j}") for i, j in _PAIRS],
+        ),
+        keys,
+    )
 
 
 def _sums() -> list[Column]:
@@ -196,39 +209,64 @@ def _sums() -> list[Column]:
     ]
 
 
-def _start(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Medians, and scales from the quartiles, as a diagonal estimate; small groups fall back as later."""
+def _quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group ``_n`` and, by statistic, the median ``_c`` and the variance ``_v`` that the quartiles of a normal law would show."""
     at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(x, at, F.lit(1000)).alias(f"_p{i}") for i, x in enumerate(_X)])
+    scale = [(F.get(f"_p{i}", F.lit(2)) - F.get(f"_p{i}", F.lit(0))) / F.lit(1.349) for i in range(P)]
+    return found.select(*keys, "_n", *[F.get(f"_p{i}", F.lit(1)).alias(f"_c{i}") for i in range(P)], *[F.greatest(scale[i] * scale[i], F.lit(FLOORS[i] ** 2)).alias(f"_v{i}") for i in range(P)])
 
-    def quartiles(keys: list[str], suffix: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{suffix}"), *[F.percentile_approx(x, at, F.lit(1000)).alias(f"_p{i}{suffix}") for i, x in enumerate(_X)])
 
-    every = quartiles(_KEYS, "").join(quartiles(["_lang"], "_l"), "_lang").join(F.broadcast(quartiles([], "_t")))  # one row
-    pick = lambda i: F.when(F.col("_n") >= min_rows, F.col(f"_p{i}")).when(F.col("_n_l") >= min_rows, F.col(f"_p{i}_l")).otherwise(F.col(f"_p{i}_t"))
-    own = every.select(*_KEYS, *[pick(i).alias(f"_p{i}") for i in range(P)])
-    scale = lambda i: (F.get(f"_p{i}", F.lit(2)) - F.get(f"_p{i}", F.lit(0))) / F.lit(1.349)
-    return _factored(
-        own.select(
-            *_KEYS,
-            *[F.get(f"_p{i}", F.lit(1)).alias(f"_m{i}") for i in range(P)],
-            *[(scale(i) * scale(i) if i == j else F.lit(0.0)).alias(f"_c{i}{j}") for i, j in _PAIRS],
-        )
-    )
+def _prior(rows: DataFrame) -> DataFrame:
+    """Per language the centre and variances that a group's estimate is drawn to."""
+    whole = _quartiles(rows, []).select(*[F.col(f"_{c}{i}").alias(f"_w{c}{i}") for c in "cv" for i in range(P)])
+    both = _quartiles(rows, ["_lang"]).join(F.broadcast(whole))  # one row
+    drawn = lambda c, i: (F.col("_n") * F.col(f"_{c}{i}") + PRIOR_ROWS * F.col(f"_w{c}{i}")) / (F.col("_n") + PRIOR_ROWS)
+    return both.select("_lang", *[drawn("c", i).alias(f"_pm{i}") for i in range(P)], *[drawn("v", i).alias(f"_pv{i}") for i in range(P)])
+
 
+def _starts(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """One row per group and start."""
+    keys = [*_KEYS, "_start"]
+    part = F.pmod(F.xxhash64(*_X), F.lit(STARTS - 2)) + 2  # equal rows go together
+    parts = rows.withColumn("_start", F.explode(F.array(F.lit(1), part.cast("int")))).groupBy(*keys).agg(*_sums())
+    middles = _quartiles(rows, _KEYS).withColumn("_start", F.lit(0))
+    moments = middles.select(*keys, "_n", *[(F.col("_n") * F.col(f"_c{i}")).alias(f"_s{i}") for i in range(P)], *[(F.col("_n") * (F.col(f"_c{i}") * F.col(f"_c{j}") + (F.col(f"_v{i}") if i == j else F.lit(0.0)))).alias(f"_q{i}{j}") for i, j in _PAIRS])
+    return _regular(moments.unionByName(parts), prior, keys, F.lit(1.0))
 
-def _concentrate(rows: DataFrame, est: DataFrame, min_rows: int, factor: float) -> DataFrame:
-    """One concentration step: moments of the nearest ``SUPPORT`` share of each group."""
+
+def _concentrate(rows: DataFrame, est: DataFrame, prior: DataFrame, factor: float) -> DataFrame:
+    """One concentration step: moments of the nearest ``SUPPORT`` share of each group, for each of its starts."""
+    keys = [*_KEYS, "_start"]
     bin_of = F.floor(F.log(F.col("_d2") + F.lit(1e-6)) * _BINS_PER_E).cast("int")
-    cells = _with_distance(_joined(rows, est)).withColumn("_bin", bin_of).groupBy(*_KEYS, "_bin").agg(*_sums())
-    group = Window.partitionBy(*_KEYS)  # a group has one row per bin: at most some thousand
+    cells = _with_distance(_joined(rows, est).where("_start is not null")).withColumn("_bin", bin_of).groupBy(*keys, "_bin").agg(*_sums())
+    group = Window.partitionBy(*keys)  # a group has one row per bin: at most some thousand
     upto = F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     near = cells.withColumn("_before", F.coalesce(upto, F.lit(0))).withColumn("_all", F.sum("_n").over(group))
     near = near.where(F.col("_before") < SUPPORT * F.col("_all"))
     sums = ["_n", *[f"_s{i}" for i in range(P)], *[f"_q{i}{j}" for i, j in _PAIRS]]
-    return _moments(near.groupBy(*_KEYS).agg(*[F.sum(s).alias(s) for s in sums]), sums, min_rows, factor)
+    return _regular(near.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums]), prior, keys, F.lit(factor))
 
 
-def judged(docs: DataFrame, lang_col: str, source_col: str, text_col: str, carry: list[str], min_rows: int, tail: float) -> DataFrame:
+def _estimates(rows: DataFrame) -> DataFrame:
+    """The estimate of each group: of all starts, taken until none gets better, that with the least determinant."""
+    h = chi2_quantile(SUPPORT, P)
+    factor = SUPPORT / chi2_cdf(h, P + 2)  # makes the subset's covariance consistent
+    prior = materialise(_prior(rows), "quality-prior")
+    # Starts are no estimates: their determinants, of all rows or parts, don't compare.
+    best = materialise(_concentrate(rows, _starts(rows, prior), prior, factor).withColumn("_more", F.lit(True)), "quality-start")
+    while not best.where("_more").isEmpty():
+        step = _concentrate(rows, best.where("_more"), prior, factor)
+        new = step.select(*_KEYS, "_start", F.struct("_logdet", *_M, *_L).alias("_new"))
+        both = best.join(new, [*_KEYS, "_start"], "left").withColumn("_better", F.coalesce(F.col("_new._logdet") < F.col("_logdet") - GAIN, F.lit(False)))
+        pick = [F.when(F.col("_better"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in ("_logdet", *_M, *_L)]
+        before, best = best, materialise(both.select(*_KEYS, "_start", *pick, F.col("_better").alias("_more")), "quality-step")
+        discard(before)
+    least = best.groupBy(*_KEYS).agg(F.min(F.struct("_logdet", "_start", *_M, *_L)).alias("_e"))
+    return least.select(*_KEYS, *[F.col(f"_e.{c}").alias(c) for c in (*_M, *_L)])
+
+
+def judged(docs: DataFrame, lang_col: str, source_col: str, text_col: str, carry: list[str], tail: float) -> DataFrame:
     """Statistics and verdict of every row; ``carry`` are light columns taken along."""
     stats = docs.select(
         *[F.col(c) for c in carry],
@@ -241,18 +279,14 @@ def judged(docs: DataFrame, lang_col: str, source_col: str, text_col: str, carry
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     fit = rows.where(~F.col("base_failed"))
-    h = chi2_quantile(SUPPORT, P)
-    factor = SUPPORT / chi2_cdf(h, P + 2)  # makes the subset's covariance consistent
-    est = materialise(_start(fit, min_rows), "quality-start")
-    for _ in range(STEPS):
-        est = materialise(_concentrate(fit, est, min_rows, factor), "quality-step")
+    est = materialise(_estimates(fit), "quality-estimates")
     out = _with_distance(_joined(rows, est))
     far = F.coalesce(F.col("_d2") > F.lit(chi2_quantile(1 - tail, P)), F.lit(False))
     return out.withColumn("distance", F.sqrt("_d2")).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, tail: float = TAIL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL
 ) -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, kept, distance.
 
@@ -263,12 +297,12 @@ def quality_rules(
     result.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_in_lang"), F.col(source_col).cast("string").alias("_in_source"))
-    out = judged(named, "_in_lang", "_in_source", "_t", ["doc_id"], min_rows, tail)
+    out = judged(named, "_in_lang", "_in_source", "_t", ["doc_id"], tail)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def drop_low_quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, tail: float = TAIL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL
 ) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
@@ -280,7 +314,7 @@ def drop_low_quality(
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
     i, t, g, s = (renamed[c] for c in (id_col, text_col, lang_col, source_col))
     rows = rows.withColumn("_sum", F.xxhash64(t, g, s))
-    light = judged(rows.withColumns({"_gl": F.col(g).cast("string"), "_gs": F.col(s).cast("string")}), "_gl", "_gs", t, [i, "_sum"], min_rows, tail)
+    light = judged(rows.withColumns({"_gl": F.col(g).cast("string"), "_gs": F.col(s).cast("string")}), "_gl", "_gs", t, [i, "_sum"], tail)
     kept = light.where("kept").select(F.col(i).alias("_kid"), F.col("_sum").alias("_ksum"))
     same = F.col(i).eqNullSafe(F.col("_kid")) & (F.col("_sum") == F.col("_ksum"))
     return rows.join(kept, same, "left_semi").select(*[F.col(n).alias(c) for c, n in renamed.items()])

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from tabulant.llm import licenses, quality_rules, secrets
 from tests.llm import cases
@@ -150,6 +151,73 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(600)) and kept.columns == cases.frame(spark, []).columns
 
 
+def brute_verdicts(rows):
+    """Distance of each row that passes the base rules, by plain arithmetic: {id: distance}."""
+    q = quality_rules
+    floors, cut = np.array(q.FLOORS) ** 2, q.SUPPORT / q.chi2_cdf(q.chi2_quantile(q.SUPPORT, q.P), q.P + 2)
+    found = {}
+    for i, text, lang, source, *_ in rows:
+        n, chars, symbols, dup, repeat, failed = brute_counts(text)
+        lines = sum(bool(W.search(x)) for x in (text or "").split("\n"))
+        if not failed:
+            found[i] = (lang, source, [math.log1p(n), math.log1p(chars / n), math.sqrt(symbols / max(chars, 1)), math.sqrt(dup / max(lines, 1)), math.sqrt(repeat / n)])
+
+    def quartiles(x):
+        at = [np.sort(x, axis=0)[math.ceil(p * len(x)) - 1] for p in (0.25, 0.5, 0.75)]
+        return at[1], np.maximum(((at[2] - at[0]) / 1.349) ** 2, floors)
+
+    def regular(n, mean, cov, prior):
+        mean = (n * mean + q.PRIOR_ROWS * prior[0]) / (n + q.PRIOR_ROWS)
+        cov = (n * cov + q.PRIOR_ROWS * np.diag(prior[1])) / (n + q.PRIOR_ROWS)
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), floors))
+        return np.linalg.slogdet(cov)[1], mean, cov
+
+    def d2(x, est):
+        y = x - est[1]
+        return np.einsum("ij,jk,ik->i", y, np.linalg.inv(est[2]), y)
+
+    def step(x, est, prior):
+        bins = np.floor(np.log(d2(x, est) + 1e-6) * q._BINS_PER_E)
+        near = x[np.array([(bins < b).sum() < q.SUPPORT * len(x) for b in bins])]
+        return regular(len(near), near.mean(axis=0), cut * np.cov(near.T, bias=True), prior)
+
+    every = np.array([x for *_, x in found.values()])
+    whole, out = quartiles(every), {}
+    for lang, source in {v[:2] for v in found.values()}:
+        x = np.array([v[2] for v in found.values() if v[0] == lang])
+        prior = [(len(x) * own + q.PRIOR_ROWS * of_all) / (len(x) + q.PRIOR_ROWS) for own, of_all in zip(quartiles(x), whole)]
+        ids = [i for i, v in found.items() if v[:2] == (lang, source)]
+        x = np.array([found[i][2] for i in ids])
+        middle, scale = quartiles(x)
+        best = None
+        for start in (regular(len(x), middle, np.diag(scale), prior), regular(len(x), x.mean(axis=0), np.cov(x.T, bias=True), prior)):
+            est = step(x, start, prior)
+            while (new := step(x, est, prior))[0] < est[0] - q.GAIN:
+                est = new
+            best = est if best is None or est[0] < best[0] else best
+        out |= dict(zip(ids, np.sqrt(d2(x, best))))
+    return out
+
+
+def test_verdicts_against_brute_force(spark, monkeypatch):
+    """Small groups of several languages and sources; the two starts that need no hash."""
+    monkeypatch.setattr(quality_rules, "STARTS", 3)  # the third is then the second again
+    r = random.Random(11)
+    rows = []
+    for k in range(500):
+        words = [f"w{r.randrange(10 ** (1 + k % 5))}" for _ in range(r.randrange(20, 200))]
+        text = " ".join(words) + "\n" * (k % 3) + ("# $ " * r.randrange(0, 40) if k % 11 == 0 else "")
+        rows.append((k, text, ("en", "de", None)[k % 3], f"s{(k * k) % 7}", 0, 7, "x", 1, "k", 5, 9))
+    rows += [(900, " ".join(f"#$%&*|<>#$%&*|<>{i}q" for i in range(100)), "en", "s0", 0, 7, "x", 1, "k", 5, 9)]
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(cases.frame(spark, rows)).collect()}
+    want = brute_verdicts(rows)
+    limit = math.sqrt(quality_rules.chi2_quantile(1 - quality_rules.TAIL, quality_rules.P))
+    assert 300 < len(want) and any(d > limit for d in want.values())
+    for i, x in got.items():
+        assert x["kept"] == (i in want and want[i] <= limit), i
+        assert i not in want or abs(x["distance"] - want[i]) < 1e-6 * max(1, want[i]), i
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.quality_rules(cases.frame(spark, [])).count() == 0
     assert quality_rules.drop_low_quality(cases.frame(spark, rows_of([None, "", "few"]))).count() == 0
