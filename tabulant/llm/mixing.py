@@ -39,7 +39,9 @@ from tabulant.llm.common import materialise
 PERIOD = 10_000
 BLOCK_ROWS = 256
 CHUNK_ROWS = 50_000
-#: Default target weights are proportional to rows ** TEMPERATURE.
+#: Given weights are met exactly where a period of so many slots can (so thirds are thirds); others are taken in parts of 1 / PERIOD.
+EXACT_PERIOD = 100_000
+#: Default target weights are, in parts of 1 / PERIOD, proportional to rows ** TEMPERATURE.
 TEMPERATURE = 0.7
 #: Streams of the first level, so its schedule stays bounded; half are pools when there are more sources.
 MAX_STREAMS = 2_000
@@ -66,6 +68,18 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
+def exact_slots(weights: dict[str, float], most: int = EXACT_PERIOD) -> dict[str, int] | None:
+    """Slots of the shortest period that gives every weight exactly; None beyond ``most`` slots."""
+    weights = {s: w for s, w in weights.items() if w > 0}
+    total = sum(Fraction(w) for w in weights.values())
+    shares = {s: (Fraction(w) / total).limit_denominator(most) for s, w in weights.items()}
+    near = all(abs(f - Fraction(weights[s]) / total) < Fraction(1, 10**12) for s, f in shares.items())
+    period = math.lcm(*(f.denominator for f in shares.values()))
+    if not near or sum(shares.values()) != 1 or period > most:
+        return None
+    return {s: int(f * period) for s, f in shares.items()}
+
+
 def edf_schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     """(stream, k, slot, release, deadline) of one period, earliest deadline first."""
     period = sum(slots.values())
@@ -158,7 +172,8 @@ def _scheduled(docs: DataFrame, id_col: str, source_col: str, weights: dict[str,
     else:
         n_rows = sum(r["_rows"] for r in found)
         target = {r["_stream"]: r["_weight"] for r in found}
-    slots = slots_of(target, period) if target else {}
+    slots = (exact_slots(target) if weights and shared is None else None) or slots_of(target, period) if target else {}
+    period = sum(slots.values())
     plan = edf_schedule(slots) if slots else []
     schedule = spark.createDataFrame([(s, k, t) for s, k, t, _, _ in plan], "_top string, _k long, _at long")
     per_stream = spark.createDataFrame(sorted(slots.items()), "_top string, _slots long")

@@ -240,6 +240,16 @@ def test_schedule_deviates_by_less_than_a_block():
     assert done == slots
 
 
+def test_given_weights_are_exact_over_many_periods(spark):
+    assert mixing.exact_slots({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2}
+    assert mixing.exact_slots({"a": 0.7, "b": 0.2, "c": 0.1}) == {"a": 7, "b": 2, "c": 1}
+    assert mixing.exact_slots({"a": 2**0.5, "b": 1.0}) is None
+    rows = [(k, "x", "en", "ab"[k % 3 > 0], 1, 7, "x", 1, "k", 5, 9) for k in range(6000)]
+    got = mixing.mixing_schedule(cases.frame(spark, rows), weights={"a": 1 / 3, "b": 2 / 3}, block_rows=2).collect()
+    assert len({r["slot"] for r in got}) == 3000
+    assert max(deviation(got, "a", 1 / 3, 2), deviation(got, "b", 2 / 3, 2)) < 1
+
+
 def test_mixing_schedules_every_row_once(spark):
     rows = cases.documents()
     got = mixing.mixing_schedule(cases.frame(spark), period=20, block_rows=4, chunk_rows=30).collect()
