@@ -83,3 +83,5 @@ TEMPLATE_FIELDS = {
     "shenbianyun": (("name", "收款人姓名（必填）"), ("idCard", "身份证号（必填）"), ("bankCard", "收款账号（条件必填）"), ("amount", "付款金额（元，必填）"), ("phone", "手机号（必填）"), ("note", "备注（非必填）")),
     "youyi": (("name", "姓名"), ("idCard", "身份证号码"), ("gender", "性别"), ("phone", "手机号码"), ("bankCard", "账号"), ("bankName", "银行名称"), ("location", "银行所属地"), ("amount", "税前金额"), ("note", "备注"), ("shangSheId", "商社编号")),
 }
+# What a cell of a number may hold, misread characters included.
+DIGIT_CELL = r"^[0-9\s.,，。&＆OoLlI｜日．]+\z"

@@ -159,7 +159,7 @@ def id_checksum_valid(x: Text) -> Column:
 
 def task_parts(x: Text) -> Column:
     """``seq.name(id)`` as a struct; null where the text has another form."""
-    s, r = js_trim(x), r"^([0-9]+)\.(.+)\(([^()]*)\)\z"
+    s, r = js_trim(x), r"^([0-9]+)\.(.+)\((.+)\)\z"
     got = F.struct(F.regexp_extract(s, r, 1).alias("seq"), js_trim(F.regexp_extract(s, r, 2)).alias("name"), js_trim(F.regexp_extract(s, r, 3)).alias("id"))
     return F.when(F.rlike(s, F.lit(r)), got)
 
@@ -199,8 +199,8 @@ def file_name_part(x: Text) -> Column:
 
 
 def sheet_text(x: Text) -> Column:
-    """Spaces collapsed; inner spaces of a number of ten digits or more dropped."""
-    s = js_trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), rf"{_WS}+", " "))
+    """Zero-width characters gone, spaces collapsed; inner spaces of a number of ten digits or more dropped."""
+    s = js_trim(F.regexp_replace(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"[\x{200B}-\x{200D}]", ""), rf"{_WS}+", " "))
     bare = F.replace(s, F.lit(" "), F.lit(""))
     return F.when(F.rlike(bare, F.lit(r"^[0-9]{10,}\z")), bare).otherwise(s)
 

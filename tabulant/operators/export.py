@@ -27,7 +27,17 @@ TEMPLATES = {k: Template(k, h, C.TEMPLATE_FIELDS[k]) for k, h in C.TEMPLATE_HEAD
 
 
 def cleaned(value: Column, kind: str) -> Column:
-    return sanitize_amount(value) if kind == "amount" else clean_name(clean_value(value, kind)) if kind == "name" else clean_value(value, kind)
+    return sanitize_amount(value) if kind == "amount" else clean_value(value, kind)
+
+
+def clean_name_column(rows: DataFrame, types: dict[str, int]) -> DataFrame:
+    """The pass over the name column that goes before merging; adds ``_renamed``, whether it changed the row."""
+    col = types.get("name")
+    if col is None:
+        return rows.withColumn("_renamed", F.lit(False))
+    own = F.get("cells", F.lit(col))
+    named = F.coalesce(clean_name(own), F.lit(""))
+    return rows.withColumn("_renamed", F.coalesce(named != own, F.lit(False))).withColumn("cells", F.transform("cells", lambda v, i: F.when((i == col) & F.col("_renamed"), named).otherwise(v)))
 
 
 def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all: bool = False) -> DataFrame:

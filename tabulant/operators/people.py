@@ -118,14 +118,12 @@ def split_amounts(rows: DataFrame, amount_cols: list[int], total_col: int | None
         F.array(*[F.struct(F.lit(i).alias("split_idx"), at(c).alias("raw"), F.lit(names.get(c, f"第 {c + 1} 列")).alias("label"), split_amount(at(c)).alias("v")) for i, c in enumerate(cols)]),
         lambda p: p["v"].isNotNull(),
     )
-    padded = F.transform(F.col("cells"), lambda c: F.coalesce(c, F.lit("")))
-    source = rows
-    note = note_col
-    if label_note and note_col is None:
-        width = rows.groupBy("source_id").agg(F.max(F.size("cells")).alias("_w"))
-        source = rows.join(width, "source_id")
-        padded = F.concat(padded, F.array_repeat(F.lit(""), F.col("_w") + 1 - F.size("cells")))
-        note = "_w"
+    # Rows are as wide as their source's widest, and one wider where a note column is appended.
+    appended = label_note and note_col is None
+    width = rows.groupBy("source_id").agg(F.max(F.size("cells")).alias("_w"))
+    source = rows.join(width, "source_id")
+    padded = F.concat(F.transform(F.col("cells"), lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), F.col("_w") + int(appended) - F.size("cells")))
+    note = "_w" if appended else note_col
     wide = source.withColumn("cells_out", padded).withColumn("p", F.explode_outer(parts))
     others = F.array(*[F.lit(c) for c in cols[1:]])
 
@@ -168,6 +166,6 @@ def row_clusters(points: DataFrame, partition: list[str], order: str, gap: float
 
 def upper_median(value: Column) -> Column:
     """O5 as an aggregate: the upper of two middle values."""
-    return F.percentile_disc(0.5).within_group(value) if hasattr(F, "percentile_disc") else F.element_at(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1)
+    return F.element_at(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1)
 
 

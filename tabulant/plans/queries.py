@@ -17,6 +17,8 @@ from tabulant.operators import detect as D
 from tabulant.operators import export as X
 from tabulant.operators import people as P
 from tabulant.operators import reference_data as R
+from tabulant.operators import validation as V
+from tabulant.sources import grids as G
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,13 +52,16 @@ def scan_filter(spark, d):
 
 
 @query(
-    """SELECT doc_id, (CAST(regexp_matches(text, '[0-9]{16,19}') AS INT) + CAST(regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)') AS INT)) AS strong_ids
-FROM documents WHERE regexp_matches(text, '[0-9]{16,19}') OR regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)')"""
+    """WITH t AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN lpad(CAST(c_custkey AS VARCHAR), 18, '3') WHEN 1 THEN '138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') WHEN 2 THEN '张三' WHEN 3 THEN '服务费' ELSE 'x' END AS a, CASE WHEN c_custkey % 2 = 0 THEN '12.5' ELSE 'y' END AS b FROM customer)
+SELECT c_custkey AS row_idx, a AS first_cell FROM t WHERE regexp_matches(a, '^[0-9A-Za-z]{18}$|^1[3-9][0-9]{9}$|^[0-9]{16,19}$') OR (a = '张三' AND b = '12.5')"""
 )
 def identity_filter(spark, d):
-    """Rows with a strong id."""
-    card, phone = F.rlike("text", F.lit("[0-9]{16,19}")), F.rlike("text", F.lit(r"(^|[^0-9])1[3-9][0-9]{9}([^0-9]|\z)"))
-    return _t(spark, d, "documents").where(card | phone).select("doc_id", (card.cast("int") + phone.cast("int")).alias("strong_ids"))
+    """Rows with a strong id, or with a name and an amount among three filled cells."""
+    k = F.col("c_custkey")
+    a = F.when(k % 5 == 0, F.lpad(_text("c_custkey"), 18, "3")).when(k % 5 == 1, F.concat(F.lit("138"), F.lpad(_text("c_custkey"), 8, "0"))).when(k % 5 == 2, "张三").when(k % 5 == 3, "服务费").otherwise("x")
+    cells = F.array(a, F.when(k % 2 == 0, "12.5").otherwise("y"), F.lit("note"))
+    rows = _t(spark, d, "customer").select(k.alias("row_idx"), cells.alias("cells"))
+    return rows.where(D.has_identity(F.col("cells"), F.array(F.lit("姓名"), F.lit("金额"), F.lit("备注")))).select("row_idx", F.get("cells", F.lit(0)).alias("first_cell"))
 
 
 @query("""SELECT p_partkey AS row_idx, p_name AS first_cell FROM part WHERE p_partkey % 7 <> 0""")
@@ -68,48 +73,47 @@ def summary_row_filter(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
-  CAST(regexp_matches(text, '(?i)income') AS INT) + CAST(regexp_matches(text, '(?i)the') AS INT) + CAST(regexp_matches(text, '(?i)que') AS INT) AS score FROM documents)
-SELECT source, arg_max(doc_id, (score, -doc_id)) AS header_row, max(score) AS score FROM s WHERE rn <= 30 GROUP BY source"""
+    """WITH s AS (SELECT p_brand AS source_id, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
+h AS (SELECT source_id, p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2.5 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS score FROM s WHERE rn <= 30)
+SELECT source_id, arg_max(p_partkey, (score, -p_partkey)) AS header_row FROM h GROUP BY source_id"""
 )
 def header_score(spark, d):
-    """The best of the first thirty rows of each source, the earliest of equals."""
-    docs = _t(spark, d, "documents")
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    score = sum((F.rlike("text", F.lit(f"(?i){w}")).cast("int") for w in ("income", "the", "que")), F.lit(0))
-    head = docs.withColumn("rn", rn).where("rn <= 30").withColumn("score", score)
-    return head.groupBy("source").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("header_row"), F.max("score").alias("score"))
+    """The best of the first thirty rows of each source, the earliest of equals; a sequence number is half a hit."""
+    k = F.col("p_partkey")
+    words = F.when(k % 4 == 0, F.array(*map(F.lit, ("序号", "姓名", "手机")))).when(k % 4 == 1, F.array(*map(F.lit, ("姓名", "身份证", "金额")))).when(k % 4 == 2, F.array(F.lit("金额"), F.lit("7"), F.lit("")))
+    rows = _t(spark, d, "part").select(F.col("p_brand").alias("source_id"), k.alias("row_idx"), F.coalesce(words, F.array(*map(F.lit, ("7", "8", "9")))).alias("cells"))
+    return D.header_rows(rows).select("source_id", "header_row")
 
 
 _PROFILE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
 @query(
-    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn FROM lineitem), h AS (SELECT * FROM r WHERE rn <= 12) "
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100) AS rn FROM lineitem), h AS (SELECT * FROM r WHERE rn <= 12) "
     + " UNION ALL ".join(
-        f"SELECT l_returnflag AS source_id, '{c}' AS col, count(*) AS filled12, count(*) FILTER (WHERE try_cast(regexp_extract(CAST({c} AS VARCHAR), '^[0-9]+\\.?[0-9]*', 0) AS DOUBLE) > 0) AS amounts12 FROM h GROUP BY l_returnflag"
-        for c in _PROFILE_COLUMNS
+        f"SELECT l_returnflag AS source_id, {i} AS col_idx, count(*) AS filled12, count(*) FILTER (WHERE try_cast({c} AS DOUBLE) > 0) AS amounts12 FROM h GROUP BY l_returnflag"
+        for i, c in enumerate(_PROFILE_COLUMNS)
     )
 )
 def column_profile(spark, d):
     """Amounts among the first twelve cells of each column."""
-    at = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    head = _t(spark, d, "lineitem").withColumn("rn", at).where("rn <= 12")
-    cells = head.select(F.col("l_returnflag").alias("source_id"), F.explode(F.create_map(*[x for c in _PROFILE_COLUMNS for x in (F.lit(c), _text(c))])).alias("col", "cell"))
-    return cells.groupBy("source_id", "col").agg(F.count_if(S.js_trim("cell") != "").alias("filled12"), F.count_if(S.is_amount_like("cell")).alias("amounts12"))
+    at = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100
+    cells = F.array(*[S.number_text(F.col(c)) if c not in ("l_returnflag", "l_linestatus") else F.col(c) for c in _PROFILE_COLUMNS])
+    rows = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("source_id"), at.alias("row_idx"), cells.alias("cells"))
+    heads = rows.select("source_id").distinct().withColumn("header", F.array(*map(F.lit, _PROFILE_COLUMNS)))
+    return D.column_profile(heads, rows).select("source_id", "col_idx", "filled12", "amounts12")
 
 
 @query(
-    """WITH r AS (SELECT o_orderpriority AS g, CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 16, '6') ELSE 'bank ' || o_custkey END AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders)
-SELECT g, CAST(count(*) FILTER (WHERE regexp_full_match(v, '[0-9]{10,23}')) AS DOUBLE) / count(*) AS card_ratio FROM r WHERE rn <= 12 GROUP BY g"""
+    """WITH r AS (SELECT o_orderpriority AS source_id, CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 16, '6') ELSE 'bank ' || o_custkey END AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders)
+SELECT source_id, 0 AS col_idx, count(*) FILTER (WHERE regexp_full_match(v, '[0-9]{10,23}')) AS cards12, count(*) AS filled12 FROM r WHERE rn <= 12 GROUP BY source_id"""
 )
 def card_like_ratio(spark, d):
-    """Share of card numbers among the first twelve cells."""
-    orders = _t(spark, d, "orders")
+    """Card numbers among the first twelve cells."""
     v = F.when(F.col("o_orderkey") % 3 == 0, F.lpad(_text("o_orderkey"), 16, "6")).otherwise(F.concat(F.lit("bank "), _text("o_custkey")))
-    rn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    head = orders.select(F.col("o_orderpriority").alias("g"), v.alias("v"), rn.alias("rn")).where("rn <= 12")
-    return head.groupBy("g").agg((F.count_if(F.rlike("v", F.lit(r"^[0-9]{10,23}\z"))).cast("double") / F.count(F.lit(1))).alias("card_ratio"))
+    rows = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("source_id"), F.col("o_orderkey").alias("row_idx"), F.array(v).alias("cells"))
+    heads = rows.select("source_id").distinct().withColumn("header", F.array(F.lit("银行")))
+    return D.column_profile(heads, rows).select("source_id", "col_idx", "cards12", "filled12")
 
 
 def _sum_grid(spark, d):
@@ -131,24 +135,28 @@ def sum_arbitration(spark, d):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_partkey, 'tax' AS label, l_tax AS amount FROM lineitem WHERE l_tax <> 0
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'discount', l_discount FROM lineitem WHERE l_discount <> 0"""
+    """WITH t AS (SELECT o_orderkey AS row_idx, o_orderkey % 5 AS a, o_custkey % 3 AS b FROM orders)
+SELECT row_idx, 0 AS split_idx, CAST(a AS VARCHAR) AS amount, '' AS other, 'n；第一笔' AS note FROM t WHERE a <> 0
+UNION ALL SELECT row_idx, 1, CAST(b AS VARCHAR), '', CASE WHEN row_idx % 2 = 0 THEN 'n；' ELSE '' END || '第二笔' FROM t WHERE b <> 0
+UNION ALL SELECT row_idx, 0, '0', '0', CASE WHEN row_idx % 2 = 0 THEN 'n' ELSE '' END FROM t WHERE a = 0 AND b = 0""".replace("'n；第一笔'", "CASE WHEN row_idx % 2 = 0 THEN 'n；' ELSE '' END || '第一笔'")
 )
 def amount_split(spark, d):
-    """One row per amount that is not zero."""
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
-    return li.unpivot(["l_orderkey", "l_linenumber", "l_partkey"], ["tax", "discount"], "label", "amount").where("amount <> 0")
+    """One row per amount that is not zero, as written, labelled in the note; every second row is too short for a note."""
+    k = F.col("o_orderkey")
+    cells = F.array((k % 5).cast("string"), (F.col("o_custkey") % 3).cast("string"))
+    rows = _t(spark, d, "orders").select(F.lit("s").alias("source_id"), k.alias("row_idx"), F.when(k % 2 == 0, F.concat(cells, F.array(F.lit("n")))).otherwise(cells).alias("cells"))
+    out, _ = P.split_amounts(rows, [0, 1], note_col=2, labels={0: "第一笔", 1: "第二笔"}, label_note=True)
+    cell = lambda i, n: F.get("cells", F.lit(i)).alias(n)
+    return out.select("row_idx", "split_idx", cell(0, "amount"), cell(1, "other"), cell(2, "note"))
 
 
-@query(
-    """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS declared FROM orders), s AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY l_orderkey)
-SELECT k, total, declared FROM o JOIN s USING (k) WHERE abs(total - declared) > greatest(0.02, abs(declared) * 1e-6)"""
-)
+@query("SELECT o_orderkey AS row_idx, CAST(o_custkey % 9 + o_orderkey % 4 AS DOUBLE) AS sum, CAST(o_custkey % 9 + o_orderkey % 4 + 5 AS DOUBLE) AS declared FROM orders WHERE o_orderkey % 3 = 0")
 def reconcile(spark, d):
-    """Declared totals that the parts don't make up."""
-    sums = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"))
-    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("declared"))
-    return orders.join(sums, "k").where(F.abs(F.col("total") - F.col("declared")) > S.tolerance(F.col("declared"))).select("k", "total", "declared")
+    """Declared totals that the parts don't make up; a total that is no number is not held against them."""
+    k, a, b = F.col("o_orderkey"), F.col("o_custkey") % 9, F.col("o_orderkey") % 4
+    total = F.when(k % 3 == 1, "-").otherwise((a + b + F.when(k % 3 == 0, 5).otherwise(0)).cast("string"))
+    rows = _t(spark, d, "orders").select(F.lit("s").alias("source_id"), k.alias("row_idx"), F.array(a.cast("string"), b.cast("string"), total).alias("cells"))
+    return P.row_mismatches(rows, [0, 1], 2).select("row_idx", "sum", "declared")
 
 
 @query("""SELECT l_returnflag AS source_id, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS declared, true AS ok FROM lineitem GROUP BY l_returnflag""")
@@ -268,11 +276,17 @@ def parse_task(spark, d):
     return R.client_tasks(made, "entry").select("p_partkey", "seq", "name", "id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE '%ECONOMY%' THEN 'A' WHEN p_name LIKE '%ring%' THEN 'B' WHEN p_name LIKE '%widget%' THEN 'C' ELSE p_type END AS work_type FROM part")
+@query(
+    "WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '1.提供家政服务(9)' WHEN 1 THEN '2.快递配送(8)' WHEN 2 THEN '3.从事绿化养护工作(7)' WHEN 3 THEN '4.直播摄影(6)' WHEN 4 THEN '5.培训讲师(5)' ELSE '6.植保(4)' END AS task, CASE WHEN p_size % 5 = 0 THEN '数据标注' ELSE '' END AS content FROM part) SELECT p_partkey, CASE "
+    + " ".join(f"WHEN regexp_matches(content || ' ' || task, '{r}') THEN '{v}'" for v, r in C.WORK_TYPES)
+    + " WHEN p_partkey % 6 = 2 THEN '绿化养护' ELSE '植保' END AS work_type FROM t"
+)
 def work_type(spark, d):
-    """an ordered chain of patterns."""
-    chain = F.when(F.rlike("p_type", F.lit("ECONOMY")), "A").when(F.rlike("p_name", F.lit("ring")), "B").when(F.rlike("p_name", F.lit("widget")), "C")
-    return _t(spark, d, "part").select("p_partkey", chain.otherwise(F.col("p_type")).alias("work_type"))
+    """the first rule that content and task name meet; else the named service; else the task's name."""
+    k = F.col("p_partkey") % 6
+    names = ("1.提供家政服务(9)", "2.快递配送(8)", "3.从事绿化养护工作(7)", "4.直播摄影(6)", "5.培训讲师(5)", "6.植保(4)")
+    content = F.when(F.col("p_size") % 5 == 0, "数据标注").otherwise("")
+    return _t(spark, d, "part").select("p_partkey", V.work_type(F.get(F.array(*map(F.lit, names)), k.cast("int")), content).alias("work_type"))
 
 
 @query()
@@ -314,8 +328,8 @@ def lookup_taxid(spark, d):
 _WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part"
 
 
-def _clients(spark, d, cut: str = "true"):
-    p = _t(spark, d, "part").where(cut)
+def _clients(spark, d):
+    p = _t(spark, d, "part")
     return p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("full_name"), F.lower("p_brand").alias("short_name"))
 
 
@@ -327,27 +341,15 @@ _RANK3 = "CASE WHEN p_name = q THEN 1 WHEN lower(p_brand) = q THEN 2 WHEN contai
 _RANK4 = "CASE WHEN p_name = q THEN 1 WHEN lower(p_brand) = q THEN 2 WHEN contains(p_name, q) OR contains(lower(p_brand), q) THEN 3 WHEN contains(q, p_name) OR contains(q, lower(p_brand)) THEN 4 END"
 
 
-@query(f"WITH w AS ({_WORDS}) SELECT q, p_partkey AS pos, {_RANK3} AS match_rank FROM w JOIN part ON p_partkey < 200 AND {_RANK3} IS NOT NULL")
-def lookup_name_all(spark, d):
-    """Containment join with ranks, on the first 200 clients like its SQL; lookup_name_all_whole has all."""
-    return R.lookup_name_all(_name_queries(spark, d), "q", _clients(spark, d, "p_partkey < 200")).select("q", "pos", "match_rank")
-
-
-@query(f"WITH w AS ({_WORDS}), m AS (SELECT q, p_partkey AS pos, {_RANK4} AS match_rank FROM w JOIN part ON p_partkey < 200 AND {_RANK4} IS NOT NULL) SELECT q, arg_min(pos, (match_rank, pos)) AS pos FROM m GROUP BY q")
-def lookup_name_first(spark, d):
-    """The first match by phase and position, on the first 200 clients like its SQL; lookup_name_first_whole has all."""
-    return R.lookup_name_first(_name_queries(spark, d), "q", _clients(spark, d, "p_partkey < 200")).select("q", "pos")
-
-
 @query(f"WITH w AS ({_WORDS}) SELECT q, p_partkey AS pos, {_RANK3} AS match_rank FROM w JOIN part ON {_RANK3} IS NOT NULL")
-def lookup_name_all_whole(spark, d):
-    """J3 with every part as a client."""
+def lookup_name_all(spark, d):
+    """Containment join with ranks, with every part as a client."""
     return R.lookup_name_all(_name_queries(spark, d), "q", _clients(spark, d)).select("q", "pos", "match_rank")
 
 
 @query(f"WITH w AS ({_WORDS}), m AS (SELECT q, p_partkey AS pos, {_RANK4} AS match_rank FROM w JOIN part ON {_RANK4} IS NOT NULL) SELECT q, arg_min(pos, (match_rank, pos)) AS pos FROM m GROUP BY q")
-def lookup_name_first_whole(spark, d):
-    """J4 with every part as a client."""
+def lookup_name_first(spark, d):
+    """The first match by phase and position, with every part as a client."""
     return R.lookup_name_first(_name_queries(spark, d), "q", _clients(spark, d)).select("q", "pos")
 
 
@@ -534,11 +536,12 @@ def row_cluster(spark, d):
     return P.row_clusters(e, ["user_id"], "t", 3600.0).select("event_id", "cluster")
 
 
-@query("SELECT event_id, CASE WHEN value < 10 THEN 0 WHEN value < 25 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS band FROM events WHERE value >= 0")
+@query("SELECT event_id AS row_idx, CASE WHEN value < 9.5 THEN event_type || '||' WHEN value < 24.5 THEN '|' || event_type || '|' ELSE '||' || event_type END AS cells FROM events WHERE value >= 0 AND value < 9e17")
 def interval_assign(spark, d):
-    """Each point to its band, by a range join on four bands."""
-    bands = spark.sql("SELECT * FROM VALUES (0, 0D, 10D), (1, 10D, 25D), (2, 25D, 50D), (3, 50D, 1e18D) AS b(band, lo, hi)")
-    return _t(spark, d, "events").join(F.broadcast(bands), (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))).select("event_id", "band")
+    """Each word to the band that it overlaps most, the first of equals."""
+    words = _t(spark, d, "events").where("value >= 0 and value < 9e17").select(F.lit("s").alias("source_id"), F.col("event_id").alias("row_idx"), F.col("event_type").alias("str"), (F.col("value") + 0.0001).alias("x"), F.lit(0).alias("y"), F.lit(1.0).alias("w"))
+    bands = spark.sql("SELECT * FROM VALUES ('s', 0, 0D, 10D), ('s', 1, 10D, 25D), ('s', 2, 25D, 1e18D) AS b(source_id, col_idx, a, b)")
+    return G.cells_by_overlap(words, bands).select("row_idx", F.array_join("cells", "|").alias("cells"))
 
 
 # --- projections ----------------------------------------------------------------
@@ -549,14 +552,14 @@ _TEMPLATE = X.Template("payout", ("姓名", "身份证", "金额", "性别", "
 
 @query(
     """WITH i AS (SELECT c_custkey, 'C' || c_custkey AS n, lpad(CAST(c_custkey AS VARCHAR), 17, '3') || 'X' AS id FROM customer)
-SELECT i.c_custkey AS row_idx, n AS "姓名", id AS "身份证", CASE WHEN i.c_custkey % 2 = 1 THEN '男' ELSE '女' END AS "性别", '' AS "备注" FROM i"""
+SELECT i.c_custkey AS row_idx, n AS "姓名", id AS "身份证", CASE WHEN i.c_custkey % 2 = 1 THEN '男' ELSE '女' END AS "性别", '' AS "备注", "金额" FROM (SELECT i.*, regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '\\.$', '') AS "金额" FROM i JOIN customer USING (c_custkey)) AS i"""
 )
 def template_project(spark, d):
     """Typed columns under a template's headers."""
     c = _t(spark, d, "customer")
-    cells = F.array(F.concat(F.lit(" C "), _text("c_custkey")), F.concat(F.lpad(_text("c_custkey"), 17, "3"), F.lit("x")), _text("c_acctbal"))
+    cells = F.array(F.concat(F.lit(" C "), _text("c_custkey")), F.concat(F.lpad(_text("c_custkey"), 17, "3"), F.lit("x")), S.number_text(F.col("c_acctbal")))
     rows = c.select(F.lit("s").alias("source_id"), F.col("c_custkey").alias("row_idx"), cells.alias("cells"))
-    return X.project(rows, {"name": 0, "idCard": 1, "amount": 2}, _TEMPLATE).select("row_idx", "姓名", "身份证", "性别", "备注")
+    return X.project(rows, {"name": 0, "idCard": 1, "amount": 2}, _TEMPLATE).select("row_idx", "姓名", "身份证", "性别", "备注", "金额")
 
 
 @query("SELECT s_suppkey, '0' AS tax, '0' AS insurance, CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE '0' END AS bank FROM supplier")
@@ -573,11 +576,19 @@ def union_sources(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, 'quantity' AS field FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'discount' FROM lineitem WHERE l_discount > 0.08")
+@query(
+    """WITH t AS (SELECT c_custkey AS row_idx, c_custkey % 6 AS m FROM customer)
+SELECT row_idx, 0 AS col_idx, 'phone' AS issue, CASE WHEN m = 2 THEN '13800138000' END AS fix FROM t WHERE m IN (2, 3)
+UNION ALL SELECT row_idx, 1, 'amount', NULL FROM t WHERE m = 4
+UNION ALL SELECT row_idx, 2, 'form', NULL FROM t WHERE m = 5"""
+)
 def validate_issues(spark, d):
-    """P10: one row per broken rule."""
-    rules = F.filter(F.array(F.when(F.col("l_quantity") > 45, F.lit("quantity")), F.when(F.col("l_discount") > 0.08, F.lit("discount"))), lambda x: x.isNotNull())
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(rules).alias("field"))
+    """P10: one row per number that breaks its column's rule; text, and spaces within ids, phones and cards, break none."""
+    m = F.col("c_custkey") % 6
+    phone = F.when(m == 0, "无").when(m == 1, "138 0013 8000").when(m == 2, "138OO138OOO").when(m == 3, "12345").otherwise("13800138000")
+    cells = F.array(phone, F.when(m == 4, "12.345").otherwise("1,234.5"), F.when(m == 5, "123456").otherwise("无"))
+    rows = _t(spark, d, "customer").select(F.lit("s").alias("source_id"), F.col("c_custkey").alias("row_idx"), cells.alias("cells"))
+    return V.cell_issues(rows, {"phone": 0, "amount": 1, "idCard": 2}).select("row_idx", "col_idx", "issue", "fix")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' ' || '2024' ELSE c_mktsegment END AS note FROM customer")
@@ -609,10 +620,8 @@ def col_width(spark, d):
 
 @query("WITH r AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, v AS median FROM r WHERE k = n // 2 + 1")
 def median_upper(spark, d):
-    """The upper of the two middle values, by rank."""
-    w = Window.partitionBy("p_brand")
-    r = _t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("v"), F.row_number().over(w.orderBy("p_retailprice")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("p_brand", F.col("v").alias("median"))
+    """The upper of the two middle values."""
+    return _t(spark, d, "part").groupBy("p_brand").agg(P.upper_median(F.col("p_retailprice")).alias("median"))
 
 
 @query("""SELECT p_partkey, '"' || p_name || ', ' || p_type || '",' || p_size AS line FROM part""")

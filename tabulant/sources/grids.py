@@ -84,6 +84,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def parse_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
@@ -93,8 +94,11 @@ def parse_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS)]
-        return [(name, _sheet_rows(z.read(f"xl/worksheets/sheet{i}.xml"), shared)) for i, name in enumerate(sheets, 1)]
+        sheets = [(s.get("name"), s.get(_REL_ID)) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS)]
+        parts = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            parts = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        return [(name, _sheet_rows(z.read(f"xl/{parts.get(rel, f'worksheets/sheet{i}.xml')}"), shared)) for i, (name, rel) in enumerate(sheets, 1)]
 
 
 def _sheet_rows(xml: bytes, shared: list[str]) -> list[list[str]]:

@@ -79,6 +79,15 @@ def test_detection(spark):
     assert got[2, 1] == ("200", "", "第二笔") and (3, 1) not in got and len(got) == 9
     assert [(r["row_idx"], r["sum"], r["declared"]) for r in bad.collect()] == [(4, 15.0, 16.0)]
     assert D.detect_tables(grid.limit(0))[1].count() == 0
+    ragged = spark.createDataFrame([("s", 0, ["甲", "1", "2", "n"]), ("s", 1, ["乙", "", "7"]), ("s", 2, ["丙"])], GRID)
+    got = {(r["row_idx"], r["split_idx"]): r["cells"] for r in P.split_amounts(ragged, [1, 2], note_col=3, labels={1: "x", 2: "y"}, label_note=True)[0].collect()}
+    assert got == {(0, 0): ["甲", "1", "", "n；x"], (0, 1): ["甲", "2", "", "n；y"], (1, 1): ["乙", "7", "", "y"], (2, 0): ["丙", "", "", ""]}
+
+
+def test_task_parts_and_sheet_text(spark):
+    assert one(spark, S.task_parts(F.lit("3.装卸(夜班)(T9)")))["id"] == "T9"
+    assert one(spark, S.task_parts(F.lit("3.装卸()"))) is None
+    assert one(spark, S.sheet_text(F.lit("6222\u200b 0000  1234"))) == "622200001234"
 
 
 def test_merge(spark):
@@ -129,12 +138,17 @@ def test_recognised_cells(spark):
     rows = spark.createDataFrame([("s", 0, ["110101199001011234", "1380013800", "1日.5"]), ("s", 1, ["11010519491231002X", "13800138000", "12.50"])], GRID)
     got = sorted((r["row_idx"], r["col_idx"], r["issue"], r["fix"]) for r in V.cell_issues(rows, {"idCard": 0, "phone": 1, "amount": 2}).collect())
     assert got == [(0, 0, "checksum", None), (0, 1, "phone", None), (0, 2, "amount", "10.5")]
+    loose = spark.createDataFrame([("s", 0, ["无", "138 0013 8000", "待定"]), ("s", 1, ["1234567890123456789", "OOO", "1 2"]), ("s", 2, [None])], GRID)
+    got = sorted((r["row_idx"], r["col_idx"], r["issue"], r["fix"]) for r in V.cell_issues(loose, {"idCard": 0, "phone": 1, "amount": 2}).collect())
+    assert got == [(1, 0, "form", None), (1, 2, "amount", None)]
 
 
 def test_templates(spark):
     rows = spark.createDataFrame([("s", 0, ["王辉2", "110101199001011234", "1,200.50"]), ("s", 1, ["", "", "3"])], GRID)
     out = X.project(rows, {"name": 0, "idCard": 1, "amount": 2}, X.TEMPLATES["youyi"]).collect()
-    assert len(out) == 1 and (out[0]["姓名"], out[0]["性别"], out[0]["税前金额"]) == ("王辉", "男", "1200.5")
+    assert len(out) == 1 and (out[0]["姓名"], out[0]["性别"], out[0]["税前金额"]) == ("王辉2", "男", "1200.5")
+    named = X.clean_name_column(rows, {"name": 0})
+    assert [(r["cells"][0], r["_renamed"]) for r in named.orderBy("row_idx").collect()] == [("王辉", True), ("", False)]
     assert X.split_file_names([("a-甲.xlsx", "x"), ("a-乙.xlsx", "x")], "T", "compact") == ["甲", "乙"]
     files = X.group_files(rows.select(F.lit("甲").alias("group"), F.get("cells", F.lit(0)).alias("姓名")), ["姓名"]).collect()
     assert G.parse_xlsx(bytes(files[0]["content"]))[0][1] == [["姓名"], ["王辉2"], [""]]
@@ -153,8 +167,8 @@ def test_name_lookups_take_every_client(spark, tmp_path):
             rank = 1 if full == q else 2 if short == q else 3 if q in full or q in short else 4 if full in q or short in q else None
             if rank:
                 want[q, pos] = rank
-    found = {(r["q"], r["pos"]): r["match_rank"] for r in Q.QUERIES["lookup_name_all_whole"](spark, str(tmp_path)).collect()}
+    found = {(r["q"], r["pos"]): r["match_rank"] for r in Q.QUERIES["lookup_name_all"](spark, str(tmp_path)).collect()}
     assert found == {k: min(r, 3) for k, r in want.items()} and any(pos >= 200 for _, pos in found)
-    first = {r["q"]: r["pos"] for r in Q.QUERIES["lookup_name_first_whole"](spark, str(tmp_path)).collect()}
+    first = {r["q"]: r["pos"] for r in Q.QUERIES["lookup_name_first"](spark, str(tmp_path)).collect()}
     assert first == {q: min((r, pos) for (x, pos), r in want.items() if x == q)[1] for q in {q for q, _ in want}}
     assert first["v399"] == 501 and first["solo"] == 500
