@@ -57,6 +57,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -403,6 +404,53 @@ def entered_differences(d: int, size: int, pivot: int, is_linked: bool, p: int,
     return out
 
 
+_OFTEN = "family long, salt int, n long, xs array<long>, cs array<long>"
+_OFTEN_SCHEMA = pa.schema([("family", pa.int64()), ("salt", pa.int32()), ("n", pa.int64()), ("xs", pa.list_(pa.int64())), ("cs", pa.list_(pa.int64()))])
+
+
+def _often_in_chunk(share: float):
+    """Per family and chunk of rows: differences that at least half the share of its rows have, with counts. At most 2 / share rows' worth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size, salt = 0, TaskContext.get().partitionId() % 32
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for family, own in held.items():
+                xs, cs = np.unique(np.concatenate(own), return_counts=True)
+                rows.append((family, salt, len(own), xs[2 * cs >= share * len(own)], cs[2 * cs >= share * len(own)]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _OFTEN_SCHEMA)], schema=_OFTEN_SCHEMA)
+
+        for batch in batches:
+            differ = batch.column("differ")
+            for i, family in enumerate(batch.column("family").to_pylist()):
+                held.setdefault(family, []).append(differ[i].values.to_numpy())
+                size += len(held[family][-1])
+            if size >= CHUNK_SHINGLES:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _often_in_all(share: float, least: int):
+    """The sums of such counts that are at least that share of the family's rows, and more than ``least``."""
+
+    def run(chunks: pa.Table) -> pa.Table:
+        n = sum(chunks.column("n").to_pylist())
+        xs, at = np.unique(np.concatenate([x.values.to_numpy() for x in chunks.column("xs")]), return_inverse=True)
+        cs = np.bincount(at, weights=np.concatenate([x.values.to_numpy() for x in chunks.column("cs")])).astype(np.int64)
+        kept = (cs >= share * n) & (cs > least)
+        row = (chunks.column("family")[0].as_py(), chunks.column("salt")[0].as_py(), n, xs[kept], cs[kept])
+        return pa.table([pa.array([x], type=f.type) for x, f in zip(row, _OFTEN_SCHEMA)], schema=_OFTEN_SCHEMA)
+
+    return run
+
+
 def _enter_differences(p: int, q: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = _Entries(buckets)
@@ -649,9 +697,10 @@ def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple
         if entered is None and rest.isEmpty():
             discard(*spent, families, rest)
             break
-        often = families.select("family", F.explode("differ").alias("x")).groupBy("family", "x").agg(F.count(F.lit(1)).alias("c"))
-        often = often.join(families.groupBy("family").agg((FREQUENT * F.count(F.lit(1))).alias("least")), "family").where((F.col("c") > F.col("least")) & (F.col("c") > SMALL))
-        often = often.groupBy("family").agg(F.collect_list("x").alias("frequent"))  # at most (mean number of differences) / FREQUENT
+        often = families.select("family", "differ").mapInArrow(_often_in_chunk(FREQUENT), _OFTEN)
+        for keys, least in ((["family", "salt"], 0), (["family"], SMALL)):
+            often = often.groupBy(*keys).applyInArrow(_often_in_all(FREQUENT if least else FREQUENT / 2, least), _OFTEN)
+        often = often.select("family", F.col("xs").alias("frequent"))
         buckets = max(partitions(spark), math.ceil((entered or 0) * 4 * 17 / BUCKET_BYTES))
         entries = families.join(often, "family", "left").select("family", "b", "na", "nb", "d", "linked", "differ", "frequent").mapInArrow(_enter_differences(p, q, buckets), _ENTRIES)
         met = materialise(join.met(entries).select("sig", F.col("k1").alias("cid")).distinct(), "met")
