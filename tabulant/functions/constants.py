@@ -38,6 +38,11 @@ SHEET_NOT_SELECTED = r"(?i)(汇总|总表|说明|模板|图表|透视|summary|ch
 SHEET_BONUS, SHEET_PENALTY = r"(?i)(费用明细|工资|报酬|劳务|发放|明细)", r"(?i)(汇总|总表|配置|任务)"
 # The name cleaner's guards.
 ORG_SUFFIX = r"(公司|银行|支行|分行|商行|商社|营业部|营业室|事务所|工作室|服务部|经营部|中心|店|厂|院|所|队|站|校)\z"
+# Names of the ways a client is found, exact names first, and date patterns of a sheet's head.
+NAME_MATCHES = ("全称精确", "简称精确", "模糊匹配")
+TAX_MATCH = "税号精确"
+YEAR_HINT = r"(20\d{2})"
+MONTH_HINTS = (r"(?:^|[^\d])(20\d{2}\s*年\s*\d{1,2}\s*月)", r"(?:^|[^\d])(20\d{2}[-/.]\d{1,2})")
 # Weights and check characters of an 18-digit id.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"

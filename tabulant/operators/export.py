@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulant.functions import constants as C
 from tabulant.functions.scalars import clean_name, clean_value, file_name_part, gender_of_id, js_trim, sanitize_amount
+from tabulant.operators.validation import bank_place
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,18 @@ def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all
     return out.drop("_name", "_idCard", "_bankCard")
 
 
+def fill_constants(rows: DataFrame, cities: list[str]) -> DataFrame:
+    """Tax and insurance are "0", a missing bank is "0", a missing place is that of the bank; columns not there stay away."""
+    have, out = set(rows.columns), rows
+    out = out.withColumns({c: F.lit("0") for c in ("个税金额", "商业保险") if c in have})
+    if "银行名称" in have:
+        out = out.withColumn("银行名称", F.coalesce(F.nullif("银行名称", F.lit("")), F.lit("0")))
+    if "银行所属地" in have:
+        bank = F.col("银行名称") if "银行名称" in have else F.lit("")
+        out = out.withColumn("银行所属地", F.coalesce(F.nullif("银行所属地", F.lit("")), bank_place(bank, cities)))
+    return out
+
+
 def split_groups(rows: DataFrame, by_sheet: bool, default_file: str = "未命名") -> DataFrame:
     """(group, file, sheet, first_row, n_rows) in first-seen order."""
     file = F.coalesce(F.nullif("_file", F.lit("")), F.lit(default_file))

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from tabulant.functions import constants as C
 from tabulant.functions import scalars as S
+from tabulant.operators import client_match as M
 from tabulant.operators import detect as D
+from tabulant.operators import direct as T
 from tabulant.operators import export as X
 from tabulant.operators import people as P
 from tabulant.operators import reference_data as R
+from tabulant.operators import reference_io as I
 from tabulant.operators import validation as V
 from tabulant.sources import grids as G
 
@@ -562,11 +565,13 @@ def template_project(spark, d):
     return X.project(rows, {"name": 0, "idCard": 1, "amount": 2}, _TEMPLATE).select("row_idx", "姓名", "身份证", "性别", "备注", "金额")
 
 
-@query("SELECT s_suppkey, '0' AS tax, '0' AS insurance, CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE '0' END AS bank FROM supplier")
+@query("""SELECT s_suppkey, '0' AS "个税金额", '0' AS "商业保险", CASE WHEN s_nationkey % 2 = 0 THEN '中国银行佛山支行' ELSE '0' END AS "银行名称", CASE WHEN s_nationkey % 3 = 0 THEN '广州' WHEN s_nationkey % 2 = 0 THEN '佛山' ELSE '0' END AS "银行所属地" FROM supplier""")
 def constants(spark, d):
     """Fixed values and defaults."""
-    bank = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise(F.lit(""))
-    return _t(spark, d, "supplier").select("s_suppkey", F.lit("0").alias("tax"), F.lit("0").alias("insurance"), R.fill_if_empty(bank, F.lit("0")).alias("bank"))
+    n = F.col("s_nationkey")
+    bank, place = F.when(n % 2 == 0, "中国银行佛山支行").otherwise(""), F.when(n % 3 == 0, "广州").otherwise("")
+    rows = _t(spark, d, "supplier").select("s_suppkey", F.lit("9").alias("个税金额"), F.lit("").alias("商业保险"), bank.alias("银行名称"), place.alias("银行所属地"))
+    return X.fill_constants(rows, ["广州", "佛山"])
 
 
 @query("SELECT 0 AS source_pos, o_orderkey AS row_idx FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, o_orderkey FROM orders WHERE o_orderstatus = 'P'")
@@ -633,7 +638,7 @@ def csv_lines(spark, d):
 
 @query("SELECT o_orderstatus AS source_id, 0 AS header_row, 0 AS filtered_count, count(*) AS data_rows, 'name,phone,,amount,note' AS types FROM orders GROUP BY o_orderstatus")
 def detect_sheet(spark, d):
-    """D1-D18 but D7: table detection and typing of three sheets, end to end."""
+    """Table detection and typing of three sheets, end to end."""
     body = _people(spark, d).withColumn("row_idx", F.col("row_idx") + 1)
     phone = F.concat(F.lit("13"), F.lpad(F.get("cells", F.lit(1)), 9, "0"))
     body = body.select("source_id", "row_idx", F.array(F.lit("王辉"), phone, F.lit("x"), F.get("cells", F.lit(3)), F.lit("")).alias("cells"))
@@ -644,6 +649,203 @@ def detect_sheet(spark, d):
     return tables.select("source_id", "header_row", "filtered_count").join(n, "source_id").join(types, "source_id")
 
 
+# --- clients of a batch, direct tables, imports -----------------------------------
+
+
+def _nation_clients(spark, d):
+    k = F.col("n_nationkey")
+    return _t(spark, d, "nation").select(k.alias("pos"), k.cast("string").alias("id"), F.col("n_name").alias("full_name"), F.concat(F.lit("S"), k).alias("short_name"), F.concat(F.lit("T"), k % 20).alias("tax_id"))
+
+
+def _batches(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    return _t(spark, d, "customer").select(
+        "c_custkey",
+        F.when(k % 7 == 0, F.concat(F.lit(" "), n)).when(k % 7 == 1, "999").otherwise("").alias("mapped_id"),
+        F.when(k % 2 == 0, F.concat(F.lit("NATION_"), n)).otherwise("").alias("client_name"),
+        F.when(k % 3 == 0, F.concat(F.lit("t"), n)).otherwise("").alias("tax_id"),
+    )
+
+
+_CLIENT_SQL = """WITH c AS (SELECT n_nationkey AS pos, CAST(n_nationkey AS VARCHAR) AS id, n_name AS full_name, 'S' || n_nationkey AS short, 'T' || (n_nationkey % 20) AS tax FROM nation),
+r AS (SELECT a.id, arg_min(b.id, b.pos) AS rid FROM c a JOIN c b ON a.full_name = b.full_name OR a.short = b.short OR a.tax = b.tax GROUP BY a.id),
+b AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_nationkey AS VARCHAR) WHEN c_custkey % 7 = 1 THEN '999' ELSE '' END AS mapped,
+        CASE WHEN c_custkey % 2 = 0 THEN 'NATION_' || c_nationkey ELSE '' END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'T' || c_nationkey ELSE '' END AS tax FROM customer),
+t AS (SELECT tax, arg_min(id, pos) AS tid, arg_min(short, pos) AS tshort FROM c GROUP BY tax),
+n AS (SELECT name, count(*) AS n, min(rid) AS one, string_agg(c.id || ' - ' || short || '/' || CASE WHEN full_name = name THEN '全称精确' ELSE '模糊匹配' END, ',' ORDER BY CASE WHEN full_name = name THEN 0 ELSE 1 END, pos) AS shown
+      FROM (SELECT DISTINCT name FROM b WHERE name <> '') JOIN c ON contains(full_name, name) OR contains(name, full_name) JOIN r USING (id) GROUP BY name),
+x AS (SELECT b.c_custkey, c.id, tr.rid, t.tshort, n.n, n.one, n.shown FROM b LEFT JOIN c ON c.id = b.mapped LEFT JOIN t ON t.tax = b.tax LEFT JOIN r tr ON tr.id = t.tid LEFT JOIN n ON n.name = b.name)
+"""
+
+
+def _listed(candidates: str) -> Column:
+    return F.array_join(F.transform(candidates, lambda c: F.concat_ws("/", c["label"], c["match_type"])), ",").alias("candidates")
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS pos, CASE WHEN n_nationkey % 4 = 3 THEN '' ELSE 'T' || n_nationkey END AS tax, 'R' || n_regionkey AS short, n_name FROM nation),
+r AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'NATION_' || c_nationkey ELSE 'x' END AS f, CASE WHEN c_custkey % 11 = 0 THEN 'R4' ELSE 'y' END AS s, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'T' || (c_custkey % 30) END AS t FROM customer)
+SELECT c_custkey, CAST(min(pos) AS VARCHAR) AS client_id FROM r LEFT JOIN n ON n_name = f OR short = s OR tax = t GROUP BY c_custkey"""
+)
+def reverse_lookup(spark, d):
+    """The first client with the same full name, short name or tax id, empty ones included."""
+    n, k = F.col("n_nationkey"), F.col("c_custkey")
+    clients = _t(spark, d, "nation").select(n.alias("pos"), n.cast("string").alias("id"), F.col("n_name").alias("full_name"), F.concat(F.lit("R"), "n_regionkey").alias("short_name"), F.when(n % 4 != 3, F.concat(F.lit("T"), n)).alias("tax_id"))
+    full, short = F.when(k % 2 == 0, F.concat(F.lit("NATION_"), "c_nationkey")).otherwise("x"), F.when(k % 11 == 0, "R4").otherwise("y")
+    rows = _t(spark, d, "customer").select("c_custkey", full.alias("full_name"), short.alias("short_name"), F.when(k % 5 != 0, F.concat(F.lit("T"), k % 30)).otherwise("").alias("tax_id"))
+    return M.reverse_lookup(rows, clients).select("c_custkey", "client_id")
+
+
+@query(
+    _CLIENT_SQL
+    + """SELECT c_custkey, coalesce(id, rid, CASE WHEN n = 1 THEN one END) AS client_id, CASE WHEN id IS NOT NULL THEN 'id' WHEN rid IS NOT NULL THEN 'tax' WHEN n = 1 THEN 'name' END AS matched_by,
+CASE WHEN id IS NULL AND rid IS NULL AND n > 1 THEN shown ELSE '' END AS candidates FROM x"""
+)
+def best_client(spark, d):
+    """Id, then tax id, then a name of one client; several are candidates only."""
+    return M.best_client(_batches(spark, d), _nation_clients(spark, d)).select("c_custkey", "client_id", "matched_by", _listed("candidates"))
+
+
+@query(_CLIENT_SQL + "SELECT c_custkey, CASE WHEN rid IS NOT NULL THEN rid || ' - ' || tshort || '/税号精确' ELSE coalesce(shown, '') END AS candidates FROM x")
+def client_candidates(spark, d):
+    """The client of the tax id, else all that the name fits."""
+    return M.client_candidates(_batches(spark, d), _nation_clients(spark, d)).select("c_custkey", _listed("candidates"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus WHEN 1 THEN o_orderpriority ELSE '' END AS content FROM orders")
+def task_content(spark, d):
+    """The first task of a trimmed name."""
+    task = lambda n, c: F.struct(F.lit(n).alias("name"), c.alias("content"))
+    tasks = F.array(task("甲 ", F.concat(F.lit(" "), "o_orderstatus")), task("乙", F.col("o_orderpriority")), task("甲", F.lit("later")), task("丙", F.lit(None).cast("string")))
+    name = F.get(F.array(*map(F.lit, (" 甲", "乙", "丙", ""))), (F.col("o_orderkey") % 4).cast("int"))
+    return _t(spark, d, "orders").select("o_orderkey", M.task_content(tasks, name).alias("content"))
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'C9' ELSE CAST(s_nationkey AS VARCHAR) END AS client, CASE WHEN s_suppkey % 2 = 0 THEN s_name WHEN s_suppkey % 3 = 0 THEN '平台' ELSE '' END AS platform, false AS unmatched FROM supplier"""
+)
+def manual_client(spark, d):
+    """A client chosen by hand, on unmatched rows only."""
+    k = F.col("s_suppkey")
+    rows = _t(spark, d, "supplier").select("s_suppkey", _text("s_nationkey").alias("client"), F.when(k % 2 == 0, F.col("s_name")).otherwise("").alias("platform"), (k % 3 == 0).alias("unmatched"))
+    return M.manual_client(rows, "unmatched", "client", "C9", {"platform": F.lit("平台")})
+
+
+@query("SELECT count(*) FILTER (n_nationkey IS NOT NULL) AS matched, count(*) AS total FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2")
+def match_statistic(spark, d):
+    """Rows with a client, and all rows."""
+    clients = _t(spark, d, "nation").where("n_regionkey <> 2").select(_text("n_nationkey").alias("id"), _text("n_nationkey").alias("client"))
+    return M.match_statistic(R.lookup_id(_t(spark, d, "customer").withColumn("key", _text("c_nationkey")), "key", clients), "client")
+
+
+@query("SELECT count(DISTINCT c_custkey) AS clients, count(o_orderkey) AS tasks FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def reference_status(spark, d):
+    """Clients and their tasks."""
+    tasks = _t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("tasks"))
+    return M.reference_status(_t(spark, d, "customer").join(tasks, F.col("c_custkey") == F.col("o_custkey"), "left"))
+
+
+@query("SELECT c_custkey AS row_idx, '姓名|列3|金额' AS headers, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '王辉' END || '|' || ' x' || '|' || c_acctbal::DECIMAL(18, 2)::VARCHAR AS line FROM customer")
+def raw_direct(spark, d):
+    """Recognised columns as they are, names cleaned."""
+    name = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("王辉"), F.col("c_custkey") % 4))
+    rows = _t(spark, d, "customer").select(F.lit("s").alias("source_id"), F.col("c_custkey").alias("row_idx"), F.array(name, F.lit("no"), F.lit(" x"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("cells"))
+    headers, out = T.raw_table(rows, {3: "金额", 0: " 姓名 ", 2: ""}, 0)
+    return out.select("row_idx", F.lit("|".join(headers)).alias("headers"), F.array_join("cells", "|").alias("line"))
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS row_idx, o_orderkey % 5 AS a, o_custkey % 3 AS b FROM orders),
+s AS (SELECT row_idx, 0 AS split_idx, CAST(a AS VARCHAR) AS v, '工资' AS label FROM t WHERE a <> 0 UNION ALL SELECT row_idx, 1, CAST(b AS VARCHAR), '第 3 列' FROM t WHERE b <> 0
+UNION ALL SELECT row_idx, 0, '0', '' FROM t WHERE a = 0 AND b = 0)
+SELECT row_idx, split_idx, '姓名|税前金额|手机号|手机号2|备注' AS headers, '王辉|' || v || '|13800138000|1|' || label AS line FROM s"""
+)
+def mapped_direct(spark, d):
+    """Typed columns under standard headers, amounts split and labelled, the total left out."""
+    a, b = F.col("o_orderkey") % 5, F.col("o_custkey") % 3
+    cells = F.array(F.lit("王辉2"), a.cast("string"), b.cast("string"), F.lit(" 138 0013 8000"), F.lit("不识别"), (a + b).cast("string"), F.lit("1"))
+    rows = _t(spark, d, "orders").select(F.lit("s").alias("source_id"), F.col("o_orderkey").alias("row_idx"), cells.alias("cells"))
+    headers, out, _ = T.mapped_table(rows, {0: "name", 1: "amount", 2: "amount", 3: "phone", 4: "", 5: "amountTotal", 6: "phone"}, {1: "工资", 2: " "}, 0, True)
+    return out.select("row_idx", "split_idx", F.lit("|".join(headers)).alias("headers"), F.array_join("cells", "|").alias("line"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, o_orderkey AS k, '20' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS y, CAST(o_orderkey % 12 + 1 AS VARCHAR) AS m FROM orders WHERE o_orderkey % 30 < 20)
+SELECT CAST(o_custkey AS VARCHAR) AS source_id, coalesce(arg_min(y, k) FILTER (k % 3 <> 1), '') AS year_hint, coalesce(arg_min(y || CASE k % 3 WHEN 0 THEN '年 ' || m || '月' ELSE '-' || m END, k) FILTER (k % 3 <> 1), '') AS month_hint FROM o GROUP BY o_custkey"""
+)
+def date_hints(spark, d):
+    """The first year and month in the leading rows."""
+    k = F.col("o_orderkey")
+    year, month = F.concat(F.lit("20"), F.lpad((k % 100).cast("string"), 2, "0")), (k % 12 + 1).cast("string")
+    cell = F.when(k % 3 == 0, F.concat(F.lit("报表"), year, F.lit("年 "), month, F.lit("月"))).when(k % 3 == 2, F.concat(F.lit("期间 "), year, F.lit("-"), month)).otherwise("x")
+    return T.date_hints(_t(spark, d, "orders").select(_text("o_custkey").alias("source_id"), k.alias("sheet_idx"), (k % 30).alias("row_idx"), F.array(F.lit("x"), cell).alias("cells")))
+
+
+@query("SELECT s_suppkey, 'f' || s_nationkey || ' / ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '默认表' END AS label FROM supplier")
+def group_label(spark, d):
+    """F18."""
+    sheet = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("")
+    return _t(spark, d, "supplier").select("s_suppkey", T.group_label(F.concat(F.lit("f"), "s_nationkey"), sheet, True).alias("label"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '/') || '/' || p_brand AS words FROM part")
+def split_keywords(spark, d):
+    """Half- and full-width commas."""
+    return _t(spark, d, "part").select("p_partkey", F.array_join(I.split_keywords(F.concat(F.replace("p_name", F.lit(" "), F.lit(" ,")), F.lit("，, "), "p_brand")), "/").alias("words"))
+
+
+@query(
+    """WITH o AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'platform' ELSE 'tax_source' END AS kind, n_name AS key, n_name AS value, n_nationkey AS pos FROM nation),
+p AS (SELECT 'tax_source' AS kind, 'NATION_' || (s_suppkey % 40) AS key, arg_max(s_name, s_suppkey) AS value, min(s_suppkey) AS pos FROM supplier GROUP BY ALL)
+SELECT kind, key, coalesce(p.value, o.value) AS value, CAST(coalesce(o.pos, p.pos + (SELECT max(pos) + 1 FROM o)) AS BIGINT) AS pos, o.pos IS NULL AS added FROM o FULL JOIN p USING (kind, key)"""
+)
+def merge_config(spark, d):
+    """A patch of the configuration."""
+    old = _t(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "platform").otherwise("tax_source").alias("kind"), F.col("n_name").alias("key"), F.array("n_name").alias("value"), F.col("n_nationkey").alias("pos"))
+    patch = _t(spark, d, "supplier").select(F.lit("tax_source").alias("kind"), F.concat(F.lit("NATION_"), F.col("s_suppkey") % 40).alias("key"), F.array("s_name").alias("value"), F.col("s_suppkey").alias("pos"))
+    return I.merge_config(old, patch).withColumn("value", F.array_join("value", ","))
+
+
+@query(
+    """WITH o AS (SELECT c_nationkey || '|' || c_mktsegment AS key, arg_max(c_custkey || '.' || c_mktsegment || '(' || c_nationkey || ')', c_custkey) AS entry, min(c_custkey) AS pos FROM customer GROUP BY 1),
+n AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_nationkey || '|BUILDING' END AS key, arg_max(CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '7' || s_suppkey || '.BUILDING(' || s_nationkey || ')' END, s_suppkey) AS entry, min(s_suppkey) AS pos FROM supplier GROUP BY 1)
+SELECT key, coalesce(n.entry, o.entry) AS entry, CAST(coalesce(o.pos, n.pos + (SELECT max(pos) + 1 FROM o)) AS BIGINT) AS pos, o.pos IS NULL AS added FROM o FULL JOIN n USING (key)"""
+)
+def merge_tasks(spark, d):
+    """Task list entries by client and task name."""
+    entry = lambda seq, name, i: F.concat(seq, F.lit("."), name, F.lit("("), i, F.lit(")"))
+    old = _t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), entry("c_custkey", "c_mktsegment", "c_nationkey").alias("entry"))
+    new = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(entry(F.concat(F.lit("7"), "s_suppkey"), F.lit("BUILDING"), "s_nationkey")).alias("entry"))
+    return I.merge_tasks(old, new)
+
+
+@query(
+    """WITH o AS (SELECT n_nationkey AS id, n_name AS full_name FROM nation), n AS (SELECT n_nationkey + 10 AS id, 'S' || n_nationkey AS short_name, n_nationkey AS pos FROM nation)
+SELECT CAST(coalesce(o.id, n.id) AS VARCHAR) AS id, CASE WHEN n.id IS NULL THEN full_name END AS full_name, short_name, CAST(coalesce(o.id, n.pos + (SELECT max(id) + 1 FROM o)) AS BIGINT) AS pos, o.id IS NULL AS added FROM o FULL JOIN n ON o.id = n.id"""
+)
+def import_clients(spark, d):
+    """Imported clients replace old ones whole."""
+    k, nation = F.col("n_nationkey"), _t(spark, d, "nation")
+    return I.import_clients(nation.select(k.cast("string").alias("id"), k.alias("pos"), F.col("n_name").alias("full_name")), nation.select((k + 10).cast("string").alias("id"), k.alias("pos"), F.concat(F.lit("S"), k).alias("short_name")))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey + 1 AS pos, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS t, 'P' || s_nationkey AS p, 'E' || s_nationkey AS e, s_suppkey % 3 = 0 AS y FROM supplier)
+SELECT 'tax_source' AS kind, t AS key, t AS value, pos FROM s WHERE t <> ''
+UNION ALL SELECT 'platform', p, p, min(pos) FROM s GROUP BY p
+UNION ALL SELECT 'sign_entity', e, arg_max(p || '/b', pos), min(pos) FROM s WHERE y GROUP BY e
+UNION ALL SELECT 'platform_tax', p, arg_max(t, pos), min(pos) FROM s WHERE t <> '' GROUP BY p"""
+)
+def config_sheet(spark, d):
+    """Lists and mappings of a configuration sheet."""
+    k = F.col("s_suppkey")
+    tax, platform = F.when(k % 2 == 0, F.col("s_name")).otherwise(""), F.concat(F.lit("P"), "s_nationkey")
+    entity = F.concat(F.lit("E"), "s_nationkey", F.when(k % 3 == 0, F.lit(" → ")).otherwise("-"), platform, F.lit("，b,"))
+    body = _t(spark, d, "supplier").select((k + 1).alias("row_idx"), F.array(tax, F.concat(F.lit(" "), platform), entity, F.concat(platform, F.lit("→"), tax)).alias("cells"))
+    head = spark.createDataFrame([(0, ["税源地", "平台", "签约主体", "平台税源地"])], "row_idx long, cells array<string>")
+    return I.config_sheet(head.unionByName(body).withColumn("source_id", F.lit("s"))).withColumn("value", F.array_join("value", "/"))
+
+
 RUN_DATE = datetime.date(2024, 1, 31)
 
 
