@@ -809,7 +809,7 @@ def merge_config(spark, d):
 @query(
     """WITH o AS (SELECT c_nationkey || '|' || c_mktsegment AS key, arg_max(c_custkey || '.' || c_mktsegment || '(' || c_nationkey || ')', c_custkey) AS entry, min(c_custkey) AS pos FROM customer GROUP BY 1),
 n AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_nationkey || '|BUILDING' END AS key, arg_max(CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '7' || s_suppkey || '.BUILDING(' || s_nationkey || ')' END, s_suppkey) AS entry, min(s_suppkey) AS pos FROM supplier GROUP BY 1)
-SELECT key, coalesce(n.entry, o.entry) AS entry, CAST(coalesce(o.pos, n.pos + (SELECT max(pos) + 1 FROM o)) AS BIGINT) AS pos, o.pos IS NULL AS added FROM o FULL JOIN n USING (key)"""
+SELECT key, coalesce(n.entry, o.entry) AS entry, CAST(coalesce(o.pos, n.pos + (SELECT max(c_custkey) + 1 FROM customer)) AS BIGINT) AS pos, o.pos IS NULL AS added FROM o FULL JOIN n USING (key)"""
 )
 def merge_tasks(spark, d):
     """Task list entries by client and task name."""
