@@ -53,17 +53,20 @@ def brute_p(token, alphabet):
     m = sum(s) / n
     spread = sum(x * x for x in s) / n - m * m
     z3 = abs(sum((x - m) * (y - m) for x, y in zip(s, s[1:])) / (n * spread) + 1 / n) * math.sqrt(n) if spread > 0 else 9.0
-    return min(1.0, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)))
+    words = max(0.055, 1.75 / size)
+    equal = sum(x == y for i, x in enumerate(s) for j, y in enumerate(s) if i != j)
+    sd = math.sqrt(2 * n * (n - 1) * (words + 2 * (n - 2) * 1.25 * words**2 - (2 * n - 3) * words**2))
+    return min(1.0, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3))), min(1.0, tail((n * (n - 1) * words - equal) / sd))
 
 
 def brute_tokens(text):
     out = []
-    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,6}", text or ""):
         for e, (_, rx, alphabet) in enumerate(secrets.ENCODINGS):
             if re.search(rx.replace(r"\z", r"\Z"), m[0]):
                 n = len(m[0].rstrip("="))
                 stratum = max([k for k, low in enumerate(secrets.STRATA) if n >= low], default=0)
-                out.append((m.start(), m.end(), e, stratum, min(math.floor(-10 * math.log10(brute_p(m[0], alphabet)) + 1e-9), 300)))
+                out.append((m.start(), m.end(), e, stratum, *(min(math.floor(-10 * math.log10(p) + 1e-9), 300) for p in brute_p(m[0], alphabet))))
                 break
     return out
 
@@ -72,16 +75,16 @@ def test_secret_scan_against_brute_force(spark):
     texts = secret_texts() + [r[1] for r in cases.documents()]
     counts = {}
     for t in texts:
-        for _, _, e, s, b in brute_tokens(t):
-            counts.setdefault((e, s), {}).setdefault(b, 0)
-            counts[e, s][b] += 1
-    limits = {k: secrets.bh_limit(c, secrets.Q) for k, c in counts.items()}
+        for _, _, e, s, *bins in brute_tokens(t):
+            for c, b in zip(counts.setdefault((e, s), ({}, {})), bins):
+                c[b] = c.get(b, 0) + 1
+    limits = {k: (secrets.bh_limit(one, secrets.Q), secrets.bh_limit(two, secrets.FALSE)) for k, (one, two) in counts.items()}
     got = {r["doc_id"]: r for r in secrets.secret_scan(cases.frame(spark, rows_of(texts))).collect()}
     assert len(got) == len(texts)
     names = secrets.KINDS
     for k, t in enumerate(texts):
         base = brute_spans(t)
-        more = [(a, 3, b) for a, b, e, s, p in brute_tokens(t) if p < limits[e, s] and not any(x < b and a < y for x, _, y in base)]
+        more = [(a, 3, b) for a, b, e, s, p, f in brute_tokens(t) if p < limits[e, s][0] and f >= limits[e, s][1] and not any(x < b and a < y for x, _, y in base)]
         text = lambda spans: ",".join(f"{names[i]}:{a}:{b}" for a, i, b in spans)
         r = got[k]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == i for s in base) for i in range(3)), t
@@ -90,6 +93,26 @@ def test_secret_scan_against_brute_force(spark):
     assert sum(r["n_random"] for r in got.values()) >= 2
 
 
+def test_word_like_tokens_are_not_reported(spark):
+    r = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "release notes under licence server address module component settings message interface internal".split()
+    like = ["".join(r.choice(words).title() for _ in range(r.randint(3, 6))) + str(r.randint(1, 99)) for _ in range(300)]
+    secret = ["".join(r.choice(letters) for _ in range(48)) for _ in range(100)]
+    glued = ["AUTH=" + secret[0], "?sig=" + secret[1], "".join(r.choice(letters[:26] + letters[-10:]) for _ in range(64)), "/path_x/" + secret[2] + "+" + secret[3]]
+    got = {x["doc_id"]: x["n_random"] for x in secrets.secret_scan(cases.frame(spark, rows_of(like + secret + glued))).collect()}
+    false, found = sum(got[k] for k in range(300)), sum(got[k] for k in range(300, 400))
+    assert found >= 95 and false <= 0.1 * found
+    assert [got[k] for k in range(400, 404)] == [1, 1, 1, 1]
+
+
+def test_places_of_very_many_matches(spark):
+    text = "é" + "".join(f"{'0123456789abcdef' * 2} {'x' * (k % 5)}|" for k in range(1500))
+    got = secrets.secret_scan(cases.frame(spark, rows_of([text]))).first()
+    base = brute_spans(text)
+    assert got["n_hex"] == 1500 and got["base_sha256"] == hashlib.sha256(",".join(f"hex:{a}:{b}" for a, _, b in base).encode()).hexdigest()
+
+
 def test_false_discovery_limit():
     assert secrets.bh_limit({0: 50, 100: 50}, 0.01) == 100
     assert secrets.bh_limit({0: 50, 5: 50}, 0.01) == 301
