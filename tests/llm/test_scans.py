@@ -134,6 +134,29 @@ def test_license_scan(spark):
     assert licenses.license_scan(cases.frame(spark, [])).count() == 0
 
 
+def test_licenses_inside_longer_text(spark):
+    mit = licenses.TEMPLATES[7][1]
+    inline = "Foo 1.2 is a small tool for x. Released under the MIT License. See the site for more."
+    texts = [inline, "int a;\n" + mit.replace("limitation", "limitation\n *") + "\nint b;", "see below: licensed\nunder the mozilla public\nlicense, version 2.0. bye", "the mit license plate " * 3, "Released under the MIT License. " * 1000, "\n\n\n"]
+    got = {r["doc_id"]: r for r in licenses.license_scan(cases.frame(spark, rows_of(texts))).collect()}
+    assert [got[k]["license"] for k in range(6)] == ["MIT", "MIT", "MPL-2.0", None, "MIT", None]
+    assert got[0]["dice"] == 1.0 and got[2]["dice"] == 1.0
+
+
+def test_license_scan_against_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(4)
+    pieces = [t for _, t in licenses.TEMPLATES] + ["Released under", "the mit", "mit license", "\n", "\n\n", " \n\n\n ", "prose of no use", "é", "by 4", "a"]
+    texts = [None, "", "\n", *["".join(r.choice(pieces) + r.choice([" ", "\n", ". ", "\n\n"]) for _ in range(r.randint(1, 8))) for _ in range(150)]]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    want = duckdb.sql(licenses.license_sql()).df()
+    got = licenses.license_scan(cases.frame(spark, rows_of(texts))).toPandas()
+    key = lambda d: sorted((int(x.doc_id), None if pd.isna(x.license) else x.license, None if pd.isna(x.dice) else round(x.dice, 12), x.licenses, int(x.n_matches)) for x in d.itertuples())
+    assert key(got) == key(want)
+
+
 @pytest.mark.parametrize("m", [2, 5, 30, 100])
 def test_size_bounds_lose_no_match(m):
     low, high = licenses.bounds(m, 0.85)
