@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can see.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and remembered in the session.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and Spark
+    runs in one process (tests) a temporary folder is made and remembered in the
+    session. On a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tabulant.shared.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.tabulant.shared.dir", found)
     return found.rstrip("/")
