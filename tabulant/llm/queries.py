@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulant.llm.best_fit import best_fit_pack
+from tabulant.llm.centroids import cluster_report
 from tabulant.llm.common import table
+from tabulant.llm.conversation_repair import damaged, repair_report
 from tabulant.llm.exact_dedup import exact_dedup
 from tabulant.llm.jaccard_join import jaccard_components
 from tabulant.llm.licenses import license_scan, license_sql
@@ -58,6 +61,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_schedule(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1, dims=64, scale=64.0)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), gone_col="gone")
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_warc": op2_warc,
@@ -69,6 +84,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _OP2_SQL = r"""
@@ -124,10 +142,37 @@ FROM p LEFT JOIN l ON l.target = host || path LEFT JOIN b ON b.target = host ||
 """
 
 
+def _op11_sql(k: int = 16, rounds: int = 3, seed: int = 1, dims: int = 64) -> str:
+    distance = "list_sum(list_transform(list_zip(r.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"""r AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS n, v FROM (SELECT sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM r ORDER BY h, v LIMIT {k}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(n, d::HUGEINT * {k} + n) AS n, min(d) AS d
+  FROM (SELECT r.id, r.vec_id, r.v, c.n, {distance} AS d FROM r CROSS JOIN c{i} c) GROUP BY id)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  WITH s AS (SELECT n, place, sum(x) AS total, count(*)::HUGEINT AS m FROM (SELECT n, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY n, place)
+  SELECT n, list(((total - ((total % m) + m) % m) // m)::BIGINT ORDER BY place) AS v FROM s GROUP BY n
+  UNION ALL SELECT n, v FROM c{i} WHERE n NOT IN (SELECT n FROM s))""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, a.n::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.n = a.n
+"""
+
+
 ORACLE_SQL = {
     "op1_license_scans": license_sql(),
     "op2_warc": _OP2_SQL,
     "op3_exact_dedup": _OP3_SQL,
     "op8_ngram_jaccard_join": _OP8_SQL,
     "op9_url_filters": _op9_sql(),
+    "op11_centroid_clustering": _op11_sql(),
 }
