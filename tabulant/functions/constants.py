@@ -48,6 +48,12 @@ ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
 # Default reference data.
 TAX_SOURCES = ("0001.湖南", "0002.海南", "0003.河南", "0004.安徽", "0005.信宜", "0006.湖北", "0007.天津")
+PLATFORMS = (
+    "278.甲乙科技", "283.丙丁工场", "288.戊己客（灵活用工）6.2%", "290.庚辛云", "294.湖南清源", "295.岳西众才", "298.戊己客（企和推荐）7.1%", "349.河南雅文", "356.国联信宜",
+    "367.安徽优文莱（培训业务）", "375.湖南合用工", "376.戊己客（冠华系列）6.42%+50", "378.安徽薪账通", "379.咸宁合用工6.1%", "397.戊己客平台（自营业务）7.5%", "409.天津税地（身边云）5.6%",
+    "451.戊己客（7.9%）", "453.戊己客（7.1%）", "454.戊己客（8.1%）", "455.戊己客（8.7%）", "456.戊己客（9.6%）", "461.戊己客（7.7%）", "462.戊己客（7.5%）", "468.潮涌（8.2%）",
+    "481.星薪平台（6.1%）", "484.江西合用工（6.1%）", "485.小规模纳税企业结算（6.67%）", "486.河南茂丰源（5.4%）",
+)
 SIGN_ENTITIES = (
     ("佛山云杉", ("佛山", "甲乙")), ("广州南沙云杉", ("南沙",)), ("广州国联", ("国联",)),
     ("广州云杉", ("广州", "丙丁")), ("深圳云杉", ("深圳", "梓合")), ("东莞云杉", ("东莞", "梓才")),

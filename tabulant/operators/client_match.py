@@ -57,31 +57,39 @@ def _shown(hits: Column) -> Column:
     return F.transform(hits, lambda h: F.struct(h["id"].alias("id"), h["label"].alias("label"), h["match_type"].alias("match_type"))).cast(_LIST)
 
 
+def _rows_with_hits(batches: DataFrame, clients: DataFrame, tax_hit: Column) -> DataFrame:
+    """The batches' columns in one struct ``_b``, so that none can clash, with ``_name``, ``_tax_hit`` and ``hits``."""
+    own = _resolved(clients)
+    rows = batches.select(F.struct(*batches.columns).alias("_b"), js_trim("tax_id").alias("_by_tax"), F.col("client_name").alias("_name"))
+    rows = lookup_tax_id(rows, "_by_tax", own.select("pos", "tax_id", tax_hit.alias("_tax_hit"))).drop("pos")
+    return rows.join(_named(batches, own).withColumnRenamed("client_name", "_name"), "_name", "left")
+
+
 def best_client(batches: DataFrame, clients: DataFrame) -> DataFrame:
     """Adds ``client_id``, ``matched_by`` (id, tax, name or null) and ``candidates``.
 
     A batch has ``mapped_id, client_name, tax_id``, null or empty where it says
     nothing. A known id wins, then the tax id, then a name that only one client
-    fits; several such clients are candidates and none is chosen.
+    fits; several such clients are candidates and none is chosen. Columns of
+    these three names in the input are replaced, others stay as they are.
     """
-    known = clients.select(js_trim("id").alias("_id")).distinct()
-    own = _resolved(clients)
-    rows = batches.withColumn("_id", js_trim("mapped_id")).join(known.withColumn("_known", F.lit(True)), "_id", "left")
-    tax = own.select("pos", "tax_id", F.col("client_id").alias("_tax_client"))
-    rows = lookup_tax_id(rows, "tax_id", tax).drop("pos").join(_named(batches, own), "client_name", "left")
-    by = F.when(F.col("_known"), "id").when(F.col("_tax_client").isNotNull(), "tax").when(F.size("hits") == 1, "name")
-    rows = rows.withColumn("matched_by", by)
-    chosen = F.when(by == "id", F.col("_id")).when(by == "tax", F.col("_tax_client")).when(by == "name", F.get("hits", F.lit(0))["client_id"])
+    known = clients.select(js_trim("id").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    rows = _rows_with_hits(batches, clients, F.col("client_id")).withColumn("_id", js_trim("_b.mapped_id")).join(known, "_id", "left")
+    by = F.when(F.col("_known"), "id").when(F.col("_tax_hit").isNotNull(), "tax").when(F.size("hits") == 1, "name")
+    chosen = F.when(by == "id", F.col("_id")).when(by == "tax", F.col("_tax_hit")).when(by == "name", F.get("hits", F.lit(0))["client_id"])
     several = F.when(by.isNull() & (F.size("hits") > 1), _shown(F.col("hits"))).otherwise(F.array().cast(_LIST))
-    return rows.select(*batches.columns, chosen.alias("client_id"), "matched_by", several.alias("candidates"))
+    return rows.select(*_kept(batches, "client_id", "matched_by", "candidates"), chosen.alias("client_id"), by.alias("matched_by"), several.alias("candidates"))
 
 
 def client_candidates(batches: DataFrame, clients: DataFrame) -> DataFrame:
     """Adds ``candidates`` for a choice by hand: the client of the tax id alone, else all that the name fits."""
-    own = _resolved(clients)
-    tax = own.select("pos", "tax_id", F.array(F.struct(F.col("client_id").alias("id"), _label("client_id").alias("label"), F.lit(C.TAX_MATCH).alias("match_type"))).cast(_LIST).alias("_tax_hit"))
-    rows = lookup_tax_id(batches, "tax_id", tax).drop("pos").join(_named(batches, own), "client_name", "left")
-    return rows.select(*batches.columns, F.coalesce("_tax_hit", _shown(F.col("hits")), F.array().cast(_LIST)).alias("candidates"))
+    hit = F.array(F.struct(F.col("client_id").alias("id"), _label("client_id").alias("label"), F.lit(C.TAX_MATCH).alias("match_type"))).cast(_LIST)
+    rows = _rows_with_hits(batches, clients, hit)
+    return rows.select(*_kept(batches, "candidates"), F.coalesce("_tax_hit", _shown(F.col("hits")), F.array().cast(_LIST)).alias("candidates"))
+
+
+def _kept(batches: DataFrame, *replaced: str) -> list[Column]:
+    return [F.col(f"_b.`{c}`").alias(c) for c in batches.columns if c not in replaced]
 
 
 def task_content(tasks: Column, name: Column) -> Column:

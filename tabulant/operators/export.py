@@ -41,11 +41,12 @@ def clean_name_column(rows: DataFrame, types: dict[str, int]) -> DataFrame:
     return rows.withColumn("_renamed", F.coalesce(named != own, F.lit(False))).withColumn("cells", F.transform("cells", lambda v, i: F.when((i == col) & F.col("_renamed"), named).otherwise(v)))
 
 
-def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all: bool = False) -> DataFrame:
+def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
     """Typed columns under the template's headers, cleaned; other headers empty.
 
     Adds ``_cleaned``, the number of cells that cleaning shortened. Rows without
-    name, id and card go unless ``keep_all`` (G2).
+    name, id and card go unless ``keep_all`` (G2). ``also`` adds columns of the
+    rows as they came.
     """
     at = lambda kind: F.coalesce(F.get("cells", F.lit(types[kind])), F.lit("")) if types.get(kind) is not None else F.lit("")
     values = {header: cleaned(at(kind), kind) for kind, header in template.fields}
@@ -54,7 +55,7 @@ def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all
         own = values[by_type["gender"]]
         values[by_type["gender"]] = F.when(own == "", gender_of_id(cleaned(at("idCard"), "idCard"))).otherwise(own)
     shorter = sum((F.when(F.length(cleaned(at(k), k)) < F.length(js_trim(at(k))), 1).otherwise(0) for k, _ in template.fields), F.lit(0))
-    out = rows.select("source_id", "row_idx", *[values.get(h, F.lit("")).alias(h) for h in template.headers], shorter.alias("_cleaned"), *[cleaned(at(k), k).alias(f"_{k}") for k in ("name", "idCard", "bankCard")])
+    out = rows.select("source_id", "row_idx", *[values.get(h, F.lit("")).alias(h) for h in template.headers], shorter.alias("_cleaned"), *[cleaned(at(k), k).alias(f"_{k}") for k in ("name", "idCard", "bankCard")], *[v.alias(c) for c, v in (also or {}).items()])
     if not keep_all:
         out = out.where("_name <> '' or _idCard <> '' or _bankCard <> ''")
     return out.drop("_name", "_idCard", "_bankCard")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tabulant.functions import constants as C
 from tabulant.functions.scalars import js_trim, task_parts
+from tabulant.operators.name_index import containment_pairs
+from tabulant.operators.numbering import running_before
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -19,32 +21,37 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def lookup_id(rows: DataFrame, key: str, clients: DataFrame) -> DataFrame:
-    """Left join by trimmed id."""
-    return rows.withColumn("_id", js_trim(key)).join(clients.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    """Left join by trimmed id; a client's column that the rows have too is left to the rows."""
+    new = [c for c in clients.columns if c != "id" and c not in rows.columns]
+    return rows.withColumn("_id", js_trim(key)).join(clients.select(F.col("id").alias("_id"), *new), "_id", "left").drop("_id")
 
 
 def lookup_tax_id(rows: DataFrame, key: str, clients: DataFrame) -> DataFrame:
-    """Left join by tax id, case aside; the first client of a tax id."""
+    """Left join by tax id, case aside; the first client of a tax id. Columns clash as in ``lookup_id``."""
     own = first_by(clients.withColumn("_tax", F.upper(js_trim("tax_id"))).where("_tax <> ''"), ["_tax"], [F.col("pos")])
-    return rows.withColumn("_tax", F.upper(js_trim(key))).join(own.drop("tax_id"), "_tax", "left").drop("_tax")
-
-
-def _name_rank(q: Column, full: Column, short: Column, phases: int) -> Column:
-    forward = F.contains(full, q) | F.contains(short, q)
-    backward = ((full != "") & F.contains(q, full)) | ((short != "") & F.contains(q, short))
-    ranked = F.when(full == q, 1).when(short == q, 2)
-    return ranked.when(forward | backward, 3) if phases == 3 else ranked.when(forward, 3).when(backward, 4)
+    new = [c for c in clients.columns if c != "tax_id" and c not in rows.columns]
+    return rows.withColumn("_tax", F.upper(js_trim(key))).join(own.select("_tax", *new), "_tax", "left").drop("_tax")
 
 
 def lookup_name_all(queries: DataFrame, key: str, clients: DataFrame, phases: int = 3) -> DataFrame:
     """Every client whose name contains the query or is contained in it, with match_rank.
 
-    A stated set of queries against the client table: a nested-loop join, since
-    containment has no key. Exact names are ranked first.
+    Exact names are ranked first: full name 1, short name 2, containment 3, or 3
+    and 4 by direction with four phases. Containment is found by way of an index
+    of grams over the distinct names and queries (``name_index``), not pair by
+    pair. ``pos`` tells clients apart. Empty names and queries match nothing.
     """
-    q, full, short = js_trim(key), js_trim("full_name"), js_trim("short_name")
-    rank = _name_rank(q, full, short, phases)
-    return queries.join(clients, (q != "") & rank.isNotNull()).withColumn("match_rank", rank)
+    rows = queries.withColumn("_name_query", js_trim(key))
+    asked = rows.select(F.col("_name_query").alias("q")).where("q <> ''").distinct()
+    fields = F.explode(F.array(F.struct(F.lit(1).alias("exact"), js_trim("full_name").alias("name")), F.struct(F.lit(2).alias("exact"), js_trim("short_name").alias("name"))))
+    named = clients.select(F.col("pos").alias("_name_pos"), fields.alias("f")).select("_name_pos", "f.*").where("name <> ''")
+    names = named.select("name").distinct()
+    within = containment_pairs(asked.toDF("needle"), names.toDF("hay")).select(F.col("needle").alias("q"), F.col("hay").alias("name"), F.lit(3).alias("part"))
+    around = containment_pairs(names.toDF("needle"), asked.toDF("hay")).select(F.col("hay").alias("q"), F.col("needle").alias("name"), F.lit(phases).alias("part"))
+    rank = F.when(F.col("q") == F.col("name"), F.col("exact")).otherwise(F.col("part"))
+    hits = within.unionByName(around).join(named, "name").groupBy(F.col("q").alias("_name_query"), "_name_pos").agg(F.min(rank).alias("match_rank"))
+    found = rows.join(hits, "_name_query").join(clients.withColumn("_name_pos", F.col("pos")), "_name_pos")
+    return found.drop("_name_query", "_name_pos")
 
 
 def lookup_name_first(queries: DataFrame, key: str, clients: DataFrame) -> DataFrame:
@@ -56,6 +63,8 @@ def mapped_platform(entity: Column, mapping: tuple[tuple[str, tuple[str, ...]],
     """J5 for one mapping: keys by length, longest first; of a key's keywords the first that a platform contains."""
     out: list[Column] = []
     for key, words in sorted(mapping, key=lambda kv: -len(kv[0])):
+        if not words:
+            continue
         out.append(F.when(F.contains(entity, F.lit(key)), F.coalesce(*[_first_containing(platforms, w) for w in words])))
     return F.coalesce(*out) if out else F.lit(None).cast("string")
 
@@ -80,10 +89,10 @@ def platform_tax(platform: Column, own: tuple = (), defaults: tuple = C.PLATFORM
     return F.coalesce(ladder, F.lit("")) if ladder is not None else F.lit("")
 
 
-def paired_tax(platform: Column, platforms: Column, taxes: Column) -> Column:
+def paired_tax(platform: Column, platforms: Column, taxes: Column, own: tuple = ()) -> Column:
     """Position in the uploaded lists first, else by keyword."""
     paired = F.nullif(F.get(taxes, (F.array_position(platforms, platform) - 1).cast("int")), F.lit(""))
-    return F.coalesce(F.when(F.array_contains(platforms, platform), paired), platform_tax(platform))
+    return F.coalesce(F.when(F.array_contains(platforms, platform), paired), platform_tax(platform, own))
 
 
 def config_list(uploaded: Column, default: tuple[str, ...]) -> Column:
@@ -136,10 +145,8 @@ def zip_lists(a: Column, b: Column) -> Column:
 
 def numbered_tasks(clients: DataFrame) -> DataFrame:
     """Every task with a running number over all clients. Counts per client are summed, tasks numbered within."""
-    sizes = clients.select("id", "pos", F.greatest(F.size("tasks"), F.lit(0)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one light row per client
-    starts = sizes.select("id", before.alias("_first"))
-    return clients.select("id", F.posexplode("tasks").alias("_i", "_t")).join(starts, "id").select("id", (F.col("_first") + F.col("_i") + 1).alias("seq"), F.col("_t.name").alias("name"), F.col("_t.content").alias("content"))
+    starts = running_before(clients, ["pos"], F.greatest(F.size("tasks"), F.lit(0)), "_first")
+    return starts.select("id", "_first", F.posexplode("tasks").alias("_i", "_t")).select("id", (F.col("_first") + F.col("_i") + 1).alias("seq"), F.col("_t.name").alias("name"), F.col("_t.content").alias("content"))
 
 
 def client_tasks(entries: DataFrame, entry_col: str) -> DataFrame:

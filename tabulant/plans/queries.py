@@ -16,7 +16,9 @@ from tabulant.functions import scalars as S
 from tabulant.operators import client_match as M
 from tabulant.operators import detect as D
 from tabulant.operators import direct as T
+from tabulant.operators import enrichment as E
 from tabulant.operators import export as X
+from tabulant.operators import numbering as N
 from tabulant.operators import people as P
 from tabulant.operators import reference_data as R
 from tabulant.operators import reference_io as I
@@ -398,10 +400,88 @@ def fill_if_empty(spark, d):
     return j.select("o_orderkey", R.fill_if_empty(F.col("cur"), F.col("c_mktsegment")).alias("filled"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _payout_clients(spark, d):
+    """Nations as clients: entities that lead to platforms by mapping, by mapping past a keyword, by likeness, or not at all; up to two tasks."""
+    k = F.col("n_nationkey")
+    entity = F.get(F.array(*map(F.lit, ("佛山云杉人力资源有限公司", "广州国联服务", "咸宁合用工公司", "深圳云杉", None))), (k % 5).cast("int"))
+    task = lambda n, c: F.struct(F.lit(n).alias("name"), F.lit(c).alias("content"))
+    tasks = F.when(k % 3 == 0, F.array(task("保洁服务", "打扫"), task("其他", ""))).when(k % 3 == 1, F.array(task("植保", None))).otherwise(F.array().cast("array<struct<name:string,content:string>>"))
+    return _t(spark, d, "nation").select(k.cast("string").alias("id"), k.alias("pos"), F.col("n_name").alias("full_name"), F.lit("").alias("short_name"), F.lit("").alias("tax_id"), entity.alias("sign_entity"), tasks.alias("tasks"))
+
+
+def _payout_tasks(spark, d):
+    k = F.col("n_nationkey")
+    return _t(spark, d, "nation").where(k % 6 == 5).select(k.alias("pos"), F.concat(F.lit("9"), k, F.lit(".直播("), k, F.lit(")")).alias("entry"))
+
+
+def _payout_rows(spark, d):
+    k, empty = F.col("c_custkey"), F.lit("")
+    key = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(" "), "c_nationkey", F.lit("　"))).when(k % 4 == 2, "999").otherwise(_text("c_nationkey"))
+    return _t(spark, d, "customer").select(
+        "c_custkey", key.alias(E.CLIENT), F.when(k % 5 == 0, "409.天津税地（身边云）5.6%").otherwise("").alias(E.PLATFORM),
+        F.when(k % 7 == 0, "T").otherwise("").alias(E.TAX), F.when(k % 11 == 0, "1.x(1)").otherwise("").alias(E.TASK), empty.alias(E.WORK), F.when(k % 13 == 0, "开车").otherwise("").alias("note"),
+    )
+
+
+_CLIENTS_SQL = """c AS (SELECT n_nationkey AS pos, CAST(n_nationkey AS VARCHAR) AS id, ['278.甲乙科技', '356.国联信宜', '379.咸宁合用工6.1%', '', ''][n_nationkey % 5 + 1] AS platform, ['0001.湖南', '0005.信宜', '0006.湖北', '', ''][n_nationkey % 5 + 1] AS tax, [2, 1, 0][n_nationkey % 3 + 1] AS n FROM nation),
+s AS (SELECT *, coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS seq FROM c),
+l AS (SELECT id, platform, tax, CASE WHEN pos % 6 = 5 THEN '9' || pos || '.直播(' || pos || ')' WHEN pos % 3 = 0 THEN seq || '.保洁服务(' || id || ')' WHEN pos % 3 = 1 THEN seq || '.植保(' || id || ')' END AS task,
+      CASE WHEN pos % 6 = 5 THEN '摄影' WHEN pos % 3 = 0 THEN '保洁' WHEN pos % 3 = 1 THEN '植保' END AS work FROM s),
+r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN CAST(c_nationkey AS VARCHAR) WHEN 3 THEN CAST(c_nationkey AS VARCHAR) WHEN 2 THEN '999' ELSE '' END AS id, CASE WHEN c_custkey % 5 = 0 THEN '409.天津税地（身边云）5.6%' ELSE '' END AS p,
+      CASE WHEN c_custkey % 7 = 0 THEN 'T' ELSE '' END AS t, CASE WHEN c_custkey % 11 = 0 THEN '1.x(1)' ELSE '' END AS k, c_custkey % 13 = 0 AS drives FROM customer)"""
+
+
+@query(
+    f"""WITH {_CLIENTS_SQL}
+SELECT c_custkey, CASE WHEN p <> '' OR l.id IS NULL THEN p ELSE platform END AS platform, CASE WHEN t <> '' OR l.id IS NULL THEN t WHEN p <> '' THEN '0007.天津' ELSE tax END AS tax_source,
+CASE WHEN k <> '' OR l.id IS NULL THEN k ELSE coalesce(task, '') END AS task, CASE WHEN l.id IS NULL OR work IS NULL THEN '' WHEN drives AND work <> '保洁' THEN '司机' ELSE work END AS work_type, l.id IS NULL AS unmatched
+FROM r LEFT JOIN l USING (id)"""
+)
+def enrich_rows(spark, d):
+    """Platform, tax source of the row's platform, first task and work type, where empty; unmatched rows."""
+    lookup = E.client_lookup(_payout_clients(spark, d), E.Config(), _payout_tasks(spark, d))
+    rows = E.enrich_rows(_payout_rows(spark, d), lookup, text=E.RowText(("note",)))
+    return rows.select("c_custkey", F.col(E.PLATFORM).alias("platform"), F.col(E.TAX).alias("tax_source"), F.col(E.TASK).alias("task"), F.col(E.WORK).alias("work_type"), "unmatched")
+
+
+@query("WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer) SELECT row_no, c_custkey FROM r LEFT JOIN nation ON n_nationkey = c_nationkey AND c_custkey % 4 IN (1, 3) WHERE n_nationkey IS NULL")
 def unmatched(spark, d):
-    """Left anti join."""
-    return _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """The numbers of rows whose client is empty or unknown, out of the same plan."""
+    rows = N.numbered(_payout_rows(spark, d), ["c_custkey"])
+    return E.enrich_rows(rows, E.client_lookup(_payout_clients(spark, d))).where("unmatched").select("row_no", "c_custkey")
+
+
+@query(
+    f"""WITH {_CLIENTS_SQL}, t AS (SELECT pos, id, seq, pos % 6 = 5 AS listed FROM s)
+SELECT id, 0 AS n, CAST('9' || pos AS BIGINT) AS seq, '直播' AS name, '' AS content FROM t WHERE listed
+UNION ALL SELECT id, 0, seq, CASE WHEN pos % 3 = 0 THEN '保洁服务' ELSE '植保' END, CASE WHEN pos % 3 = 0 THEN '打扫' ELSE '' END FROM t WHERE NOT listed AND pos % 3 <> 2
+UNION ALL SELECT id, 1, seq + 1, '其他', '' FROM t WHERE NOT listed AND pos % 3 = 0"""
+)
+def tasks_of_clients(spark, d):
+    """Entries of the task list first, else a client's own tasks with running numbers."""
+    tasks = E.tasks_of_clients(_payout_clients(spark, d), _payout_tasks(spark, d))
+    return tasks.select("id", F.row_number().over(Window.partitionBy("id").orderBy("n")).alias("n"), "seq", "name", "content").withColumn("n", F.col("n") - 1)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '349.河南雅文' WHEN c_custkey % 5 = 0 THEN '409.天津税地（身边云）5.6%' ELSE '' END AS platform, CASE WHEN c_custkey % 3 = 0 THEN '0003.河南' WHEN c_custkey % 7 = 0 THEN 'T' ELSE '' END AS tax_source FROM customer")
+def set_platform(spark, d):
+    """A platform chosen for rows; the tax source follows."""
+    rows = E.set_platform(_payout_rows(spark, d), "349.河南雅文", F.col("c_custkey") % 3 == 0)
+    return rows.select("c_custkey", F.col(E.PLATFORM).alias("platform"), F.col(E.TAX).alias("tax_source"))
+
+
+@query(
+    f"""WITH {_CLIENTS_SQL}, e AS (SELECT c_custkey, k, drives, c_custkey % 2 = 0 AS chosen, c_custkey % 3 = 0 AS known, (SELECT task FROM l WHERE id = '3') AS own FROM r)
+SELECT c_custkey, CASE WHEN NOT chosen THEN k WHEN known THEN own ELSE '5.提供绿化养护工作(8)' END AS task,
+CASE WHEN NOT chosen THEN '' WHEN drives AND NOT known THEN '司机' WHEN known THEN '保洁' ELSE '绿化养护' END AS work_type FROM e"""
+)
+def set_task(spark, d):
+    """A task chosen for rows, and the work type that follows from its content, the note and its name."""
+    tasks = E.tasks_of_clients(_payout_clients(spark, d), _payout_tasks(spark, d))
+    own = tasks.where("id = '3'").groupBy().agg(F.min_by("full", "n").alias("own"))  # one row
+    value = F.when(F.col("c_custkey") % 3 == 0, F.col("own")).otherwise("5.提供绿化养护工作(8)")
+    rows = E.set_task(_payout_rows(spark, d).crossJoin(F.broadcast(own)), value, F.col("c_custkey") % 2 == 0, tasks, E.RowText(("note",)))
+    return rows.select("c_custkey", F.col(E.TASK).alias("task"), F.col(E.WORK).alias("work_type"))
 
 
 @query("SELECT count(DISTINCT o_custkey) AS known FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
