@@ -35,7 +35,9 @@ SIZE = 2048
 END_ID = 0
 BATCH_BYTES = 8_000_000
 #: Bytes of distinct segments that a worker remembers.
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 64_000_000
+#: What a remembered segment takes besides its text, about.
+ENTRY_BYTES = 200
 _MARK = "\x1f"
 #: White space next to white space: which characters go together then depends on more than one word.
 _RUNS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}|\x1F"
@@ -54,14 +56,27 @@ class SegmentIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
         self._known: dict[str, int] = {}
         self._bytes = 0
         self._ids = np.array([END_ID], dtype=np.uint32)  # entry 0 is the end of a document
         self._first = np.array([0], dtype=np.int64)
         self._count = np.array([1], dtype=np.int64)
+        self._uses = np.array([0], dtype=np.int64)  # batches that had the segment
+
+    def _trim(self) -> None:
+        """Forgets the segments that fewest batches had, until half of the room is free."""
+        order = np.argsort(-self._uses[1:], kind="stable") + 1
+        names = np.empty(len(self._first), dtype=object)
+        for s, i in self._known.items():
+            names[i] = s
+        sizes = np.array([len(names[i]) + ENTRY_BYTES for i in order])
+        kept = np.concatenate([[0], order[: int(np.searchsorted(np.cumsum(sizes), CACHE_BYTES // 2))]])
+        counts = self._count[kept]
+        ends = np.cumsum(counts)
+        self._ids = self._ids[np.repeat(self._first[kept] - (ends - counts), counts) + np.arange(int(ends[-1]))]
+        self._first, self._count, self._uses = ends - counts, counts, self._uses[kept] // 2
+        self._known = {names[i]: k for k, i in enumerate(kept.tolist()) if k}
+        self._bytes = sum(len(s) + ENTRY_BYTES for s in self._known)
 
     def _learn(self, segments: list[str]) -> None:
         new = [s for s in segments if s not in self._known]
@@ -73,7 +88,8 @@ class SegmentIds:
             self._first = np.concatenate([self._first, len(self._ids) + np.cumsum(counts) - counts])
             self._count = np.concatenate([self._count, counts])
             self._ids = np.concatenate([self._ids, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum()))])
-            self._bytes += sum(map(len, new)) + 200 * len(new)
+            self._uses = np.concatenate([self._uses, np.zeros(len(new), dtype=np.int64)])
+            self._bytes += sum(map(len, new)) + ENTRY_BYTES * len(new)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids, closed by END_ID; a null text is empty."""
@@ -92,7 +108,7 @@ class SegmentIds:
 
     def _by_segments(self, texts: pa.Array) -> list[np.ndarray]:
         if self._bytes > CACHE_BYTES:
-            self._clear()
+            self._trim()
         cut = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}")
         split = pc.split_pattern(pc.replace_substring_regex(cut, r"([A-Za-z])([.,])", rf"\1{_MARK}\2"), _MARK)
         flat, offsets = split.flatten(), split.offsets.to_numpy()
@@ -100,6 +116,7 @@ class SegmentIds:
         segments = coded.dictionary.to_pylist()
         self._learn(segments)
         entry = np.fromiter((self._known[s] for s in segments), dtype=np.int64, count=len(segments))
+        self._uses[entry] += 1
         codes = coded.indices.to_numpy(zero_copy_only=False)
         offsets = offsets - offsets[0]
         entries = np.insert(entry[codes] if len(codes) else np.empty(0, dtype=np.int64), offsets[1:], 0)

@@ -36,6 +36,15 @@ def test_segments_give_the_tokenizers_ids():
         assert ids.tolist() == plain_ids(t), repr(t)
 
 
+def test_a_small_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(best_fit, "CACHE_BYTES", 5_000)
+    encode, r = best_fit.SegmentIds(PATH), random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(r.choice(("the", "of.", f"w{r.randrange(300)},")) for _ in range(20)) for _ in range(5)]
+        assert [ids.tolist() for ids in encode(pa.array(texts))] == [plain_ids(t) for t in texts]
+        assert len(encode._known) < 200 and "the" in encode._known or " the" in encode._known
+
+
 def brute_sequences(lengths, size):
     """Best fit in descending order, one piece at a time: the rooms left."""
     rooms = []
