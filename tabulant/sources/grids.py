@@ -2,7 +2,7 @@
 
 Files are read by Spark (``binaryFile`` or tables), one file per row, and turned
 into rows by small stdlib parsers inside ``mapInArrow``: what Spark has no reader
-for. Bad files become rows of an error table, not a failed job.
+for. ``csv_splits`` reads CSV of any size, ``uploads`` folders with bad files in them.
 """
 
 from __future__ import annotations
@@ -77,12 +77,6 @@ def _files_to_grids(parse):
     return run
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Exact CSV or TSV grids, one source per file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_files_to_grids(lambda data: [(None, parse_csv(decode(data), delimiter))]), GRID)
-
-
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
