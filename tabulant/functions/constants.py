@@ -96,3 +96,21 @@ TEMPLATE_FIELDS = {
 }
 # What a cell of a number may hold, misread characters included.
 DIGIT_CELL = r"^[0-9\s.,，。&＆OoLlI｜日．]+\z"
+# Display names of the templates in file names, and their sheets.
+TEMPLATE_NAMES = {"yidao": "移步到岗", "shenbianyun": "身边云", "youyi": "本公司", "custom": "自定义"}
+SHEET_NAMES = {"yidao": "智能模板", "shenbianyun": "Sheet1", "youyi": "费用明细", "custom": "数据"}
+CONFIG_SHEET, TASK_SHEET, CLIENT_SHEET, ENTITY_SHEET, PLATFORM_SHEET = "配置表", "任务清单", "知识库", "签约主体映射", "平台税源地映射"
+BATCH_TEMPLATES = ("yidao", "shenbianyun")
+# The batch payment sheet's first rows, number formats and column widths.
+PAYMENT_NOTE = """单批次最大支持12000条订单。
+商户订单号纯数字并且唯一，禁止重复。
+多任务模式时任务ID必填（单次最多50个任务），单任务模式时不可填任务ID。
+收款账号需要与所选收款方式对应匹配，银行卡方式对应个人银行卡号、支付宝方式对应支付宝号、微信方式对应OpenID。
+付款金额保留两位小数，四舍五入。
+备注字段最大限制20字，银行备注展示限制具体以银行为准。
+付款文件名称或备注存在以下字段会导致文件上传失败：工资、薪酬、提现、薪、补贴、分红、奖金、返现、劳务费、分润、备用金、¥、$
+银行卡号建议使用一类户，如使用二类户日限额导致交易退汇，需T+8个工作日退回"""
+PAYMENT_BATCH_LABEL = "商户批次号（非必填）"
+PAYMENT_AMOUNT = "付款金额（元，必填）"
+PLAIN_FORMAT, CURRENCY_FORMAT = "#,##0.00", "¥#,##0.00"
+PAYMENT_WIDTHS = (22.6333333333333, 20.6333333333333, 22.6333333333333, 20.5, 27.5, 22.6333333333333, 16, 16, 22.6333333333333)

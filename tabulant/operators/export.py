@@ -6,7 +6,6 @@ import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from tabulant.functions import constants as C
 from tabulant.functions.scalars import clean_name, clean_value, file_name_part, gender_of_id, js_trim, sanitize_amount
 from tabulant.operators.validation import bank_place
+from tabulant.sources.workbook_sink import Book
 
 
 @dataclass(frozen=True)
@@ -160,33 +160,14 @@ def column_widths(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def xlsx_bytes(sheets: list[tuple[str, list[list]]]) -> bytes:
-    """K2-K5, K8: a workbook of inline strings and numbers."""
-
-    def letters(i: int) -> str:
-        out = ""
-        i += 1
-        while i:
-            i, r = divmod(i - 1, 26)
-            out = chr(65 + r) + out
-        return out
-
-    def cell(r: int, c: int, v) -> str:
-        ref = f"{letters(c)}{r}"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f'<c r="{ref}"><v>{v}</v></c>'
-        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str("" if v is None else v))}</t></is></c>'
-
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    """K2, K5, K8: one small workbook of texts and numbers; ``workbooks`` writes those of any size."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="s{i}"/>' for i, (n, _) in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="s{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
-        for i, (_, rows) in enumerate(sheets, 1):
-            body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    book = Book(out, {})
+    for name, rows in sheets:
+        book.sheet(name)
+        for row in rows:
+            book.row(list(row))
+    book.close()
     return out.getvalue()
 
 

@@ -23,6 +23,7 @@ from tabulant.operators import people as P
 from tabulant.operators import reference_data as R
 from tabulant.operators import reference_io as I
 from tabulant.operators import validation as V
+from tabulant.operators import workbooks as B
 from tabulant.sources import grids as G
 
 QUERIES: dict = {}
@@ -716,6 +717,20 @@ def csv_lines(spark, d):
     return p.select("p_partkey", X.csv_line(["a", "b"]).alias("line"))
 
 
+@query(
+    """WITH r AS (SELECT c_mktsegment AS g, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS BIGINT) AS n, c_name, c_acctbal FROM customer),
+f AS (SELECT *, g || CASE WHEN n >= 40 THEN '_' || (n // 40 + 1) ELSE '' END || '.xlsx' AS file FROM r), p AS (SELECT DISTINCT file FROM f)
+SELECT file, 0 AS sheet_no, 'Sheet1' AS sheet, n % 40 + 4 AS row_no, c_name || '|' || c_acctbal::DECIMAL(18, 2)::VARCHAR AS line FROM f
+UNION ALL SELECT file, 0, 'Sheet1', k, CASE k WHEN 1 THEN '商户批次号（非必填）' WHEN 2 THEN 'B7' ELSE '收款人姓名（必填）|付款金额（元，必填）' END FROM p, (VALUES (1), (2), (3)) v(k)"""
+)
+def workbook_rows(spark, d):
+    """K3, K6, K7: the sheets of a payment workbook per group, in parts of bounded size (the note of the first row left out)."""
+    headers = ["收款人姓名（必填）", "付款金额（元，必填）"]
+    rows = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias(headers[0]), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias(headers[1]))
+    out = B.sheet_rows(rows, headers, B.template_book("shenbianyun", headers, "B7"), F.col("c_mktsegment"), ["c_custkey"], part_rows=40)
+    return out.where("row_no > 0").select("file", "sheet_no", "sheet", "row_no", F.array_join("cells", "|").alias("line"))
+
+
 @query("SELECT o_orderstatus AS source_id, 0 AS header_row, 0 AS filtered_count, count(*) AS data_rows, 'name,phone,,amount,note' AS types FROM orders GROUP BY o_orderstatus")
 def detect_sheet(spark, d):
     """Table detection and typing of three sheets, end to end."""
