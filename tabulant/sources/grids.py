@@ -182,30 +182,6 @@ def kind_of_file(path: Column) -> Column:
     return F.when(ext == "csv", "csv").when(ext.isin("xlsx", "xls"), "excel").when(ext == "pdf", "pdf").when(ext.isin("png", "jpg", "jpeg", "webp", "bmp"), "image")
 
 
-def items_to_grid(items: DataFrame) -> DataFrame:
-    """Positioned text (source_id, str, x, y, w, h) to a grid.
-
-    Rows are clusters along y (gap 0.75 of the upper-median height). Column
-    bands come from the dense rows (0.75 of the most cells of a row): their
-    cells' intervals, merged where they overlap; each cell goes to the band it
-    overlaps most. A source is a page, so windows by source stay small.
-    """
-    w = Window.partitionBy("source_id")
-    heights = items.groupBy("source_id").agg(F.element_at(F.array_sort(F.collect_list("h")), F.floor(F.count("h") / 2).cast("int") + 1).alias("_mh"))
-    placed = items.join(heights, "source_id")
-    down = w.orderBy(F.desc("y"), "x")
-    new = (F.lag("y").over(down) - F.col("y") > 0.75 * F.col("_mh")).cast("int")
-    rows = placed.withColumn("row_idx", F.sum(F.coalesce(new, F.lit(0))).over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    counts = rows.groupBy("source_id", "row_idx").agg(F.count(F.lit(1)).alias("_n"))
-    dense = counts.withColumn("_most", F.max("_n").over(w)).where(F.col("_n") >= 0.75 * F.col("_most")).select("source_id", "row_idx")
-    spans = rows.join(dense, ["source_id", "row_idx"]).select("source_id", F.col("x").alias("a"), (F.col("x") + F.col("w")).alias("b"))
-    right = w.orderBy("a", "b")
-    reach = F.max("b").over(right.rowsBetween(Window.unboundedPreceding, -1))
-    bands = spans.withColumn("_new", F.coalesce((F.col("a") >= reach).cast("int"), F.lit(0))).withColumn("col_idx", F.sum("_new").over(right.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    bands = bands.groupBy("source_id", "col_idx").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return cells_by_overlap(rows, bands)
-
-
 def cells_by_overlap(words: DataFrame, bands: DataFrame) -> DataFrame:
     """Each word to the band it overlaps most (ties: the first); words of a cell are joined from left to right."""
     keyed = words.withColumn("_w", F.xxhash64("row_idx", "x", "y", "str"))

@@ -105,14 +105,11 @@ def test_workbook_round_trip():
     assert G.parse_xlsx(X.xlsx_bytes([("表一", rows), ("b", [])])) == [("表一", [["姓名", "金额"], ["王辉 <&>", "12.5"], ["", "x"]]), ("b", [])]
 
 
-def test_html_json_and_items(spark):
+def test_html_and_json(spark):
     assert G.parse_html_table("<table><tr><td>a</td></tr></table><table><tr><th> x </th><td>y</td></tr><tr><td></td></tr><tr><td>1</td></tr></table>") == [["x", "y"], ["1"]]
     answers = spark.createDataFrame([(1, '```json\n[["a","b"],["",""]]\n```'), (2, '{"header":["h"],"rows":[["1"]]}'), (3, "no json")], "id long, text string")
     got = sorted((r["source_id"], r["cells"]) for r in G.json_rows(answers, "id", "text").collect())
     assert got == [("1", ["a", "b"]), ("2", ["1"]), ("2", ["h"])]
-    items = [("p", "姓名", 0.0, 100.0, 20.0, 10.0), ("p", "金额", 50.0, 101.0, 20.0, 10.0), ("p", "王辉", 1.0, 80.0, 20.0, 10.0), ("p", "1 0", 52.0, 80.0, 20.0, 10.0)]
-    grid = G.items_to_grid(spark.createDataFrame(items, "source_id string, str string, x double, y double, w double, h double"))
-    assert [r["cells"] for r in grid.orderBy("row_idx").collect()] == [["姓名", "金额"], ["王辉", "1 0"]]
 
 
 def test_stream(spark, tmp_path):
