@@ -172,23 +172,27 @@ def set_platform(rows: DataFrame, value: str, selected: Column, config: Config =
     return rows.withColumns({PLATFORM: F.when(selected, F.lit(value)).otherwise(F.col(PLATFORM)), TAX: F.when(selected & (tax != ""), tax).otherwise(F.col(TAX))})
 
 
-def set_task(rows: DataFrame, value: Column, selected: Column, tasks: DataFrame, text: RowText = RowText()) -> DataFrame:
-    """The task of the selected rows, and the work type that goes with it.
+def with_work_type(rows: DataFrame, tasks: DataFrame, text: RowText = RowText()) -> DataFrame:
+    """Adds ``_work``, the work type that the task in ``_task`` leads to; null where that is null or empty.
 
     ``tasks`` is what ``tasks_of_clients`` gives. The task is looked for under the
     id that the entry names, or under the row's; an entry that no client has is
-    taken by its own name. An empty value empties the task alone.
+    taken by its own name.
     """
     form = r"^[0-9]+\.(.+)\((.+)\)\z"
-    rows_ = rows.withColumn("_task", F.when(selected, F.coalesce(value, F.lit(""))))
     named = F.rlike("_task", F.lit(form))
-    rows_ = rows_.withColumn("_task_id", js_trim(F.when(named, F.regexp_extract("_task", form, 2)).otherwise(F.col(CLIENT))))
+    keyed = rows.withColumn("_task_id", js_trim(F.when(named, F.regexp_extract("_task", form, 2)).otherwise(F.col(CLIENT))))
     one = tasks.groupBy(F.col("id").alias("_task_id"), F.col("full").alias("_task")).agg(F.min(F.struct("n", "name", "content")).alias("_found"))
-    found = rows_.join(one, ["_task_id", "_task"], "left")
+    found = keyed.join(one, ["_task_id", "_task"], "left")
     name = F.coalesce("_found.name", F.when(named, F.regexp_extract("_task", form, 1)), "_task")
     kind = work_type(name, F.coalesce("_found.content", F.lit("")), *text.values())
-    new = {TASK: F.coalesce("_task", TASK), WORK: F.when(F.coalesce("_task", F.lit("")) != "", kind).otherwise(F.col(WORK))}
-    return found.withColumns(new).select(*rows.columns)
+    return found.withColumn("_work", F.when(F.coalesce("_task", F.lit("")) != "", kind))
+
+
+def set_task(rows: DataFrame, value: Column, selected: Column, tasks: DataFrame, text: RowText = RowText()) -> DataFrame:
+    """The task of the selected rows, and the work type that goes with it. An empty value empties the task alone."""
+    chosen = with_work_type(rows.withColumn("_task", F.when(selected, F.coalesce(value, F.lit("")))), tasks, text)
+    return chosen.withColumns({TASK: F.coalesce("_task", TASK), WORK: F.coalesce("_work", WORK)}).select(*rows.columns)
 
 
 def set_cell(rows: DataFrame, column: str, value: str, selected: Column) -> DataFrame:
