@@ -41,13 +41,17 @@ def clean_name_column(rows: DataFrame, types: dict[str, int]) -> DataFrame:
     return rows.withColumn("_renamed", F.coalesce(named != own, F.lit(False))).withColumn("cells", F.transform("cells", lambda v, i: F.when((i == col) & F.col("_renamed"), named).otherwise(v)))
 
 
-def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
-    """Typed columns under the template's headers, cleaned; other headers empty.
+@dataclass(frozen=True)
+class Projection:
+    """A template's columns over ``cells``: values by header, how many cells cleaning shortened, and whether the row names anybody."""
 
-    Adds ``_cleaned``, the number of cells that cleaning shortened. Rows without
-    name, id and card go unless ``keep_all`` (G2). ``also`` adds columns of the
-    rows as they came.
-    """
+    values: dict[str, Column]
+    shorter: Column
+    named: Column
+
+
+def projection(types: dict[str, int], template: Template) -> Projection:
+    """G1, G3, P6 as expressions."""
     at = lambda kind: F.coalesce(F.get("cells", F.lit(types[kind])), F.lit("")) if types.get(kind) is not None else F.lit("")
     values = {header: cleaned(at(kind), kind) for kind, header in template.fields}
     by_type = dict(template.fields)
@@ -55,24 +59,59 @@ def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all
         own = values[by_type["gender"]]
         values[by_type["gender"]] = F.when(own == "", gender_of_id(cleaned(at("idCard"), "idCard"))).otherwise(own)
     shorter = sum((F.when(F.length(cleaned(at(k), k)) < F.length(js_trim(at(k))), 1).otherwise(0) for k, _ in template.fields), F.lit(0))
-    out = rows.select("source_id", "row_idx", *[values.get(h, F.lit("")).alias(h) for h in template.headers], shorter.alias("_cleaned"), *[cleaned(at(k), k).alias(f"_{k}") for k in ("name", "idCard", "bankCard")], *[v.alias(c) for c, v in (also or {}).items()])
-    if not keep_all:
-        out = out.where("_name <> '' or _idCard <> '' or _bankCard <> ''")
-    return out.drop("_name", "_idCard", "_bankCard")
+    name, card, bank = (cleaned(at(k), k) != "" for k in ("name", "idCard", "bankCard"))
+    return Projection({h: values.get(h, F.lit("")) for h in template.headers}, shorter, name | card | bank)
 
 
-def fill_constants(rows: DataFrame, cities: list[str]) -> DataFrame:
-    """Tax and insurance are "0", a missing bank is "0", a missing place is that of the bank; columns not there stay away."""
-    have, out = set(rows.columns), rows
-    out = out.withColumns({c: F.lit("0") for c in ("个税金额", "商业保险") if c in have})
-    if "银行名称" in have:
-        out = out.withColumn("银行名称", F.coalesce(F.nullif("银行名称", F.lit("")), F.lit("0")))
-    if "银行所属地" in have:
-        bank = F.col("银行名称") if "银行名称" in have else F.lit("")
-        out = out.withColumn("银行所属地", F.coalesce(F.nullif("银行所属地", F.lit("")), bank_place(bank, cities)))
+def project(rows: DataFrame, types: dict[str, int], template: Template, keep_all: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
+    """Typed columns under the template's headers, cleaned; other headers empty.
+
+    Adds ``_cleaned``, the number of cells that cleaning shortened. Rows without
+    name, id and card go unless ``keep_all`` (G2). ``also`` adds columns of the
+    rows as they came.
+    """
+    p = projection(types, template)
+    kept = rows if keep_all else rows.where(p.named)
+    return kept.select("source_id", "row_idx", *[v.alias(h) for h, v in p.values.items()], p.shorter.alias("_cleaned"), *[v.alias(c) for c, v in (also or {}).items()])
+
+
+def constant_values(values: dict[str, Column], cities: list[str]) -> dict[str, Column]:
+    """What fills of these columns: tax and insurance are "0", a missing bank is "0", a missing place is that of the bank."""
+    out = dict(values)
+    for c in ("个税金额", "商业保险"):
+        if c in out:
+            out[c] = F.lit("0")
+    if "银行名称" in out:
+        out["银行名称"] = F.coalesce(F.nullif(out["银行名称"], F.lit("")), F.lit("0"))
+    if "银行所属地" in out:
+        out["银行所属地"] = F.coalesce(F.nullif(out["银行所属地"], F.lit("")), bank_place(out.get("银行名称", F.lit("")), cities))
     return out
 
 
+def fill_constants(rows: DataFrame, cities: list[str]) -> DataFrame:
+    """G4 on a table; columns not there stay away."""
+    have = {c: F.col(c) for c in ("个税金额", "商业保险", "银行名称", "银行所属地") if c in rows.columns}
+    return rows.withColumns(constant_values(have, cities)) if have else rows
+
+
+def fan_out(rows: DataFrame, types: dict[str, int], templates: list[Template], selected: DataFrame | None = None, cities: list[str] | None = None) -> DataFrame:
+    """(template, source_id, row_idx, cells): several templates' rows from one scan of the rows.
+
+    ``selected`` (source_id) are the chosen sources; without it all are. The cells
+    stand in the order of each template's headers. Nothing is scanned or
+    detected again for a further template: write the result once, parted by
+    ``template``, and every sink reads its own part.
+    """
+    chosen = rows if selected is None else rows.join(selected.select("source_id").distinct(), "source_id", "left_semi")
+    parts = []
+    for t in templates:
+        p = projection(types, t)
+        values = constant_values(p.values, cities or []) if t.name == "youyi" else p.values
+        parts.append(F.when(p.named, F.struct(F.lit(t.name).alias("template"), F.array(*[values[h] for h in t.headers]).alias("cells"))))
+    each = chosen.select("source_id", "row_idx", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("t"))
+    return each.select("t.template", "source_id", "row_idx", "t.cells")
+
+
 def split_groups(rows: DataFrame, by_sheet: bool, default_file: str = "未命名") -> DataFrame:
     """(group, file, sheet, first_row, n_rows) in first-seen order."""
     file = F.coalesce(F.nullif("_file", F.lit("")), F.lit(default_file))

@@ -6,7 +6,7 @@ All of these take (source_id, row_idx, cells). Merging shuffles once, by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabulant.functions.scalars import decimals_of, declared_amount, js_round2, js_trim, merge_amount, split_amount, textual_difference, tolerance, validation_amount, without_space
@@ -41,7 +41,7 @@ def distinct_in_order(value: Column, order: Column) -> Column:
 
 
 def merge_people(
-    rows: DataFrame, types: dict[str, int], amount_cols: list[int], labels: dict[int, str] | None = None, merge: bool = False
+    rows: DataFrame, types: dict[str, int], amount_cols: list[int], labels: dict[int, str] | None = None, merge: bool = False, watch: dict[str, Observation] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows after merging, groups: source_id, key, name, members, conflicts array<int>).
 
@@ -49,6 +49,7 @@ def merge_people(
     other than amounts, totals and notes has two different values: then the
     whole group stays. ``merge=False`` only reports (the product's default).
     A person's rows in one source are few; their cells are gathered by key.
+    ``watch`` (rows, groups) observes counts on the way (see ``dry_run``).
     """
     if types.get("idCard") is None and types.get("name") is None:
         none = rows.select("source_id", F.lit("").alias("key"), F.lit("").alias("name"), F.lit(0).cast("long").alias("members"), F.array().cast("array<int>").alias("conflicts")).limit(0)
@@ -56,6 +57,8 @@ def merge_people(
     elements = sorted({c for t, c in types.items() if c is not None and t not in ("amount", "amountTotal", "note")})
     amounts, note = sorted(set(amount_cols)), types.get("note")
     keyed = rows.withColumn("key", merge_key(F.col("cells"), types.get("idCard"), types.get("name"), types.get("phone")))
+    if watch and merge:
+        keyed = keyed.observe(watch["rows"], F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("key").isNull()).alias("without_key"))
     grouped = keyed.where("key is not null").groupBy("source_id", "key").agg(
         F.min("row_idx").alias("first_row"),
         F.count(F.lit(1)).alias("members"),
@@ -68,6 +71,8 @@ def merge_people(
     )
     conflicts = F.filter(F.array(*[F.when(F.col(f"d{c}") > 1, F.lit(c)) for c in elements]).cast("array<int>"), lambda x: x.isNotNull())
     several = grouped.where("members > 1").withColumn("conflicts", conflicts)
+    if watch and merge:
+        several = several.observe(watch["groups"], F.count(F.lit(1)).alias("groups"), F.count_if(F.size("conflicts") > 0).alias("conflicting"))
     name = F.when(js_trim(F.get("first", F.lit(types.get("name") if types.get("name") is not None else -1))) != "", js_trim(F.get("first", F.lit(types.get("name") or 0)))) if types.get("name") is not None else F.lit(None)
     groups = several.select("source_id", "key", F.coalesce(name, F.regexp_replace("key", "^(id|np):", "")).alias("name"), "members", "conflicts")
     if not merge:

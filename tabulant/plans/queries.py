@@ -16,15 +16,18 @@ from tabulant.functions import scalars as S
 from tabulant.operators import client_match as M
 from tabulant.operators import detect as D
 from tabulant.operators import direct as T
+from tabulant.operators import edit_log as L
 from tabulant.operators import enrichment as E
 from tabulant.operators import export as X
 from tabulant.operators import numbering as N
 from tabulant.operators import people as P
 from tabulant.operators import reference_data as R
+from tabulant.operators import reference_document as RD
 from tabulant.operators import reference_io as I
 from tabulant.operators import validation as V
 from tabulant.operators import workbooks as B
 from tabulant.sources import grids as G
+from tabulant.sources import positioned as W
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -941,6 +944,92 @@ def config_sheet(spark, d):
     return I.config_sheet(head.unionByName(body).withColumn("source_id", F.lit("s"))).withColumn("value", F.array_join("value", "/"))
 
 
+@query(
+    """WITH r AS (SELECT c_custkey, c_name, c_acctbal::DECIMAL(18, 2)::VARCHAR AS a, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+SELECT 'yidao' AS template, c_mktsegment AS source_id, c_custkey AS row_idx, c_name || '||||' || '|' || a AS line FROM r
+UNION ALL SELECT 'shenbianyun', c_mktsegment, c_custkey, '||' || c_name || '|||' || a || '|||' FROM r
+UNION ALL SELECT 'youyi', c_mktsegment, c_custkey, '|||' || c_name || '||||||||0|0|' || a || '|0|0|' FROM r"""
+)
+def fan_out(spark, d):
+    """Three templates from one scan of the chosen sources."""
+    c = _t(spark, d, "customer")
+    rows = c.select(F.col("c_mktsegment").alias("source_id"), F.col("c_custkey").alias("row_idx"), F.array(F.col("c_name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("cells"))
+    chosen = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "source_id string")
+    out = X.fan_out(rows, {"name": 0, "amount": 1}, [X.TEMPLATES[k] for k in ("yidao", "shenbianyun", "youyi")], chosen)
+    full = lambda v: F.when(F.rlike(v, F.lit(r"^-?[0-9]+(\.[0-9]{1,2})?\z")) & (v != "0"), v.cast("decimal(18,2)").cast("string")).otherwise(v)
+    return out.select("template", "source_id", "row_idx", F.array_join(F.transform("cells", full), "|").alias("line"))
+
+
+@query(
+    """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS doc, c_name AS id, c_mktsegment AS short_name, c_acctbal::DECIMAL(18, 2)::DOUBLE AS fee_rate, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) - 1 AS pos FROM customer)
+SELECT doc, pos, id, short_name, fee_rate, 1 AS version FROM c"""
+)
+def document_clients(spark, d):
+    """Documents of an older version loaded, brought up to date and split into clients, in the order of the text."""
+    c = _t(spark, d, "customer")
+    entry = F.struct(-F.col("c_custkey"), F.col("c_name").alias("id"), F.struct(F.col("c_mktsegment").alias("shortName"), F.concat(F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("%")).alias("feeRate")).alias("v"))
+    people = F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["id"], e["v"])))
+    docs = c.groupBy(_text("c_nationkey").alias("doc")).agg(F.to_json(F.struct(people.alias("shangSheMap"))).alias("value"))
+    loaded = RD.load_documents(docs)
+    return RD.clients_of(loaded).join(loaded.select("doc", F.col("document.schemaVersion").alias("version")), "doc").select("doc", "pos", "id", "short_name", "fee_rate", "version")
+
+
+@query("SELECT o_custkey AS owner, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1 AS accepted FROM orders")
+def edit_lists(spark, d):
+    """Additions to each owner's task list, repeated ones rejected."""
+    o = _t(spark, d, "orders")
+    none = F.lit(None)
+    log = o.select(F.col("o_custkey").alias("owner"), F.lit("task").alias("kind"), F.col("o_orderkey").alias("seq"), F.lit("add").alias("op"), none.cast("int").alias("at"), none.cast("string").alias("target"), F.concat(F.lit(" "), "o_orderpriority").alias("key"), none.cast("array<string>").alias("value"))
+    had = spark.createDataFrame([], "owner long, kind string, pos long, key string, value array<string>")
+    return L.replay_lists(had, log)[1].select("owner", "seq", "accepted")
+
+
+@query(
+    """WITH w AS (SELECT c_custkey AS row_no, max_by(o_orderkey % 3 = 0, o_orderkey) AS own, max(o_orderkey) AS newest FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 < 2 GROUP BY c_custkey),
+f AS (SELECT max(o_orderkey) AS seq FROM orders WHERE o_orderkey % 3 = 2)
+SELECT row_no, CASE WHEN newest > seq THEN own ELSE c_mktsegment = 'BUILDING' END AS selected FROM w JOIN customer ON c_custkey = row_no CROSS JOIN f"""
+)
+def edit_selection(spark, d):
+    """Single rows selected and let go, and a file's rows chosen, in the order of the log."""
+    k = F.col("o_orderkey")
+    o = _t(spark, d, "orders")
+    single = o.where(k % 3 < 2).select(k.alias("seq"), F.when(k % 3 == 0, "row").otherwise("unrow").alias("op"), F.col("o_custkey").alias("n"), F.lit(None).cast("string").alias("file"))
+    wide = o.where(k % 3 == 2).agg(F.max(k).alias("seq")).select("seq", F.lit("file").alias("op"), F.lit(None).cast("long").alias("n"), F.lit("BUILDING").alias("file"))
+    return L.replay_selection(_t(spark, d, "customer").select(F.col("c_custkey").alias("row_no"), F.col("c_mktsegment").alias("_file")), single.unionByName(wide)).select("row_no", "selected")
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey AS seq, o_custkey AS k, o_orderkey % 2 = 0 AS p, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus WHEN o_orderkey % 4 = 0 THEN '294.湖南清源' ELSE 'nowhere' END AS v FROM orders),
+p AS (SELECT k, arg_max(v, seq) AS v FROM l WHERE p GROUP BY k), t AS (SELECT k, arg_max(CASE WHEN p THEN '0001.湖南' ELSE v END, seq) AS v FROM l WHERE NOT p OR v <> 'nowhere' GROUP BY k)
+SELECT c_custkey, coalesce(p.v, 'P') AS platform, coalesce(t.v, 'T') AS tax_source FROM customer LEFT JOIN p ON p.k = c_custkey LEFT JOIN t ON t.k = c_custkey"""
+)
+def edit_cells(spark, d):
+    """Platforms and tax sources edited by turns; a platform takes its tax source along."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    value = F.when(k % 2 == 1, F.col("o_orderstatus")).when(k % 4 == 0, "294.湖南清源").otherwise("nowhere")
+    log = _t(spark, d, "orders").select(k.alias("seq"), F.col("o_custkey").alias("row_no"), F.when(k % 2 == 0, "platform").otherwise("tax").alias("field"), value.alias("value"))
+    rows = _t(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("row_no"), none.alias(E.CLIENT), F.lit("P").alias(E.PLATFORM), F.lit("T").alias(E.TAX), F.lit("").alias(E.TASK), F.lit("").alias(E.WORK))
+    out = L.replay_cells(rows, log, E.tasks_of_clients(_payout_clients(spark, d)))
+    return out.select("c_custkey", F.col(E.PLATFORM).alias("platform"), F.col(E.TAX).alias("tax_source"))
+
+
+@query(
+    """WITH w AS (SELECT CAST(user_id % 40 AS VARCHAR) AS s, event_id AS k, event_type AS t, (event_id * 37) % 600 + 0.5 AS x, 5 + event_id % 20 AS w, (event_id * 31) % 997 * 3 AS y FROM events),
+l AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY y, x, t ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY s ORDER BY y, x, t) > 6 THEN 1 ELSE 0 END AS n FROM w)),
+b(r, x0, x1) AS (VALUES (0, 0, 150), (1, 150, 300), (2, 300, 520)),
+o AS (SELECT s, k, arg_min(r, CASE WHEN v > 0 THEN -v ELSE 1000 + abs(x + w / 2.0 - (x0 + x1) / 2.0) END + r * 1e-9) AS r FROM (SELECT *, least(x + w, x1) - greatest(x, x0) AS v FROM l CROSS JOIN b) GROUP BY s, k),
+g AS (SELECT *, sum(n2) OVER (PARTITION BY s, line, r ORDER BY x, y, t ROWS UNBOUNDED PRECEDING) AS sub FROM (SELECT l.*, o.r, CASE WHEN l.x - lag(l.x + l.w) OVER (PARTITION BY l.s, line, o.r ORDER BY l.x, y, t) > 6 THEN 1 ELSE 0 END AS n2 FROM l JOIN o USING (s, k)))
+SELECT s AS source_id, line AS row_idx, count(*) AS cells, max(c) AS text FROM (SELECT s, line, r, sub, string_agg(t, ' ' ORDER BY x, y, t) AS c FROM g GROUP BY s, line, r, sub) GROUP BY s, line"""
+)
+def words_in_borders(spark, d):
+    """Words to regions and sub-cells; per row, the filled cells and the greatest text."""
+    k = F.col("event_id")
+    e = _t(spark, d, "events").select((F.col("user_id") % 40).cast("string").alias("source_id"), F.col("event_type").alias("text"), ((k * 37) % 600 + 0.5).alias("x"), ((k * 31) % 997 * 3).cast("double").alias("y"), (5 + k % 20).cast("double").alias("w"), F.lit(8.0).alias("h"))
+    lines = e.select("source_id").distinct().select("source_id", F.explode(F.array(*map(F.lit, (0, 150, 300, 520)))).alias("x"))
+    filled = F.filter("cells", lambda c: c != "")
+    return W.words_in_borders(e, lines).select("source_id", "row_idx", F.size(filled).cast("long").alias("cells"), F.array_max(filled).alias("text"))
+
+
 RUN_DATE = datetime.date(2024, 1, 31)
 
 
