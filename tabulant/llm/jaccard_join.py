@@ -72,6 +72,8 @@ SMALL = 128
 FREQUENT = 0.01
 #: Bands of the number of differences from a pivot.
 DIFFERENCE_RATIO = 1.25
+#: Tables of links, labels and members up to so many rows (some 5 MB) are worked on by one task.
+FEW_LINKS = 200_000
 CHUNK_SHINGLES = 1_500_000
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 24 << 20
@@ -573,20 +575,35 @@ def _verifier(n: int, p: int, q: int, common: np.ndarray):
     return run
 
 
+def _few(*tables: DataFrame) -> bool:
+    return all(t.limit(FEW_LINKS + 1).count() <= FEW_LINKS for t in tables)
+
+
+def _gathered(table: DataFrame, few: bool) -> DataFrame:
+    """A table of few rows in one partition: joins and sums over such need no exchange."""
+    return table.coalesce(1) if few else table
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable. Labels spread to neighbours, then jump to their label's label."""
+    """(node, comp): the smallest node reachable. Labels spread to neighbours, then jump to their label's label.
+
+    Up to ``FEW_LINKS`` links take the same steps in one task: a bound that does
+    not grow, where a round would else cost many tasks that are almost empty.
+    """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).where("node <> other").distinct()
-    both = materialise(both, "links")
+    links = materialise(both, "links")
+    few = _few(links)
+    both = _gathered(links, few)
     step = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
     while True:
-        before, labels = step, step.select("node", "comp")
+        before, labels = step, _gathered(step, few).select("node", "comp")
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
         step = materialise(step.join(jump, "new", "left").select("node", F.least("new", "far").alias("comp"), "old"), "labels")
         discard(before)
         if step.where("comp <> old").isEmpty():
-            discard(both)
+            discard(links)
             return step.select("node", "comp")
 
 
@@ -679,7 +696,8 @@ def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple
     rest, level = spark.createDataFrame([], "a long, b long"), 0  # what small groups of the level before have left to compare
     while True:
         # The member of many large groups is most like the others: the text that the rest are copies of.
-        sized = groups.join(groups.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
+        own = _gathered(groups, _few(groups))
+        sized = own.join(own.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
         weights = sized.groupBy("cid").agg(F.sum("size").alias("weight"))
         best = sized.join(weights, "cid").groupBy("sig").agg(F.max(F.struct("weight", "cid")).alias("x")).select("sig", F.col("x.cid").alias("a"))
         sized = materialise(sized.join(best, "sig").where("cid <> a").select("sig", "a", F.col("cid").alias("b"), (F.col("size") > SMALL).alias("big")), "pivots")
@@ -704,7 +722,8 @@ def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple
         buckets = max(partitions(spark), math.ceil((entered or 0) * 4 * 17 / BUCKET_BYTES))
         entries = families.join(often, "family", "left").select("family", "b", "na", "nb", "d", "linked", "differ", "frequent").mapInArrow(_enter_differences(p, q, buckets), _ENTRIES)
         met = materialise(join.met(entries).select("sig", F.col("k1").alias("cid")).distinct(), "met")
-        groups = materialise(_open(met, comp).select("sig", "cid"), "met")
+        few = _few(met, comp)
+        groups = materialise(_open(_gathered(met, few), _gathered(comp, few)).select("sig", "cid"), "met")
         discard(*spent, families, met)
         level += 1
     discard(join.texts, join.sketches)
@@ -715,13 +734,16 @@ def _joined_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """The components after more links: only their labels are joined, the nodes are renamed."""
     if edges.isEmpty():
         return materialise(comp, "components")
+    few = _few(edges, comp)
+    edges, comp = _gathered(edges.select("a", "b"), few), _gathered(comp, few)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    every = comp.join(nodes, "node", "full_outer").select("node", F.coalesce("comp", "node").alias("comp"))
-    every = materialise(every, "components")
+    every = comp.join(_gathered(nodes, few), "node", "full_outer").select("node", F.coalesce("comp", "node").alias("comp"))
+    written = materialise(every, "components")
+    every = _gathered(written, few)
     ends = edges.join(every.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
-    renamed = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    renamed = _gathered(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), few).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     out = materialise(every.join(renamed, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
-    discard(every)
+    discard(written)
     return out
 
 

@@ -51,6 +51,31 @@ def test_components_against_brute_force(spark, n, p):
     assert sorted(got, key=str) == sorted(brute_components(rows, n, p, 100), key=str)
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_links(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW_LINKS", few)
+    r = random.Random(8)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(25)] + [(k, k + 1) for k in range(100, 120)] + [(7, 7)]
+    parent = {x: x for link in links if link[0] != link[1] for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    schema = "a long, b long"
+    got = jaccard_join.components(spark.createDataFrame(links, schema))
+    assert {n["node"]: n["comp"] for n in got.collect()} == {x: find(x) for x in parent}
+    half = jaccard_join._joined_components(spark.createDataFrame([], "node long, comp long"), spark.createDataFrame(links[::2], schema))
+    whole = jaccard_join._joined_components(half, spark.createDataFrame(links[1::2], schema))
+    assert {n["node"]: n["comp"] for n in whole.collect() if n["node"] != 7} == {x: find(x) for x in parent if x != 7}
+    assert jaccard_join._joined_components(whole, spark.createDataFrame([], schema)).count() == whole.count()
+
+
 def wide(rows):
     return [(i, t, "en", "s", 0, 7, "x", 1, "k", 5, 9) for i, t in rows]
 
