@@ -114,3 +114,6 @@ PAYMENT_BATCH_LABEL = "商户批次号（非必填）"
 PAYMENT_AMOUNT = "付款金额（元，必填）"
 PLAIN_FORMAT, CURRENCY_FORMAT = "#,##0.00", "¥#,##0.00"
 PAYMENT_WIDTHS = (22.6333333333333, 20.6333333333333, 22.6333333333333, 20.5, 27.5, 22.6333333333333, 16, 16, 22.6333333333333)
+# Labels of a client's name and tax id in the cells of a sheet.
+CLIENT_LABEL = "客户名称|公司名称|委托方|甲方"
+TAX_LABEL = "统一信用代码|纳税人识别号|统一社会信用代码|税号|信用代码"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulant.functions import constants as C
 from tabulant.functions.scalars import js_trim
-from tabulant.operators.reference_data import fill_if_empty, lookup_name_all, lookup_tax_id
+from tabulant.operators.reference_data import fill_if_empty, label_values, lookup_name_all, lookup_tax_id
 
 _LIST = "array<struct<id:string,label:string,match_type:string>>"
 
@@ -92,6 +92,31 @@ def _kept(batches: DataFrame, *replaced: str) -> list[Column]:
     return [F.col(f"_b.`{c}`").alias(c) for c in batches.columns if c not in replaced]
 
 
+def client_info(grids: DataFrame, mapped: DataFrame) -> DataFrame:
+    """J9 for a batch of sources: one row (client_name, tax_id).
+
+    ``grids`` are the sources' raw rows (source_pos, row_idx, cells), ``mapped``
+    has (source_pos, client_name, tax_id): what stands in the columns of these
+    types in each source's first data row. What a label in the cells says, by
+    source, row and column, beats a mapped column; of these the first source that
+    has a value counts. Empty where nothing says it.
+    """
+    def said(label: str, column: str) -> DataFrame:
+        found = label_values(grids.withColumn("source_id", F.col("source_pos").cast("string")), label)
+        detected = found.agg(F.min_by("value", F.col("source_id").cast("long")).alias("_d"))
+        first = mapped.agg(F.min_by(js_trim(column), F.when(js_trim(column) != "", F.col("source_pos"))).alias("_m"))
+        return detected.crossJoin(first).select(F.coalesce("_d", "_m", F.lit("")).alias(column))  # one row each
+
+    return said(C.CLIENT_LABEL, "client_name").crossJoin(said(C.TAX_LABEL, "tax_id"))
+
+
+def first_mapped(data: DataFrame, positions: DataFrame) -> DataFrame:
+    """What ``client_info`` takes as ``mapped``: data rows (source_pos, row_idx, cells) and (source_pos, client_col, tax_col), null where not mapped."""
+    head = data.groupBy("source_pos").agg(F.min_by("cells", "row_idx").alias("c")).join(positions, "source_pos")
+    at = lambda col: F.when(F.col(col).isNotNull(), F.get("c", F.col(col)))
+    return head.select("source_pos", at("client_col").alias("client_name"), at("tax_col").alias("tax_id"))
+
+
 def task_content(tasks: Column, name: Column) -> Column:
     """The content of the first task of that trimmed name; empty without one."""
     found = F.get(F.filter(tasks, lambda t: js_trim(t["name"]) == js_trim(name)), F.lit(0))

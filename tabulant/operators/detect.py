@@ -290,7 +290,7 @@ def source_scores(tables: DataFrame, rows: DataFrame, columns: DataFrame, names:
     )
     share = lambda c, points: F.floor(F.col(c) / F.greatest("k", F.lit(1)) * points + 0.5)
     named = F.when(F.rlike("sheet_name", F.lit(C.SHEET_BONUS)), 8).otherwise(0) - F.when(F.rlike("sheet_name", F.lit(C.SHEET_PENALTY)), 12).otherwise(0)
-    every = names.join(tables.select("source_id", "filtered_count"), "source_id", "left").join(heads, "source_id", "left").join(facts, "source_id", "left").fillna(0)
+    every = names.join(tables.select("source_id", "filtered_count"), "source_id", "left").join(heads, "source_id", "left").join(facts, "source_id", "left").fillna(0, ["header_score", "data_rows", "k", "amounts", "people"])
     full = F.col("header_score") + F.when(F.col("k") >= 3, 8).otherwise(0) + share("amounts", 18) + share("people", 12) + named
     return every.select("source_id", "sheet_name", F.when(F.col("filtered_count").isNull(), -999).otherwise(full).alias("score"), "data_rows")
 

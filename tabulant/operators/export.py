@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import zipfile
 from collections.abc import Iterator
@@ -238,6 +239,28 @@ def apply_remark(rows: DataFrame, note_col: str, selected: Column, value: Column
     return rows.withColumn(note_col, F.when(selected & (text != ""), new).otherwise(F.col(note_col)))
 
 
+def remark_values(rows: DataFrame, preset: str, clients: DataFrame | None = None, selected_files: list[str] | None = None, custom: str = "", today: datetime.date | None = None, file_col: str = "_file", sheet_col: str = "_sheet", id_col: str = "商社编号") -> DataFrame:
+    """Adds ``_remark`` by preset: filename, sheetname, date, client or custom; empty for another.
+
+    The file name is the row's own, or those of all selected files, without the
+    last extension. The client's short name comes before its full name; an unknown
+    id has neither.
+    """
+    if preset == "client" and clients is not None:
+        name = F.coalesce(F.nullif("short_name", F.lit("")), F.nullif("full_name", F.lit("")), F.lit(""))
+        known = clients.groupBy(js_trim("id").alias("_remark_id")).agg(F.min_by(name, "pos").alias("_remark"))
+        found = rows.withColumn("_remark_id", js_trim(id_col)).join(known, "_remark_id", "left")
+        return found.select(*rows.columns, F.coalesce("_remark", F.lit("")).alias("_remark"))
+    all_files = "、".join(f for f in selected_files or [] if f)
+    value = {
+        "filename": file_stem(F.coalesce(F.nullif(F.col(file_col), F.lit("")), F.lit(all_files))) if file_col in rows.columns else file_stem(F.lit(all_files)),
+        "sheetname": F.coalesce(F.col(sheet_col), F.lit("")) if sheet_col in rows.columns else F.lit(""),
+        "date": F.lit((today or datetime.date.today()).isoformat()),
+        "custom": js_trim(F.lit(custom)),
+    }.get(preset, F.lit(""))
+    return rows.withColumn("_remark", value)
+
+
 def patch_cells(rows: DataFrame, patches: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Point updates from a patch table."""
     new = patches.select(*keys, F.col("value").alias("_v"), F.lit(True).alias("_p"))

@@ -169,8 +169,14 @@ def row_clusters(points: DataFrame, partition: list[str], order: str, gap: float
     return points.withColumn("cluster", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def upper_median(value: Column) -> Column:
-    """O5 as an aggregate: the upper of two middle values."""
-    return F.element_at(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1)
-
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): per key the upper of the two middle values; nulls do not count.
 
+    Values are counted first, so a key's window runs over its distinct values
+    and their counts, and no key's values are gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    up_to = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_to", up_to).withColumn("_all", F.sum("_n").over(w))
+    return placed.where("2 * _to > _all").groupBy(*keys).agg(F.min(value).alias("median"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.functions.scalars import js_trim
+from tabulant.functions.scalars import js_trim, number_prefix
 
 
 def split_keywords(x: Column) -> Column:
@@ -61,6 +61,43 @@ def import_clients(old: DataFrame, new: DataFrame) -> DataFrame:
     return merge_keyed(full(old), full(new), ["id"], fields)
 
 
+def upsert_clients(old: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clients after the rows of a client sheet, counts: new_rows, updated_rows).
+
+    ``old`` has (id, pos, short_name, full_name, tax_id, fee_rate, sign_entity,
+    tasks); ``rows`` has (row_idx, id and those fields as text, task_name,
+    task_content). Rows are taken in order, those without an id not at all: a
+    later value that is not empty replaces an earlier one, a fee that is no number
+    is 0, and a task is added unless the client has one of that name and content.
+    New clients follow the old ones by their first row. A client's first row
+    counts as new if it was not there before, every other row as an update.
+    """
+    texts = ["short_name", "full_name", "tax_id", "sign_entity"]
+    given = rows.select("row_idx", js_trim("id").alias("id"), *[js_trim(c).alias(c) for c in (*texts, "fee_rate", "task_name", "task_content")]).where("id <> ''")
+    latest = [F.max_by(c, F.when(F.col(c) != "", F.col("row_idx"))).alias(f"_{c}") for c in (*texts, "fee_rate")]
+    new = given.groupBy("id").agg(*latest, F.min("row_idx").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    task = F.struct(F.col("task_name").alias("name"), F.col("task_content").alias("content"))
+    had = old.select("id", F.posexplode("tasks").alias("_at", "_t")).select("id", F.lit(0).alias("late"), F.col("_at").cast("long").alias("at"), F.struct(F.col("_t.name").alias("name"), F.coalesce("_t.content", F.lit("")).alias("content")).alias("task"))
+    added = given.where("task_name <> ''").select("id", F.lit(1).alias("late"), F.col("row_idx").cast("long").alias("at"), task.alias("task"))
+    # tasks that a client had are kept as they are, also repeated ones; each new one comes once
+    key = F.when(F.col("late") == 0, F.col("at"))
+    every = had.unionByName(added.join(had.select("id", "task"), ["id", "task"], "left_anti")).groupBy("id", "task", key.alias("_had")).agg(F.min(F.struct("late", "at")).alias("place"))
+    tasks = every.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "task"))), lambda x: x["task"]).alias("_tasks"))
+    last = old.agg(F.max("pos")).first()[0]
+    offset = F.lit(-1 if last is None else last)
+    both = old.withColumn("_old", F.lit(True)).join(new, "id", "full_outer").join(tasks, "id", "left")
+    fee = F.coalesce(number_prefix("_fee_rate"), F.lit(0.0))
+    isnew = F.col("_old").isNull()
+    merged = both.select(
+        "id", F.when(isnew, offset + 1 + F.col("_row")).otherwise(F.col("pos")).cast("long").alias("pos"),
+        *[F.coalesce(f"_{c}", F.when(~isnew, F.col(c)).otherwise("")).alias(c) for c in texts],
+        F.when(F.col("_fee_rate").isNotNull(), fee).when(isnew, 0.0).otherwise(F.col("fee_rate")).alias("fee_rate"), F.coalesce("_tasks", F.array().cast("array<struct<name:string,content:string>>")).alias("tasks"), isnew.alias("added"),
+    )
+    counted = new.join(old.select("id", F.lit(1).alias("_old")).distinct(), "id", "left")
+    counts = counted.agg(F.count_if(F.col("_old").isNull()).alias("new_rows"), F.coalesce(F.sum(F.col("_n") - F.when(F.col("_old").isNull(), 1).otherwise(0)), F.lit(0)).alias("updated_rows"))
+    return merged, counts
+
+
 def config_sheet(grid: DataFrame) -> DataFrame:
     """The patch in a configuration sheet (source_id, row_idx, cells; row 0 is the header).
 

@@ -710,7 +710,7 @@ def col_width(spark, d):
 @query("WITH r AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, v AS median FROM r WHERE k = n // 2 + 1")
 def median_upper(spark, d):
     """The upper of the two middle values."""
-    return _t(spark, d, "part").groupBy("p_brand").agg(P.upper_median(F.col("p_retailprice")).alias("median"))
+    return P.upper_median(_t(spark, d, "part"), ["p_brand"], "p_retailprice")
 
 
 @query("""SELECT p_partkey, '"' || p_name || ', ' || p_type || '",' || p_size AS line FROM part""")
@@ -1033,6 +1033,23 @@ def words_in_borders(spark, d):
 RUN_DATE = datetime.date(2024, 1, 31)
 
 
+@query(
+    """WITH r AS (SELECT o_custkey AS k, o_orderkey AS i, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS s, o_orderpriority AS t FROM orders),
+f AS (SELECT k, coalesce(arg_max(s, i) FILTER (s <> ''), '') AS s, min(i) AS i, list(t ORDER BY i) AS ts FROM r GROUP BY k),
+o AS (SELECT c_custkey AS k, c_name AS n FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(f.k, o.k)::VARCHAR AS id, CASE WHEN f.s <> '' THEN f.s ELSE coalesce(n, '') END AS short_name, o.k IS NULL AS added,
+coalesce((SELECT string_agg(x, '|' ORDER BY a) FROM (SELECT t AS x, min(i) AS a FROM r WHERE r.k = f.k GROUP BY t)), '') AS tasks FROM f FULL JOIN o ON o.k = f.k"""
+)
+def upsert_clients(spark, d):
+    """Client sheets merged into the client table: latest values, tasks once each, new and old clients."""
+    c, o, k = _t(spark, d, "customer"), _t(spark, d, "orders"), F.col("o_orderkey")
+    empty = F.lit("")
+    old = c.where("c_custkey % 2 = 0").select(_text("c_custkey").alias("id"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("short_name"), *[empty.alias(x) for x in ("full_name", "tax_id", "sign_entity")], F.lit(1.5).alias("fee_rate"), F.array().cast("array<struct<name:string,content:string>>").alias("tasks"))
+    rows = o.select(k.alias("row_idx"), _text("o_custkey").alias("id"), F.when(k % 3 != 0, F.col("o_orderstatus")).otherwise("").alias("short_name"), *[empty.alias(x) for x in ("full_name", "tax_id", "fee_rate", "sign_entity")], F.col("o_orderpriority").alias("task_name"), empty.alias("task_content"))
+    out, _ = I.upsert_clients(old, rows)
+    return out.select("id", "short_name", "added", F.array_join(F.transform("tasks", lambda t: t["name"]), "|").alias("tasks"))
+
+
 @query("SELECT c_custkey, '20240131' || 'WH' || '-A' AS batch_no FROM customer")
 def batch_number(spark, d):
     """Run date, initials and -A."""

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulant.functions.scalars import js_trim, sheet_text
+from tabulant.sources import number_formats
 
 GRID = "source_id string, row_idx long, cells array<string>"
 _GRID = pa.schema([("source_id", pa.string()), ("row_idx", pa.int64()), ("cells", pa.list_(pa.string()))])
@@ -82,20 +83,33 @@ _REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}
 
 
 def parse_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
-    """S3: every sheet of a workbook as text."""
+    """S3: every sheet of a workbook as the text that its cells show, number and date formats included."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        sheets = [(s.get("name"), s.get(_REL_ID)) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS)]
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        sheets = [(s.get("name"), s.get(_REL_ID)) for s in book.find("m:sheets", _NS)]
+        settings = book.find("m:workbookPr", _NS)
+        year_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        formats = _cell_formats(z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
         parts = {}
         if "xl/_rels/workbook.xml.rels" in names:
             parts = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        return [(name, _sheet_rows(z.read(f"xl/{parts.get(rel, f'worksheets/sheet{i}.xml')}"), shared)) for i, (name, rel) in enumerate(sheets, 1)]
+        return [(name, _sheet_rows(z.read(f"xl/{parts.get(rel, f'worksheets/sheet{i}.xml')}"), shared, formats, year_1904)) for i, (name, rel) in enumerate(sheets, 1)]
 
 
-def _sheet_rows(xml: bytes, shared: list[str]) -> list[list[str]]:
+def _cell_formats(xml: bytes) -> list[str]:
+    """The format code of each cell style."""
+    styles = ElementTree.fromstring(xml)
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.iter(f"{{{_NS['m']}}}numFmt")}
+    uses = styles.find("m:cellXfs", _NS)
+    ids = [int(x.get("numFmtId") or 0) for x in uses] if uses is not None else []
+    return [own.get(i, number_formats.BUILT_IN.get(i, "General")) for i in ids]
+
+
+def _sheet_rows(xml: bytes, shared: list[str], formats: list[str], year_1904: bool) -> list[list[str]]:
     rows = []
     for row in ElementTree.fromstring(xml).iter(f"{{{_NS['m']}}}row"):
         cells: list[str] = []
@@ -104,9 +118,15 @@ def _sheet_rows(xml: bytes, shared: list[str]) -> list[list[str]]:
             for ch in re.match("[A-Z]+", c.get("r", "A"))[0]:
                 col = col * 26 + ord(ch) - 64
             v = c.find("m:v", _NS)
-            text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if c.get("t") == "inlineStr" else (v.text if v is not None else "") or ""
-            if c.get("t") == "s":
+            kind = c.get("t", "n")
+            text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else (v.text if v is not None else "") or ""
+            if kind == "s":
                 text = shared[int(text)]
+            elif kind == "b":
+                text = "TRUE" if text == "1" else "FALSE"
+            elif kind == "n" and text:
+                style = int(c.get("s") or 0)
+                text = number_formats.shown(text, formats[style] if style < len(formats) else "General", year_1904)
             cells += [""] * (col - 1 - len(cells)) + [text]
         rows.append(cells)
     return rows
@@ -172,8 +192,8 @@ def json_rows(answers: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sse_text(events: DataFrame, key: str, seq: str, delta: str) -> DataFrame:
-    """The deltas of each stream, joined in order."""
-    return events.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, delta))), lambda s: s[delta]), "").alias("text"))
+    """The deltas of each stream, joined in order. A stream's text is one value, so it is as long as its deltas together."""
+    return events.where(F.col(delta) != "").groupBy(F.col(key)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, delta))), lambda s: s[delta]), "").alias("text"))
 
 
 def kind_of_file(path: Column) -> Column:

@@ -34,7 +34,7 @@ def test_payment_sheet(spark, tmp_path):
     assert name == "B1_身边云.xlsx" and not more and list(sheets) == ["Sheet1"]
     grid = sheets["Sheet1"]
     assert grid[0] == [C.PAYMENT_NOTE] and grid[1] == ["商户批次号（非必填）"] and grid[2] == ["B1"] and grid[3] == headers
-    assert [r[5] for r in grid[4:]] == ["1234.57", "x", "2.35"] and grid[6][8] == "<&>" and grid[4][8] == ""
+    assert [r[5] for r in grid[4:]] == ["¥1,234.57", "x", "¥2.35"] and grid[6][8] == "<&>" and grid[4][8] == ""
     xml, styles = part(tmp_path, name, "xl/worksheets/sheet1.xml"), part(tmp_path, name, "xl/styles.xml")
     assert '<mergeCell ref="A1:I1"/>' in xml and "¥#,##0.00" in styles and "wrapText" in styles and 'width="22.6333333333333"' in xml
     assert '<c r="F5" s="3"><v>1234.57</v></c>' in xml and '<c r="A5" s="2" t="inlineStr">' in xml
@@ -93,3 +93,17 @@ def test_names_and_amounts():
     assert B.file_name("yidao", "B") == "B_移步到岗.xlsx" and B.file_name("youyi", "B", day) == "本公司_转换结果_20260304.xlsx" and B.file_name("?", "", day) == "自定义_转换结果_20260304.xlsx"
     assert [W.amount(x) for x in ("1,234.565", "-.125", " 7元", "x", "", ".5e1")] == [1234.57, -0.12, 7.0, None, None, 5.0]
     assert [W.letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
+def test_shown_numbers():
+    from tabulant.sources.number_formats import shown
+
+    cases = [
+        ("5", "General", "5"), ("1234.5", "", "1234.5"), ("0.1", "General", "0.1"), ("0.30000000000000004", "General", "0.3"), ("6222000012345678", "General", "6.222E+15"), ("12345678901", "General", "12345678901"), ("1E-7", "General", "1E-7"),
+        ("1234.565", "#,##0.00", "1,234.57"), ("-1234.5", "#,##0.00", "-1,234.50"), ("0.5", "0%", "50%"), ("0.1234", "0.00%", "12.34%"), ("1234.5", "¥#,##0.00", "¥1,234.50"), ("1234.5", '"￥"#,##0.0', "￥1,234.5"), ("5", "000", "005"), ("0.5", "#.##", ".5"), ("3", "0.##", "3"),
+        ("-7", "0;(0)", "(7)"), ("0", '0;-0;"无"', "无"), ("12", '0"元"', "12元"), ("6222000012345678", "0", "6222000012345678"), ("1234567", "[$¥-804]#,##0", "¥1,234,567"),
+        ("45292", "m/d/yy", "1/1/24"), ("45292", "yyyy-mm-dd", "2024-01-01"), ("45351", 'yyyy"年"m"月"d"日"', "2024年2月29日"), ("45292.75", "yyyy/m/d h:mm", "2024/1/1 18:00"), ("0.5", "h:mm AM/PM", "12:00 PM"), ("45292.0104166667", "mm:ss", "15:00"), ("1", "yyyy-mm-dd", "1900-01-01"), ("45292", "d-mmm-yy", "1-Jan-24"),
+        ("abc", "0.00", "abc"), ("", "0", ""), ("15", "@", "15"),
+    ]
+    assert [(x, c, shown(x, c)) for x, c, _ in cases] == cases
+    assert shown("43830", "yyyy-mm-dd", True) == "2024-01-01"
