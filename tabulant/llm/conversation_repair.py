@@ -219,13 +219,15 @@ def _faulted(rows: DataFrame) -> DataFrame:
     fault = (
         F.when(F.col("_gone"), None)
         .when(F.col("_end") == "", "blank")
-        .when(F.row_number().over(again) > 1, "duplicate")
+        .when(F.col("_nth") > 1, "duplicate")
         .when(~F.col("_end").isin(".", "!", "?"), "truncated")
     )
+    # of rows that are equal in everything, those that repeat the first come after it
     return (
-        rows.withColumn("_fault", fault)
+        rows.withColumn("_nth", F.row_number().over(again))
+        .withColumn("_fault", fault)
         .drop("_end")
-        .sortWithinPartitions("_conv", F.col("_turn").asc_nulls_first(), "_role", "_text")
+        .sortWithinPartitions("_conv", F.col("_turn").asc_nulls_first(), "_role", "_text", "_nth")
         .select("_conv", "_turn", "_role", "_text", "_gone", "_fault")
     )
 

@@ -168,6 +168,54 @@ FROM a{rounds} a JOIN c{rounds} c ON c.n = a.n
 """
 
 
+def _op13_sql() -> str:
+    """CRC-32 bit by bit, the Viterbi steps as a fold over a conversation's rows, and the edits replayed on them."""
+    never = 1_000_000_000
+
+    def more(x: str, letters: str, cost: str) -> str:
+        return f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letters}'}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    keep = lambda x, initial: more(x, "K", f"CASE WHEN r.go OR r.i <> '{initial}' THEN {never} ELSE r.cut END")
+    rerole = lambda x: more(x, "R", f"CASE WHEN r.go THEN {never} ELSE r.cut + 3 END")
+    user = least("s.n2", more("s.n0", "I", "3"), more("s.n1", "I", "3"), more("s.n3", "I", "3"))
+    assistant = least("s.n3", more("s.n2", "I", "3"), more("s.n0", "II", "6"), more("s.n1", "II", "6"))
+    after_turn = [f(x) for x in ("s.n0", "s.n1", "p.n3") for f in (lambda x: keep(x, "u"), rerole)]
+    step = f"""list_transform([{{'n2': {user}, 'n3': {assistant}}}], lambda p: {{'i': r.i, 'go': r.go, 'cut': r.cut, 'n0': {more("s.n0", "D", "4")},
+      'n1': {least(more("s.n1", "D", "4"), keep("s.n0", "s"))}, 'n2': {least(more("p.n2", "D", "4"), *after_turn)}, 'n3': {least(more("p.n3", "D", "4"), keep("p.n2", "a"), rerole("p.n2"))}}})[1]"""
+    start, none = "{'c': 0::BIGINT, 'a': ''}", f"{{'c': {never}::BIGINT, 'a': ''}}"
+    states = f"'n0': {start}, 'n1': {none}, 'n2': {none}, 'n3': {none}"
+    end = least("fin.n0", more("fin.n1", "II", "6"), more("fin.n2", "I", "3"), "fin.n3")
+    at = "rows[s.r + 1]"
+    replay = f"""{{'l': x.l, 'r': s.r + CASE WHEN x.l = 'I' THEN 0 ELSE 1 END, 'st': CASE WHEN x.l = 'D' THEN s.st WHEN x.l = 'K' AND s.st = 0 AND {at}.i = 's' THEN 1 WHEN s.st = 2 THEN 3 ELSE 2 END,
+      'o': CASE WHEN x.l = 'D' THEN s.o ELSE list_append(s.o, CASE WHEN x.l = 'K' THEN {at}.role WHEN s.st = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN x.l = 'I' THEN '' ELSE {at}.text END) END}}"""
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, {crc} % 20 AS hit FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM h CROSS JOIN (VALUES (0), (1)) v(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault FROM d),
+g AS (SELECT conv_id, list({{'role': role, 'text': text, 'fault': fault, 'i': i}} ORDER BY turn NULLS FIRST, role, text, fault = 'duplicate') AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+      count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM f GROUP BY conv_id),
+v AS (SELECT *, list_reduce(list_prepend({{'i': '', 'go': false, 'cut': 0::BIGINT, {states}}},
+        list_transform(rows, lambda r: {{'i': r.i, 'go': r.fault IN ('blank', 'duplicate'), 'cut': CASE WHEN r.fault = 'truncated' THEN 3::BIGINT ELSE 0::BIGINT END, {states}}})),
+      lambda s, r: {step}) AS fin FROM g),
+e AS (SELECT *, {end} AS best FROM v),
+o AS (SELECT *, list_reduce(list_prepend({{'l': '', 'r': 0::BIGINT, 'st': 0, 'o': []::VARCHAR[]}}, list_transform(range(1, length(best.a) + 1), lambda k: {{'l': substr(best.a, k, 1), 'r': 0::BIGINT, 'st': 0, 'o': []::VARCHAR[]}})),
+      lambda s, x: {replay}).o AS said, len(list_filter(range(1, len(rows)), lambda k: (rows[k].i || rows[k + 1].i) NOT IN ('su', 'ua', 'au'))) AS illegal FROM e)
+SELECT t.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
 ORACLE_SQL = {
     "op1_license_scans": license_sql(),
     "op2_warc": _OP2_SQL,
@@ -175,4 +223,5 @@ ORACLE_SQL = {
     "op8_ngram_jaccard_join": _OP8_SQL,
     "op9_url_filters": _op9_sql(),
     "op11_centroid_clustering": _op11_sql(),
+    "op13_conversation_repair": _op13_sql(),
 }

@@ -2,14 +2,16 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from tabulant.llm import conversation_repair as cr
-from tabulant.llm.queries import op13_conversation_repair
+from tabulant.llm.queries import ORACLE_SQL, op13_conversation_repair
 
 SHAPE = re.compile(r"(s?(ua)+)?\Z")
 SOLID = re.compile(r"[^\x20\x09-\x0D]")
@@ -170,6 +172,22 @@ def test_query_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(rows()), key=str)
 
 
+def test_equal_rows_of_one_turn_follow_their_first(spark):
+    data = [(c, 5, "user", f"{c}.") for c in range(300) for _ in range(6)]
+    got = cr.repair_report(frame(spark, data)).select("audit").distinct().collect()
+    assert [r["audit"] for r in got] == ["KDDDDDI"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_sql(spark, sf):
+    data = f"/root/testdata/{sf}"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not there")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["op13_conversation_repair"]).fetchall()) == sorted(map(tuple, op13_conversation_repair(spark, data).collect()))
+
+
 def test_turns_give_the_digest(spark):
     data = [x for x in rows() if x[0] != 501]
     shown = frame(spark, data)
