@@ -27,6 +27,7 @@ SEQUENCE_HEADER = r"序号|编号|^#\z"
 TOTAL_ROW = r"^(合计|总计|汇总|小计|累计)"
 FEE_LABEL = r"费|平台|服务|合计|小计|总计|汇总|累计|税率|税点|费率|金额|账号|银行|开户|手机|电话|性别|备注|说明|序号|编号|开票|支付|社保|公积金|保险|个税|报酬|收入|商户|订单"
 NOT_A_NAME_COLUMN = r"开户地|税源地|地址|地区|区域|城市|类型|方式|项目"
+FEE_PREFIX = r"^(合计|总计|小计|累计|汇总|平台|服务费|手续费|费率|税率|金额|开票)"
 CARD_HINT = r"(?i)卡|账号|帐号|账户|card"
 LOCATION_HEADER = r"开户地|开户所属地|银行所属地|税源地"
 AMOUNT_EXCLUDED = r"序号|编号|方式|类型|选择|状态|税源地|开户|账号|账户|手机号|电话|身份证|证件|银行|备注|说明|业务|减除|扣除|速算|核定|预扣(?!前)|免税|服务费|个税"
@@ -81,6 +82,16 @@ WORK_TYPES = (
 PROVINCES = (
     "河北", "山西", "辽宁", "吉林", "黑龙江", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南", "湖北", "湖南", "广东", "海南", "四川", "贵州", "云南", "陕西", "甘肃", "青海", "台湾", "内蒙古", "广西", "西藏", "宁夏", "新疆",
 )
+# Border lines read as characters, and quotes and noise at the edges of recognised cells.
+BORDER_PIPES = r"[\x{007C}\x{FF5C}\x{2502}\x{2503}\x{2506}\x{2223}\x{01C0}]"
+EDGE_QUOTES = "\\s\"'“”‘’「『」』"
+EDGE_NOISE = "\\s.,()（）\\[\\]【】《》<>＞＜“”‘’\"'「『」』·、；;:：！!？?～~—–_+"
+# Verbs, kinds and services in task names, words of bank names and of companies.
+TASK_VERB = "^(提供|从事|完成|开展)"
+TASK_KIND = r"(类)?(服务|工作|任务|人员|岗位)\z"
+NAMED_SERVICE = r"(?:提供|从事|完成|开展)([^，。,；;\s]{2,12}?)(?:服务|工作|任务)"
+BANK_WORDS = "中国|股份有限公司|有限责任公司|银行|信用社|农商行|支行|分行|营业部|营业厅|储蓄所|网点"
+ENTITY_WORDS = "有限公司|人力资源|服务|广州|佛山"
 # Characters that recognition confuses in numbers, with what they stand for.
 MISREAD = ("日OoＯLlI｜&＆。，．,", "00001111......")
 # Target templates: headers in order, and the type that fills each.

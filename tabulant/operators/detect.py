@@ -109,7 +109,7 @@ def column_profile(tables: DataFrame, rows: DataFrame) -> DataFrame:
     here, like = v != "", is_amount_like("cell")
     first = F.col("_at") <= SAMPLE
     digits = F.rlike(F.regexp_replace(v, r"\s+", ""), F.lit(r"^[0-9]{10,23}\z"))
-    namelike = F.rlike(v, F.lit(r"^[\x{4e00}-\x{9fff}·]{2,6}\z")) & ~F.rlike(v, F.lit(r"^(合计|总计|小计|累计|汇总|平台|服务费|手续费|费率|税率|金额|开票)"))
+    namelike = F.rlike(v, F.lit(r"^[\x{4e00}-\x{9fff}·]{2,6}\z")) & ~F.rlike(v, F.lit(C.FEE_PREFIX))
     facts = cells.groupBy("source_id", "col_idx").agg(
         F.count_if(first & here).alias("filled12"),
         F.count_if(first & here & digits).alias("cards12"),

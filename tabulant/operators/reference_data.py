@@ -75,7 +75,7 @@ def _first_containing(platforms: Column, word: str) -> Column:
 
 def entity_platform(entity: Column, platforms: Column, own: tuple = (), defaults: tuple = C.SIGN_ENTITIES) -> Column:
     """Own mapping, default mapping, then the first four characters without company words."""
-    bare = F.substring(F.regexp_replace(entity, "有限公司|人力资源|服务|广州|佛山", ""), 1, 4)
+    bare = F.substring(F.regexp_replace(entity, C.ENTITY_WORDS, ""), 1, 4)
     fuzzy = F.when(bare != "", F.get(F.filter(platforms, lambda p: F.contains(p, bare)), F.lit(0)))
     return F.coalesce(mapped_platform(entity, own, platforms), mapped_platform(entity, defaults, platforms), fuzzy, F.lit(""))
 
