@@ -1,139 +1,91 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are dealt into blocks. With target weight w = a / A (A slots
-make a period), block k of a source is released at floor(k / w) and due at
+Rows of a source are dealt into blocks. With target weight w, a share of all
+slots, block k of a source is released at floor(k / w) and due at
 ceil((k + 1) / w); earliest-deadline-first over released blocks then meets every
-deadline, so after any t slots a source has had between w t - 1 and w t + 1
-blocks. Release times and deadlines repeat every A slots: the schedule of one
-period (A slots, a parameter) is made once, and the slot of any block is
+deadline, so after any t slots a source that has not run out has had more than
+w t - 1 and fewer than w t + 1 blocks. Weights are exact fractions, so this holds
+for any weights, any number of sources and any number of slots.
 
-    (block div a) * A + slot_in_period(source, block mod a).
-
-With more than ``MAX_STREAMS`` sources the schedule has two levels. The sources
-of greatest weight keep streams of their own; the others are dealt to pools,
-each a stream with the sum of its sources' weights. The blocks of a pool are
-given to its sources by the same rule, with exact weights, for as many blocks as
-they have. Block k of a source with share w' of its pool is released with the
-pool's block floor(k / w') and due with block ceil((k + 1) / w') - 1, so its
-slots deviate by less than one block within the pool, and the pool by less than
-one from its weight.
+What comes next depends on all that came before, so one task goes through the
+blocks: it holds a few numbers per source, and writes one light row per block
+of ``BLOCK_ROWS`` documents as it goes. Rows find their block's slot by a keyed
+join, which Spark broadcasts where the schedule is small.
 
 The rank of a row in its source does not need a window over the source: rows
 are hashed into chunks of about ``CHUNK_ROWS``, chunk counts are summed up, and
-only rows of one chunk are numbered together. A source that runs out leaves its
-slots idle; the order of the rest is as before.
+only rows of one chunk are numbered together. Where sources have run out and no
+block is released, slots stay idle.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulant.llm.common import materialise
+from tabulant.llm.common import discard, materialise
 
-PERIOD = 10_000
 BLOCK_ROWS = 256
 CHUNK_ROWS = 50_000
-#: Given weights are met exactly where a period of so many slots can (so thirds are thirds); others are taken in parts of 1 / PERIOD.
-EXACT_PERIOD = 100_000
-#: Default target weights are, in parts of 1 / PERIOD, proportional to rows ** TEMPERATURE.
+#: Default target weights are proportional to rows ** TEMPERATURE.
 TEMPERATURE = 0.7
-#: Streams of the first level, so its schedule stays bounded; half are pools when there are more sources.
-MAX_STREAMS = 2_000
-
-
-def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots per period by largest remainder, at least one for each stream of positive weight."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} streams don't fit in a period of {period} slots")
-    # Streams below one slot get one, from the lightest; the others share the rest by weight.
-    out: dict[str, int] = {}
-    rest, total = period, sum(weights.values())
-    for s in sorted(weights, key=lambda s: (weights[s], s)):
-        if rest * weights[s] >= total or len(out) == len(weights) - 1:
-            break
-        out[s] = 1
-        rest, total = rest - 1, total - weights[s]
-    exact = {s: rest * w / total for s, w in weights.items() if s not in out}
-    out |= {s: math.floor(x) for s, x in exact.items()}
-    short = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:short]:
-        out[s] += 1
-    return out
-
-
-def exact_slots(weights: dict[str, float], most: int = EXACT_PERIOD) -> dict[str, int] | None:
-    """Slots of the shortest period that gives every weight exactly; None beyond ``most`` slots."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    total = sum(Fraction(w) for w in weights.values())
-    shares = {s: (Fraction(w) / total).limit_denominator(most) for s, w in weights.items()}
-    near = all(abs(f - Fraction(weights[s]) / total) < Fraction(1, 10**12) for s, f in shares.items())
-    period = math.lcm(*(f.denominator for f in shares.values()))
-    if not near or sum(shares.values()) != 1 or period > most:
-        return None
-    return {s: int(f * period) for s, f in shares.items()}
-
-
-def edf_schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(stream, k, slot, release, deadline) of one period, earliest deadline first."""
-    period = sum(slots.values())
-    releases: list[tuple[int, int, str, int]] = []
-    for s, a in sorted(slots.items()):
-        releases += [(k * period // a, -((-(k + 1) * period) // a), s, k) for k in range(a)]
-    releases.sort()
-    ready: list[tuple[int, str, int, int]] = []
-    out, nxt = [], 0
-    for t in range(period):
-        while nxt < len(releases) and releases[nxt][0] <= t:
-            r, d, s, k = releases[nxt]
-            heapq.heappush(ready, (d, s, k, r))
-            nxt += 1
-        d, s, k, r = heapq.heappop(ready)
-        out.append((s, k, t, r, d))
-    return out
+#: Blocks of the schedule that are written together.
+_BATCH = 50_000
 
 
-def shared_schedule(sources: list[tuple[str, float, int]]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, turn, release, deadline) of a pool's sources (name, weight, blocks), earliest deadline first.
+def edf_schedule(sources: list[tuple[str, float, int]]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks of the sources (name, weight, blocks), earliest deadline first.
 
-    Turns are blocks of the pool. Weights are taken as fractions of whole
-    numbers, so no rounding builds up; where a source has run out and none is
-    released, the turn stays idle.
+    Ties go to the lesser name. Weights are taken as the decimal numbers that
+    they print as, so 0.7 is seven tenths and 1/3 with 2/3 is a third.
     """
-    exact = {s: Fraction(w) for s, w, _ in sources}
-    total = sum(exact.values())
-    step = {s: total / w for s, w in exact.items()}
+    exact = {s: Fraction(repr(float(w))) for s, w, _ in sources}
+    whole = math.lcm(*(f.denominator for f in exact.values()))
+    weight = {s: int(f * whole) for s, f in exact.items()}
+    total = sum(weight.values())
     blocks = {s: n for s, _, n in sources}
-    waiting = [(0, s, 0) for s, _, n in sources if n]  # a source's next block is released when the last one is due, or one turn before
+    waiting = [(0, s, 0) for s, n in blocks.items() if n]  # of each source the next block; by the time that it is released the one before is had
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out, t = [], 0
+    t = 0
     while waiting or ready:
         if not ready:
             t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             r, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((k + 1) * step[s]), s, k, r))
-        d, s, k, r = heapq.heappop(ready)
-        out.append((s, k, t, r, d))
+            heapq.heappush(ready, (-(-(k + 1) * total // weight[s]), s, k, r))
+        due, s, k, r = heapq.heappop(ready)
+        yield s, k, t, r, due
         t += 1
         if k + 1 < blocks[s]:
-            heapq.heappush(waiting, (math.floor((k + 1) * step[s]), s, k + 1))
-    return out
+            heapq.heappush(waiting, ((k + 1) * total // weight[s], s, k + 1))
 
 
-_SHARED = "_stream string, _block long, _turn long, _from long, _to long"
+_SCHEDULE = "_stream string, _block long, _slot long, _release long, _due long"
+_SCHEDULE_ARROW = pa.schema([("_stream", pa.string()), *[(c, pa.int64()) for c in ("_block", "_slot", "_release", "_due")]])
 
 
-def _share(pool: pd.DataFrame) -> pd.DataFrame:
-    own = sorted(zip(pool["_stream"], pool["_weight"], pool["_blocks"].astype(int)))
-    return pd.DataFrame(shared_schedule(own), columns=["_stream", "_block", "_turn", "_from", "_to"])
+def _schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sources = sorted((r["_stream"], r["_weight"], r["_blocks"]) for b in batches for r in b.to_pylist())
+    if not sources:
+        return
+    total, least = sum(w for _, w, _ in sources), min(w / n for _, w, n in sources)
+    if total / least > 2.0**62:
+        raise ValueError("target weights lie so far apart that slot numbers do not fit in a long")
+    rows: list[tuple[str, int, int, int, int]] = []
+    for row in edf_schedule(sources):
+        rows.append(row)
+        if len(rows) == _BATCH:
+            yield pa.record_batch(list(map(list, zip(*rows))), schema=_SCHEDULE_ARROW)
+            rows = []
+    if rows:
+        yield pa.record_batch(list(map(list, zip(*rows))), schema=_SCHEDULE_ARROW)
 
 
 def _weighted(sizes: DataFrame, weights: dict[str, float] | None, block_rows: int) -> DataFrame:
@@ -149,36 +101,16 @@ def _weighted(sizes: DataFrame, weights: dict[str, float] | None, block_rows: in
     return out
 
 
-def _scheduled(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None, period: int, block_rows: int, chunk_rows: int) -> DataFrame:
+def _scheduled(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None, block_rows: int, chunk_rows: int) -> DataFrame:
     """``docs`` with _stream, _block, _place, _slot, _release, _due."""
-    spark = docs.sparkSession
     named = F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n"))
     rows = docs.withColumn("_stream", named)
-    sizes = rows.groupBy("_stream").agg(F.count(F.lit(1)).alias("_rows"))
-    streams = min(MAX_STREAMS, period)
-    found = _weighted(sizes, weights, block_rows).orderBy(F.desc("_weight"), "_stream").limit(streams + 1).collect()
-    shared = None
-    if len(found) > streams:
-        own = max(1, streams // 2)
-        sizes = materialise(sizes, "mixing-sources")
-        n_rows = sizes.agg(F.sum("_rows")).first()[0]
-        target = {r["_stream"]: r["_weight"] for r in found[:own]}
-        heads = spark.createDataFrame([(s, s) for s in target], "_stream string, _head string")
-        # "p" starts no stream's name
-        pool = F.concat(F.lit("p"), F.pmod(F.xxhash64("_stream"), F.lit(max(1, streams - own))).cast("string"))
-        rest = _weighted(sizes, weights, block_rows).join(F.broadcast(heads), "_stream", "left_anti").withColumn("_top", pool)
-        target |= {r["_top"]: r["_weight"] for r in rest.groupBy("_top").agg(F.sum("_weight").alias("_weight")).collect()}  # one row a pool
-        shared = materialise(rest.groupBy("_top").applyInPandas(_share, _SHARED), "mixing-shared")
-    else:
-        n_rows = sum(r["_rows"] for r in found)
-        target = {r["_stream"]: r["_weight"] for r in found}
-    slots = (exact_slots(target) if weights and shared is None else None) or slots_of(target, period) if target else {}
-    period = sum(slots.values())
-    plan = edf_schedule(slots) if slots else []
-    schedule = spark.createDataFrame([(s, k, t) for s, k, t, _, _ in plan], "_top string, _k long, _at long")
-    per_stream = spark.createDataFrame(sorted(slots.items()), "_top string, _slots long")
-
-    chunks = max(1, math.ceil(n_rows / chunk_rows))
+    sizes = materialise(rows.groupBy("_stream").agg(F.count(F.lit(1)).alias("_rows")), "mixing-sources")
+    sources = _weighted(sizes, weights, block_rows).select("_stream", "_weight", "_blocks").coalesce(1)
+    schedule = materialise(sources.mapInArrow(_schedule, _SCHEDULE), "mixing-schedule")
+
+    chunks = max(1, math.ceil((sizes.agg(F.sum("_rows")).first()[0] or 0) / chunk_rows))
+    discard(sizes)
     rows = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_chunk", F.pmod(F.col("_h"), F.lit(chunks)))
     parts = rows.groupBy("_stream", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_stream").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,29 +118,12 @@ def _scheduled(docs: DataFrame, id_col: str, source_col: str, weights: dict[str,
     own_rows = Window.partitionBy("_stream", "_chunk").orderBy("_h", id_col)
     ranked = rows.withColumn("_rn", F.row_number().over(own_rows) - 1).join(starts, ["_stream", "_chunk"])
     ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_rn")).withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    # _turn is the row's block in its stream of the first level, which may be had from _from on and before _to.
-    if shared is None:
-        ranked = ranked.withColumns({"_top": F.col("_stream"), "_turn": F.col("_block"), "_from": F.col("_block"), "_to": F.col("_block") + 1})
-    else:
-        ranked = ranked.join(F.broadcast(heads), "_stream", "left").join(shared, ["_stream", "_block"], "left")
-        ranked = ranked.withColumns({"_top": F.coalesce("_head", pool), "_turn": F.coalesce("_turn", "_block"), "_from": F.coalesce("_from", "_block"), "_to": F.coalesce("_to", F.col("_block") + 1)})
-    # Both tables have at most ``period`` rows.
-    ranked = ranked.join(F.broadcast(per_stream), "_top").withColumn("_k", F.col("_turn") % F.col("_slots"))
-    out = ranked.join(F.broadcast(schedule), ["_top", "_k"])
-    turns = lambda block: F.floor(F.col(block) / F.col("_slots")) * period
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "_stream",
-        "_block",
-        (F.col("_rank") % block_rows).alias("_place"),
-        (turns("_turn") + F.col("_at")).alias("_slot"),
-        (turns("_from") + F.floor((F.col("_from") % F.col("_slots")) * period / F.col("_slots"))).alias("_release"),
-        (turns("_to") + F.ceil((F.col("_to") % F.col("_slots")) * period / F.col("_slots"))).alias("_due"),
-    )
+    out = ranked.join(schedule, ["_stream", "_block"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_stream", "_block", (F.col("_rank") % block_rows).alias("_place"), "_slot", "_release", "_due")
 
 
 def mixing_schedule(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """One row per input row: doc_id, source, block, place, slot, release, deadline.
 
@@ -218,12 +133,12 @@ def mixing_schedule(
     result.
     """
     light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
-    out = _scheduled(light, "doc_id", "source", weights, period, block_rows, chunk_rows)
+    out = _scheduled(light, "doc_id", "source", weights, block_rows, chunk_rows)
     return out.select("doc_id", "source", F.col("_block").alias("block"), F.col("_place").alias("place"), F.col("_slot").alias("slot"), F.col("_release").alias("release"), F.col("_due").alias("deadline"))
 
 
 def mixed(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """All rows and columns of ``docs``, dealt out and sorted in mixed order.
 
@@ -232,6 +147,6 @@ def mixed(
     """
     renamed = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
-    out = _scheduled(rows, renamed[id_col], renamed[source_col], weights, period, block_rows, chunk_rows)
+    out = _scheduled(rows, renamed[id_col], renamed[source_col], weights, block_rows, chunk_rows)
     out = out.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
     return out.select(*[F.col(n).alias(c) for c, n in renamed.items()])

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -253,31 +254,60 @@ def test_scores_of_nothing(spark):
 # --- mixing -----------------------------------------------------------------
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    slots = mixing.slots_of({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.001}, 1000)
-    assert sum(slots.values()) == 1000
-    done = Counter()
-    for s, k, t, release, deadline in mixing.edf_schedule(slots):
-        assert k == done[s] and release <= t < deadline
-        done[s] += 1
-        for x, a in slots.items():
-            assert abs(done[x] - a * (t + 1) / 1000) < 1
-    assert done == slots
+def naive_schedule(sources):
+    """The slots made anew: at each of them the released block with the earliest deadline, all sources looked at."""
+    exact = {s: Fraction(repr(float(w))) for s, w, _ in sources}
+    total, had, t, out = sum(exact.values()), Counter(), 0, []
+    windows = {(s, k): (math.floor(k * total / exact[s]), math.ceil((k + 1) * total / exact[s])) for s, _, n in sources for k in range(n)}
+    while any(had[s] < n for s, _, n in sources):
+        found = []
+        for s, _, n in sources:
+            k = had[s]
+            if k < n and windows[s, k][0] <= t:
+                found.append((windows[s, k][1], s, k, windows[s, k][0]))
+        if found:
+            due, s, k, release = min(found)
+            out.append((s, k, t, release, due))
+            had[s] += 1
+        t += 1
+    return out
 
 
-def test_given_weights_are_exact_over_many_periods(spark):
-    assert mixing.exact_slots({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2}
-    assert mixing.exact_slots({"a": 0.7, "b": 0.2, "c": 0.1}) == {"a": 7, "b": 2, "c": 1}
-    assert mixing.exact_slots({"a": 2**0.5, "b": 1.0}) is None
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_deviates_by_less_than_a_block(seed):
+    r = random.Random(seed)
+    sources = [(f"s{k:02}", r.choice([r.random() + 0.05, r.random() ** 3 + 0.02, 3.0, 2**0.5]), r.randrange(0, 25)) for k in range((1, 2, 3, 5, 9, 14)[seed])]
+    got = list(mixing.edf_schedule(sources))
+    assert got == naive_schedule(sources)
+    total = sum(Fraction(repr(w)) for _, w, _ in sources)
+    for s, w, n in sources:
+        share, slots = Fraction(repr(w)) / total, [t for x, _, t, _, _ in got if x == s]
+        assert len(slots) == n
+        for k, t in enumerate(slots):  # before and after each slot of its own; between them its share only grows
+            assert k - share * t < 1 and share * t - k < 1 and abs(k + 1 - share * (t + 1)) < 1
+    assert all(release <= t < due for _, _, t, release, due in got)
+
+
+def test_weights_of_the_schedule():
+    assert [s for s, *_ in mixing.edf_schedule([("a", 1 / 3, 2), ("b", 2 / 3, 4)])] == ["b", "a", "b", "b", "a", "b"]
+    hot = list(mixing.edf_schedule([("hot", 0.5, 500), *[(f"s{k}", 0.5 / 400, 1) for k in range(400)]]))
+    assert sum(s == "hot" for s, *_ in hot[:600]) in range(299, 302)
+    far = pa.RecordBatch.from_pylist([{"_stream": "va", "_weight": 1.0, "_blocks": 3}, {"_stream": "vb", "_weight": 1e-300, "_blocks": 2}])
+    with pytest.raises(ValueError, match="far apart"):
+        list(mixing._schedule(iter([far])))
+    assert list(mixing._schedule(iter([]))) == []
+
+
+def test_given_weights_are_exact_over_many_slots(spark):
     rows = [(k, "x", "en", "ab"[k % 3 > 0], 1, 7, "x", 1, "k", 5, 9) for k in range(6000)]
     got = mixing.mixing_schedule(cases.frame(spark, rows), weights={"a": 1 / 3, "b": 2 / 3}, block_rows=2).collect()
     assert len({r["slot"] for r in got}) == 3000
-    assert max(deviation(got, "a", 1 / 3, 2), deviation(got, "b", 2 / 3, 2)) < 1
+    assert max(deviation(got, "a", Fraction(1, 3)), deviation(got, "b", Fraction(2, 3))) < 1
 
 
 def test_mixing_schedules_every_row_once(spark):
     rows = cases.documents()
-    got = mixing.mixing_schedule(cases.frame(spark), period=20, block_rows=4, chunk_rows=30).collect()
+    got = mixing.mixing_schedule(cases.frame(spark), block_rows=4, chunk_rows=30).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
     assert len({(r["slot"], r["place"]) for r in got}) == len(got)
     by = defaultdict(list)
@@ -290,45 +320,36 @@ def test_mixing_schedules_every_row_once(spark):
         assert [s for *_, s in own] == sorted(s for *_, s in own)
 
 
-def deviation(got, source, weight, block_rows):
+def deviation(got, source, weight):
     """Of the blocks had after each slot from weight times slots, while the source lasts."""
     slots = sorted({r["slot"] for r in got if r["source"] == source})
     return max(max(abs(k - weight * t), abs(k + 1 - weight * (t + 1))) for k, t in enumerate(slots))
 
 
 @pytest.mark.parametrize("given", [True, False])
-def test_every_source_has_its_own_slots_at_any_number(spark, monkeypatch, given):
-    monkeypatch.setattr(mixing, "MAX_STREAMS", 12)
+def test_every_source_has_its_own_slots_at_any_number(spark, given):
     sizes = {"hot": 400, **{f"s{k}": 8 + k % 5 for k in range(60)}}
     names = [s for s, n in sizes.items() for _ in range(n)]
     rows = [(k, "t", "en", s, 0, 7, "x", 1, "k", 5, 9) for k, s in enumerate(names)]
     weights = {"hot": 60.0, **{s: 1.0 for s in sizes if s != "hot"}} if given else None
-    got = mixing.mixing_schedule(cases.frame(spark, rows), weights=weights, period=1200, block_rows=4, chunk_rows=100).collect()
+    got = mixing.mixing_schedule(cases.frame(spark, rows), weights=weights, block_rows=4, chunk_rows=100).collect()
     assert Counter(r["source"] for r in got) == sizes and len({(r["slot"], r["place"]) for r in got}) == len(got)
     target = weights or {s: n**mixing.TEMPERATURE for s, n in sizes.items()}
-    total = sum(target.values())
-    for r in got:
-        assert r["release"] <= r["slot"] < r["deadline"]
-    assert deviation(got, "hot", target["hot"] / total, 4) < 1.1
+    exact = {s: Fraction(repr(w)) for s, w in target.items()}
     for s in sizes:
-        assert deviation(got, s, target[s] / total, 4) < 1.35  # a pool's source: one block, and its share of one of the pool
-    assert all(len({r["source"] for r in got if r["slot"] == t}) == 1 for t in {r["slot"] for r in got})
-
-
-def test_pool_turns():
-    got = mixing.shared_schedule([("a", 0.1, 9), ("b", 0.2, 20), ("c", 0.7, 3), ("d", 1e-9, 1)])
-    assert Counter(s for s, *_ in got) == {"a": 9, "b": 20, "c": 3, "d": 1}
-    assert all(r <= t < d for _, _, t, r, d in got) and len({t for _, _, t, _, _ in got}) == len(got)
+        assert deviation(got, s, exact[s] / sum(exact.values())) < 1
+    want = {(s, k): t for s, k, t, _, _ in naive_schedule([("v" + s, target[s], -(-n // 4)) for s, n in sizes.items()])}
+    assert {("v" + r["source"], r["block"]): r["slot"] for r in got} == want
 
 
-def test_slots_of_heavy_streams_are_not_cut_by_light_ones():
-    slots = mixing.slots_of({"hot": 0.5, **{f"s{k}": 0.5 / 400 for k in range(400)}}, 1000)
-    assert slots["hot"] == 500 and sum(slots.values()) == 1000 and min(slots.values()) == 1
+def test_weights_have_to_name_every_source(spark):
+    with pytest.raises(ValueError, match="no positive target weight"):
+        mixing.mixing_schedule(cases.frame(spark), weights={"a": 1.0, "b": 0.0})
 
 
 def test_mixed_keeps_rows_and_order(spark):
     rows = [(k, f"t{k}", "en", ("a", "b")[k % 4 == 0], 0, 7, "x", 1, "k", 5, 9) for k in range(400)]
-    out = mixing.mixed(cases.frame(spark, rows), weights={"a": 3.0, "b": 1.0}, period=4, block_rows=5)
+    out = mixing.mixed(cases.frame(spark, rows), weights={"a": 3.0, "b": 1.0}, block_rows=5)
     got = out.collect()
     assert sorted(r["doc_id"] for r in got) == list(range(400)) and out.columns == cases.frame(spark, []).columns
     first = Counter(r["source"] for r in got[:200])
