@@ -955,8 +955,11 @@ def fan_out(spark, d):
     c = _t(spark, d, "customer")
     rows = c.select(F.col("c_mktsegment").alias("source_id"), F.col("c_custkey").alias("row_idx"), F.array(F.col("c_name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("cells"))
     chosen = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "source_id string")
-    out = X.fan_out(rows, {"name": 0, "amount": 1}, [X.TEMPLATES[k] for k in ("yidao", "shenbianyun", "youyi")], chosen)
-    full = lambda v: F.when(F.rlike(v, F.lit(r"^-?[0-9]+(\.[0-9]{1,2})?\z")) & (v != "0"), v.cast("decimal(18,2)").cast("string")).otherwise(v)
+    templates = [X.TEMPLATES[k] for k in ("yidao", "shenbianyun", "youyi")]
+    out = X.fan_out(rows, {"name": 0, "amount": 1}, templates, chosen)
+    # The amount's own place, since an amount of zero is written like the constants of other columns.
+    place = F.coalesce(*[F.when(F.col("template") == t.name, t.headers.index(dict(t.fields)["amount"])) for t in templates])
+    full = lambda v, i: F.when(i == place, F.coalesce(v.try_cast("decimal(18,2)").cast("string"), v)).otherwise(v)
     return out.select("template", "source_id", "row_idx", F.array_join(F.transform("cells", full), "|").alias("line"))
 
 

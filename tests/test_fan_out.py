@@ -41,3 +41,17 @@ def test_counts_come_with_the_rows(spark):
     out, counts = dry_run.prepared(grid.limit(0), types, [2])
     out.write.format("noop").mode("overwrite").save()
     assert counts.get()["rows_out"] == 0
+
+
+def test_amounts_of_zero_are_written_in_full(spark, tmp_path):
+    import duckdb
+    from tabulant.plans import queries as Q
+
+    balances = [0.0, -0.0, 0.5, -12.3, 7.0, 1234567.89, 0.004, 10.0]
+    rows = [(k, f"Customer#{k:09d}", k % 3, b, ("BUILDING", "MACHINERY", "FURNITURE")[k % 3]) for k, b in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = sorted(duckdb.sql(Q.ORACLE_SQL["fan_out"]).fetchall())
+    got = Q.QUERIES["fan_out"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("template", "source_id", "row_idx", "line").collect()) == want
+    assert any(line.endswith("|0.00") for _, _, _, line in want)
