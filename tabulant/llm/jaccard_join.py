@@ -29,9 +29,10 @@ in bounded buckets, after tasks have combined their own: a task sends one entry
 per signature, so a signature that a third of all documents share stays small.
 
 Groups that meet are settled without all their pairs. One member, the pivot, is
-compared with the others. A group of up to ``SMALL`` members that is still in
-several components then compares those of different components. A larger one is
-entered anew, by what tells its members from the pivot: let D_x count the
+compared with the others. Large groups that overlap share one, the heaviest that
+any of their members met, so that few families come of them. A group of up to
+``SMALL`` members (``ANEW`` times that among those entered anew) that is still in several
+components then compares those of different components. A larger one is entered anew, by what tells its members from the pivot: let D_x count the
 shingles in which x and the pivot differ. Two members differ in D_x + D_y less
 twice the differences they share, so if at least one is not linked to the pivot
 (if both are, nothing is left to find), they must share
@@ -68,6 +69,10 @@ BAND_RATIO = 1.5
 COMMON = 0.005
 #: Groups of up to so many members may compare all their pairs.
 SMALL = 128
+#: So many times larger may they be where they were entered anew: members of one difference mostly share further ones, so entering such groups again would multiply them.
+ANEW = 32
+#: Cells of sketches compared at once.
+CELLS = 1 << 22
 #: Share of a group's members beyond which a difference from the pivot is entered last. Bounds the list of such differences.
 FREQUENT = 0.01
 #: Bands of the number of differences from a pivot.
@@ -506,16 +511,21 @@ def _plausible_in_groups(p: int, q: int):
     """Rows sorted by sig, a bounded group at a time: pairs of different components whose sketches don't rule them out."""
 
     def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        _, ids, comps, sizes, sketches = zip(*rows)
+        # Of two members in different components, one is not in the largest: those come first and are held against all after them.
+        names, at, counts = np.unique([r[2] for r in rows], return_inverse=True, return_counts=True)
+        largest = at == np.argmax(counts)
+        _, ids, comps, sizes, sketches = zip(*[rows[i] for i in np.argsort(largest, kind="stable")])
         ids, comps, sizes, cells = np.array(ids), np.array(comps), np.array(sizes), _folded(sketches)
+        step = max(1, CELLS // cells.shape[1])
         left: list[int] = []
         right: list[int] = []
-        for i in range(len(rows) - 1):
+        for i in range(len(rows) - int(largest.sum())):
             n, m = sizes[i], sizes[i + 1 :]
-            fit = np.flatnonzero((comps[i + 1 :] != comps[i]) & (q * n >= p * m) & (q * m >= p * n)) + i + 1
-            near = fit[np.abs(cells[fit] - cells[i]).sum(axis=1) <= (sizes[fit] + n) * (q - p) // (q + p)]
-            left += [int(ids[i])] * len(near)
-            right += ids[near].tolist()
+            every = np.flatnonzero((comps[i + 1 :] != comps[i]) & (q * n >= p * m) & (q * m >= p * n)) + i + 1
+            for fit in (every[k : k + step] for k in range(0, len(every), step)):
+                near = fit[np.abs(cells[fit] - cells[i]).sum(axis=1) <= (sizes[fit] + n) * (q - p) // (q + p)]
+                left += [int(ids[i])] * len(near)
+                right += ids[near].tolist()
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -633,18 +643,21 @@ class _Join:
         roots = words.groupBy("k1", "k2").agg(F.min("cid").alias("root"), F.count(F.lit(1)).alias("kinds"))
         rooted = words.join(roots, ["k1", "k2"])
         doubtful = rooted.where("kinds > 1 and cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")).distinct()
-        doubtful = materialise(doubtful, "equal-sets")
+        doubtful = materialise(doubtful.withColumn("big", F.lit(False)), "equal-sets")
         if doubtful.isEmpty():
             return rooted.select("k1", "k2", "words", F.col("root").alias("node"), "n")
         ids = doubtful.select(F.col("a").alias("cid")).union(doubtful.select("b")).distinct()
         texts = self.docs.select(F.col("doc_id").alias("cid"), "text").join(ids, "cid", "left_semi")
-        same = materialise(self.with_texts(doubtful.withColumn("big", F.lit(False)), texts).mapInArrow(_verifier(self.n, 1, 1, self.common), _COMPARED).select(F.col("b").alias("cid"), F.lit(True).alias("same")).distinct(), "equal-sets")
+        same = materialise(self.with_texts(doubtful, texts).mapInArrow(_verifier(self.n, 1, 1, self.common), _COMPARED).select(F.col("b").alias("cid"), F.lit(True).alias("same")).distinct(), "equal-sets")
         return rooted.join(same, "cid", "left").select("k1", "k2", "words", F.when((F.col("cid") == F.col("root")) | F.col("same"), F.col("root")).otherwise(F.col("cid")).alias("node"), "n")
 
     @staticmethod
     def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Both texts of written pairs. Pivots are few: only their texts are dealt by ``a``, and where the pairs are broadcast no text is dealt by ``b``."""
+        pivots = materialise(pairs.select("a").distinct(), "pivot-ids")
+        first = texts.join(pivots.withColumnRenamed("a", "cid"), "cid", "left_semi").select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
         two = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        return two.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "big", "text_a", "text_b")
+        return two.join(first, "a").select("a", "b", "big", "text_a", "text_b")
 
     def met(self, entries: DataFrame) -> DataFrame:
         return entries.groupBy("bucket").applyInArrow(lambda t: _meet(t.drop_columns(["bucket"])), "sig long, k1 long")
@@ -654,9 +667,9 @@ class _Join:
         return self.met(entries).join(nodes.groupBy("k1", "node").agg(F.max("n").alias("n")), "k1").select("sig", F.col("node").alias("cid"), "n").distinct()
 
     def members(self, groups: DataFrame) -> None:
-        """Texts and sketches of all that met."""
+        """Sketches of all that met. Their texts are read where pairs are compared, from the documents themselves."""
         ids = groups.select("cid").distinct()
-        self.texts = materialise(self.docs.select(F.col("doc_id").alias("cid"), "text").join(ids, "cid", "left_semi"), "met-texts")
+        self.texts = self.docs.select(F.col("doc_id").alias("cid"), "text")
         self.sketches = materialise(self.sets.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "sketch").join(ids, "cid", "left_semi"), "met-sketches")
 
     def rest(self, groups: DataFrame) -> DataFrame:
@@ -671,7 +684,7 @@ class _Join:
             small = small.join(self.sketches.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
         fit = small.where((self.q * F.col("na") >= self.p * F.col("nb")) & (self.q * F.col("nb") >= self.p * F.col("na")))
         fit = fit.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_plausible(self.p, self.q), "a long, b long").union(plausible).distinct()
-        chosen = fit.withColumn("big", F.lit(False)).union(pairs.where("big").select("a", "b", "big"))
+        chosen = materialise(fit.withColumn("big", F.lit(False)).union(pairs.where("big").select("a", "b", "big")), "chosen")
         return materialise(self.with_texts(chosen, self.texts).mapInArrow(_verifier(self.n, self.p, self.q, self.common), _COMPARED), "compared")
 
 
@@ -699,8 +712,14 @@ def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple
         own = _gathered(groups, _few(groups))
         sized = own.join(own.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
         weights = sized.groupBy("cid").agg(F.sum("size").alias("weight"))
-        best = sized.join(weights, "cid").groupBy("sig").agg(F.max(F.struct("weight", "cid")).alias("x")).select("sig", F.col("x.cid").alias("a"))
-        sized = materialise(sized.join(best, "sig").where("cid <> a").select("sig", "a", F.col("cid").alias("b"), (F.col("size") > SMALL).alias("big")), "pivots")
+        small = SMALL * ANEW if level else SMALL
+        best = sized.join(weights, "cid").groupBy("sig").agg(F.max(F.struct("weight", "cid")).alias("own"), (F.first("size") > small).alias("big"))
+        # A large group takes the heaviest pivot that one of its members has in any large group, be it a member or not.
+        large = sized.where(F.col("size") > small).select("sig", "cid")
+        top = large.join(best, "sig").groupBy("cid").agg(F.max("own").alias("top"))
+        shared = large.join(top, "cid").groupBy("sig").agg(F.max("top").alias("top"))
+        best = best.join(shared, "sig", "left").select("sig", "big", F.coalesce("top", "own")["cid"].alias("a"))
+        sized = materialise(sized.join(best, "sig").where("cid <> a").select("sig", "a", F.col("cid").alias("b"), "big"), "pivots")
         result = join.compared(sized.groupBy("a", "b").agg(F.max("big").alias("big")), rest)
         before, comp = comp, _joined_components(comp, result.where("linked"))
         spent = [groups, sized, result, rest, before]
@@ -726,7 +745,7 @@ def linked(docs: DataFrame, n: int, p: int, q: int, key_bits: int = 64) -> tuple
         groups = materialise(_open(_gathered(met, few), _gathered(comp, few)).select("sig", "cid"), "met")
         discard(*spent, families, met)
         level += 1
-    discard(join.texts, join.sketches)
+    discard(join.sketches)
     return join.every.where("kind = 0"), nodes, comp
 
 
@@ -768,7 +787,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns; null ids stay."""
     found = jaccard_components(docs, id_col, text_col, n, p, q)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
     renamed = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in renamed.items()])
     kept = rows.join(gone, F.col(renamed[id_col]) == F.col("_gone"), "left_anti")

@@ -147,6 +147,30 @@ def test_large_families_are_whole(spark, monkeypatch, n, p, edits):
     assert 5 < len({c for _, _, c in want}) < len(rows) - 20
 
 
+def test_overlapping_large_groups_are_one_family(spark, monkeypatch):
+    """Near copies of one text that meet in many large groups are entered anew once, not once per group."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    written, materialise = [], jaccard_join.materialise
+
+    def counted(df, label):
+        out = materialise(df, label)
+        if label == "met":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    r = random.Random(5)
+    base, rows = [f"f{r.randrange(900)}" for _ in range(100)], []
+    for k in range(300):
+        w = list(base)
+        for at in r.sample(range(100), min(12, 1 + int(r.expovariate(0.35)))):
+            w[at] = f"g{r.randrange(4000)}"
+        rows.append((k, " ".join(w)))
+    got = [tuple(x) for x in jaccard_join.jaccard_components(cases.frame(spark, wide(rows)), n=3, p=90, q=100).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 3, 90, 100))
+    assert sum(written) <= 60 * len(rows), written
+
+
 def test_shared_keys_join_nothing(spark):
     """Sets that share a key, as if hashes had collided, are told apart on their words."""
     rows = cases.plain(cases.documents(seed=3, n=60)) + [(7000, "a b a b a b c"), (7001, "a b a b c"), (7002, "b c d e f g")]
