@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, exact and near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; results are written as Parquet in the shared folder and read again.
+kept; results are written as Parquet in the shared folder and read again. Shuffle
+files go with the action that wrote them, so stages do not add up on the disks.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulant.llm.common import fresh_path, table
+from tabulant.llm.common import drop_spent_shuffles, fresh_path, table
 from tabulant.llm.exact_dedup import drop_exact_copies
 from tabulant.llm.jaccard_join import drop_near_duplicates
 from tabulant.llm.mixing import mixed
@@ -19,10 +20,12 @@ from tabulant.llm.quality_rules import drop_low_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_spent_shuffles(spark)
     return drop_low_quality(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_spent_shuffles(spark)
     return drop_exact_copies(docs)
 
 
@@ -33,6 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the schedule."""
+    drop_spent_shuffles(spark)
     return mixed(docs)
 
 
@@ -42,6 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Spark reads files by size, not by name, so the written order is lost; the
     slots are derived again, which ids and sources alone decide.
     """
+    drop_spent_shuffles(spark)
     return pack_documents(mixed(docs), in_order=True)
 
 

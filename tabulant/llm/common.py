@@ -41,13 +41,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_spent_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of an action when it ends, not when the driver next collects garbage.
+
+    An action that would read them again runs its stages anew.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage in a way that survives lost executors, and gives the
     planner the true size of the table (so small ones are broadcast by Spark's
-    own threshold and large ones are not).
+    own threshold and large ones are not). Shuffle files of the step go with it.
     """
+    drop_spent_shuffles(df.sparkSession)
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
