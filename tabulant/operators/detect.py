@@ -19,6 +19,15 @@ from tabulant.functions.scalars import declared_amount, is_amount_like, js_trim,
 
 SCAN_ROWS = 30
 SAMPLE = 12
+#: Parts into which the rows of one source are dealt, so that a few large sources occupy all tasks.
+PARTS = 64
+
+
+def beside(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows joined with the few facts of their source. Facts are repeated per part; no task holds all rows of a source."""
+    part = F.pmod(F.xxhash64("row_idx"), F.lit(PARTS)).cast("int")
+    every = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", part).join(every, ["source_id", "_part"]).drop("_part")
 
 
 def _any(cells: Column, test) -> Column:
@@ -92,7 +101,7 @@ def detect_tables(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = best.join(after, ["source_id", "header_row"], "left").select(
         "source_id", "header_row", F.when(two, merged_header(F.col("header"), F.col("_next"))).otherwise(F.transform("header", js_trim)).alias("header"), F.when(two, 2).otherwise(1).alias("_lines")
     )
-    body = grid.join(heads, "source_id").where(F.col("row_idx") >= F.col("header_row") + F.col("_lines"))
+    body = beside(grid, heads).where(F.col("row_idx") >= F.col("header_row") + F.col("_lines"))
     body = body.where((F.size(filled(F.col("cells"))) > 0) & ~is_total_row(F.col("cells")) & ~is_repeated_header(F.col("cells")))
     judged = body.withColumn("_person", has_identity(F.col("cells"), F.col("header")))
     dropped = judged.groupBy("source_id").agg(F.count_if(~F.col("_person")).alias("filtered_count"))
@@ -144,14 +153,14 @@ def sum_relations(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     def tried(part: DataFrame, on: DataFrame) -> DataFrame:
         declared = declared_amount(F.get("cells", F.col("total_col")))
         total = F.aggregate("split_cols", F.lit(0.0), lambda a, c: a + F.coalesce(split_amount(F.get(F.col("cells"), c)), F.lit(0.0)))
-        checked = part.join(on, "source_id").withColumn("_d", declared).where(F.col("_d").isNotNull()).withColumn("_ok", F.abs(total - F.col("_d")) <= tolerance(F.col("_d")))
+        checked = beside(part, on).withColumn("_d", declared).where(F.col("_d").isNotNull()).withColumn("_ok", F.abs(total - F.col("_d")) <= tolerance(F.col("_d")))
         sums = checked.groupBy("source_id", "total_col", "split_cols").agg(F.count(F.lit(1)).alias("n"), F.count_if("_ok").alias("ok"))
         return sums.where("n >= 3 and ok >= 0.8 * n")
 
     at = F.row_number().over(Window.partitionBy("source_id").orderBy("row_idx"))
-    head = rows.select("source_id", "cells", at.alias("_at")).where("_at <= 20")
+    head = rows.select("source_id", "row_idx", "cells", at.alias("_at")).where("_at <= 20")
     likely = tried(head, combos).drop("n", "ok")
-    good = tried(rows.select("source_id", "cells"), likely)
+    good = tried(rows.select("source_id", "row_idx", "cells"), likely)
     order = Window.partitionBy("source_id").orderBy(F.desc(F.size("split_cols")), F.desc("ok"), "total_col", F.array_join(F.col("split_cols").cast("array<string>"), ","))
     return good.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("source_id", "total_col", "split_cols", "ok")
 

@@ -123,3 +123,22 @@ def test_remarks_by_preset(spark):
 def test_upper_median(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("a", 3.0), ("b", 5.0), ("c", None), (None, 1.0), (None, 2.0)], "k string, v double")
     assert {r["k"]: r["median"] for r in P.upper_median(rows, ["k"], "v").collect()} == {"a": 3.0, "b": 5.0, None: 2.0}
+
+
+def test_rows_of_one_source_are_dealt_over_tasks(spark):
+    """The facts of a source come to its rows without a task that holds all of them, also where nothing is broadcast."""
+    from tabulant.operators import detect as D
+
+    body = spark.range(1, 3000).select(F.lit("s").alias("source_id"), F.col("id").alias("row_idx"), F.array(F.lit("王辉"), F.lit("110101199003070732"), F.col("id").cast("string")).alias("cells"))
+    head = spark.createDataFrame([("s", 0, ["姓名", "身份证", "金额"])], "source_id string, row_idx long, cells array<string>")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        _, rows = D.detect_tables(head.unionByName(body))
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 2999 and len(sizes) >= 4 and max(sizes) < 1500
