@@ -142,3 +142,13 @@ def test_rows_of_one_source_are_dealt_over_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 2999 and len(sizes) >= 4 and max(sizes) < 1500
+
+
+def test_amounts_are_parsed_once(spark):
+    """A cell is cleaned once per amount, not once for each mention in its checks."""
+    from tabulant.functions import scalars as S
+
+    cells = [("1,200.50",), ("￥ 3",), ("0",), ("0.00",), ("0x1F",), ("-5e1",), ("abc",), ("",), (None,), ("1.",), ("12元",)]
+    df = spark.createDataFrame(cells, "c string").select(S.split_amount("c").alias("n"))
+    assert [r["n"] for r in df.collect()] == [1200.5, 3.0, None, None, 31.0, -50.0, None, None, None, 1.0, None]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 4
